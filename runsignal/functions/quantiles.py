@@ -35,13 +35,15 @@ def pooled_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("_min"), F.max(value).alias("_max"), *sketch)
     )
+    # The bracket must span a few ranks beyond the sketch error; small groups are taken whole.
+    whole = F.col("n") * margin < 4
     wanted = F.array(
         *[
             F.struct(
                 F.lit(k).alias("k"),
                 (F.lit(float(p)) * (F.col("n") - 1)).alias("pos"),
-                (F.col("_min") if p - margin <= 0 else F.col(f"_lo_{k}")).alias("lo"),
-                (F.col("_max") if p + margin >= 1 else F.col(f"_hi_{k}")).alias("hi"),
+                F.when(whole | F.lit(p - margin <= 0), F.col("_min")).otherwise(F.col(f"_lo_{k}")).alias("lo"),
+                F.when(whole | F.lit(p + margin >= 1), F.col("_max")).otherwise(F.col(f"_hi_{k}")).alias("hi"),
             )
             for k, p in probs.items()
         ]

@@ -46,8 +46,12 @@ def pairs_of(df: DataFrame, pairs: list[tuple[str, str]], keys: list[str]) -> Da
 
 
 def _average_rank(value: str, by: list[str]) -> Column:
-    """Rank with ties sharing their mean position."""
-    w = Window.partitionBy(*by).orderBy(value)
+    """Rank with ties sharing their mean position.
+
+    Sums carry noise in their last bits that depends on the order of addition.  Values are
+    compared at single precision, so that equal ones stay ties whatever that order was.
+    """
+    w = Window.partitionBy(*by).orderBy(F.round(value, 9).cast("float"))
     upto = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return (F.rank().over(w) + F.count(F.lit(1)).over(upto)) / F.lit(2.0)
 
@@ -96,7 +100,7 @@ def driver_rank(
         pairs_of(active_rows(features), [(c, target) for c in names], keys), keys
     ).where((F.col("n") >= cfg.min_pairs) & (F.col("x_std") != 0))
     place = F.row_number().over(
-        Window.partitionBy(*keys).orderBy(F.abs("spearman").desc_nulls_last(), F.col("driver"))
+        Window.partitionBy(*keys).orderBy(F.abs(F.round("spearman", 12)).desc_nulls_last(), F.col("driver"))
     )
     return stats.select(
         *keys, F.col("b").alias("target"), F.col("a").alias("driver"), "n", "pearson", "spearman"

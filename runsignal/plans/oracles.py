@@ -10,8 +10,8 @@ from __future__ import annotations
 import re
 
 from ..settings import PASSES, STEAM_TO_VOLUME
-from .samples import EFFLUENT, FEED, HALF_DAY, WEEKLY
-from .samples import LINE_ROLES
+from .present import HALF_UP, LARGE
+from .samples import EFFLUENT, FEED, HALF_DAY, LINE_ROLES, WEEKLY
 
 CTE: dict[str, str] = {}
 ORACLES: dict[str, str] = {}
@@ -45,9 +45,12 @@ def _shown(spec: str) -> str:
         return f"strftime({quoted}, '%Y-%m-%d %H:%M:%S') AS {quoted}"
     if kind == "i":
         return f"CAST({quoted} AS BIGINT) AS {quoted}"
+    if kind == "m":  # whole number that may be missing
+        return f"CAST({quoted} AS DOUBLE) AS {quoted}"
     if kind == "d":
         x = f"CAST({quoted} AS DOUBLE)"
-        return f"CASE WHEN isnan({x}) THEN NULL WHEN round({x}, 6) = 0 THEN 0.0 ELSE round({x}, 6) END AS {quoted}"
+        digits = f"(CASE WHEN abs({x}) < {LARGE} THEN 1e6 ELSE 1e4 END)"
+        return f"CASE WHEN NOT isnan({x}) THEN floor({x} * {digits} + {HALF_UP}) / {digits} END AS {quoted}"
     return quoted
 
 
@@ -205,10 +208,10 @@ oracle(
     """SELECT a.unit, a.run, a.run_end AS gap_start, b.run_start AS gap_end, (epoch(b.run_start) - epoch(a.run_end)) / 86400.0 AS gap_days
        FROM runs_f a JOIN runs_f b ON a.unit = b.unit AND b.run = a.run + 1""",
 )
-oracle("run_age", "unit ts:t run_id:i run_age_days:d", "SELECT * FROM rows_f WHERE run_id IS NOT NULL")
+oracle("run_age", "unit ts:t run_id:m run_age_days:d", "SELECT * FROM rows_f WHERE run_id IS NOT NULL")
 oracle(
     "run_lookup",
-    "unit ts:t run_id:i run_age_days:d",
+    "unit ts:t run_id:m run_age_days:d",
     """SELECT s.unit, s.ts, run AS run_id, (epoch(s.ts) - epoch(run_start)) / 86400.0 AS run_age_days
        FROM (SELECT DISTINCT unit, l_shipdate AS ts FROM lines) s
        LEFT JOIN runs_f r ON s.unit = r.unit AND s.ts BETWEEN run_start AND run_end""",
@@ -330,14 +333,14 @@ oracle(
 
 oracle("delta_pass", "unit id grp ts:t delta:d", "SELECT * FROM delta_c")
 oracle("delta_unit", "unit id ts:t delta:d", "SELECT unit, id, ts, value - avg(value) OVER (PARTITION BY unit, ts) AS delta FROM live_c")
-oracle("drift", "unit id ts:t run_id:i baseline:d drift:d", "SELECT * FROM drift_c")
+oracle("drift", "unit id ts:t run_id:m baseline:d drift:d", "SELECT * FROM drift_c")
 oracle("health", "unit ts:t delta_spread:d dd_max:d dd_abs_max:d dd_p95:d", "SELECT * FROM health_c")
 oracle(
     "pass_health",
     "unit ts:t " + " ".join(f"dd_abs_max_{p}:d" for p in PASSES) + " pass_imbalance:d worst_pass",
     "SELECT * FROM feat_c",
 )
-oracle("drift_rate", "unit ts:t run_id:i dd_abs_max:d coking_rate:d", "SELECT * FROM feat_c")
+oracle("drift_rate", "unit ts:t run_id:m dd_abs_max:d coking_rate:d", "SELECT * FROM feat_c")
 
 # ---- features --------------------------------------------------------------------------------
 
@@ -395,12 +398,12 @@ MATRIX = (
 )
 oracle(
     "feature_matrix",
-    "unit ts:t " + " ".join(f"{c}:d" for c in MATRIX) + " worst_pass run_id:i cracking",
+    "unit ts:t " + " ".join(f"{c}:d" for c in MATRIX) + " worst_pass run_id:m cracking",
     "SELECT * FROM features_a",
 )
 oracle(
     "feature_matrix_proxy",
-    "unit ts:t tube_cot_mean:d dd_abs_max:d dd_p95:d delta_spread:d run_id:i run_age_days:d",
+    "unit ts:t tube_cot_mean:d dd_abs_max:d dd_p95:d delta_spread:d run_id:m run_age_days:d",
     "SELECT * FROM feat_p",
 )
 
@@ -435,9 +438,9 @@ def kernel(pair_sql: str, keys: str = "unit") -> str:
     by = f"{keys}, a, b"
     return f"""
 SELECT {by}, count(*) AS n, {pearson('x', 'y')} AS pearson, {pearson('rx', 'ry')} AS spearman, stddev_samp(x) AS x_std
-FROM (SELECT *, rank() OVER (PARTITION BY {by} ORDER BY x) + (count(*) OVER (PARTITION BY {by}, x) - 1) / 2.0 AS rx,
-             rank() OVER (PARTITION BY {by} ORDER BY y) + (count(*) OVER (PARTITION BY {by}, y) - 1) / 2.0 AS ry
-      FROM ({pair_sql})) GROUP BY {by}"""
+FROM (SELECT *, rank() OVER (PARTITION BY {by} ORDER BY sx) + (count(*) OVER (PARTITION BY {by}, sx) - 1) / 2.0 AS rx,
+             rank() OVER (PARTITION BY {by} ORDER BY sy) + (count(*) OVER (PARTITION BY {by}, sy) - 1) / 2.0 AS ry
+      FROM (SELECT *, CAST(round(x, 9) AS FLOAT) AS sx, CAST(round(y, 9) AS FLOAT) AS sy FROM ({pair_sql}))) GROUP BY {by}"""
 
 
 CTE["active_c"] = "SELECT * FROM feat_c WHERE cracking"
@@ -561,7 +564,7 @@ oracle(
 CTE["clean_c"] = """
 SELECT f.*, analysis_start, analysis_end FROM feat_c f JOIN windows_c w ON f.unit = w.unit AND f.run_id = w.run
 WHERE analysis_end > analysis_start AND ts BETWEEN analysis_start AND analysis_end"""
-oracle("clean_rows", "unit ts:t run_id:i phase feed_total:d cot:d", "SELECT *, 'clean' AS phase FROM clean_c")
+oracle("clean_rows", "unit ts:t run_id:m phase feed_total:d cot:d", "SELECT *, 'clean' AS phase FROM clean_c")
 oracle(
     "retention",
     "unit total_rows:i clean_rows:i runs:i pct_kept:d",
@@ -587,7 +590,7 @@ oracle(
 )
 oracle(
     "zones",
-    "unit run_id:i ts:t zone feed_total:d",
+    "unit run_id:m ts:t zone feed_total:d",
     """SELECT f.*, CASE WHEN ts < analysis_start THEN 'warmup' WHEN ts <= analysis_end THEN 'clean' ELSE 'tail' END AS zone
        FROM feat_c f JOIN windows_c w ON f.unit = w.unit AND f.run_id = w.run""",
 )
@@ -612,7 +615,7 @@ SELECT unit, 'run' || run || '_fault' AS reason, run_start + INTERVAL 28 DAY AS
 FROM runs_c WHERE run % 3 = 0"""
 oracle(
     "exclusions",
-    "unit ts:t run_id:i cot:d excluded",
+    "unit ts:t run_id:m cot:d excluded",
     """SELECT c.unit, c.ts, c.run_id, CASE WHEN reason IS NULL THEN cot END AS cot, reason AS excluded
        FROM clean_c c LEFT JOIN faults f ON c.unit = f.unit AND c.ts BETWEEN t0 AND t1""",
 )
@@ -661,10 +664,10 @@ oracle(
     """SELECT unit, least(quantile_cont(lo, 0.01), -10) * 1.15 AS ymin, greatest(quantile_cont(hi, 0.99), 10) * 1.15 AS ymax
        FROM bands_c GROUP BY unit""",
 )
-oracle("trajectories", "unit run_id:i ts:t run_age_days:d dd_max:d", "SELECT * FROM feat_c WHERE run_id IS NOT NULL")
+oracle("trajectories", "unit run_id:m ts:t run_age_days:d dd_max:d", "SELECT * FROM feat_c WHERE run_id IS NOT NULL")
 oracle(
     "overlay",
-    "unit run_id:i ts:t age_days:d dd_abs_max:d",
+    "unit run_id:m ts:t age_days:d dd_abs_max:d",
     "SELECT *, (epoch(ts) - epoch(analysis_start)) / 86400.0 AS age_days FROM clean_c WHERE ts >= analysis_start",
 )
 FLEET_ROWS = W.rows(W.fleet_hours)

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DIGITS = 6
 TIME = "yyyy-MM-dd HH:mm:ss"
+# Whole numbers that may be missing are shown as doubles: engines differ on missing integers.
+MAY_BE_MISSING = {"run_id"}
+# From this size on values keep four decimals, below it six.
+LARGE = 1000.0
+# Sums differ in their last bits with the order of addition, so exact halves must not depend on
+# them: the half is rounded up with this much tolerance.
+HALF_UP = 0.501
+
+
+def rounded(x: Column) -> Column:
+    digits = F.when(F.abs(x) < LARGE, F.lit(1e6)).otherwise(F.lit(1e4))
+    return F.floor(x * digits + F.lit(HALF_UP)) / digits
 
 
 def present(df: DataFrame, *columns: str) -> DataFrame:
@@ -18,9 +29,11 @@ def present(df: DataFrame, *columns: str) -> DataFrame:
         kind, c = df.schema[name].dataType, F.col(name)
         if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
             c = F.date_format(c, TIME)
+        elif name in MAY_BE_MISSING:
+            c = c.cast("double")
         elif isinstance(kind, T.IntegralType):
             c = c.cast("bigint")
         elif isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double"), DIGITS)
+            c = rounded(c.cast("double"))
         out.append(c.alias(alias or name))
     return df.select(*out)
