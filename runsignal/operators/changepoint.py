@@ -139,7 +139,7 @@ def change_points(rows: DataFrame, signals: list[str], cfg: Settings) -> DataFra
     ).where(F.col("_n") >= 3 * cfg.cp_min_rows)
     min_rows, penalty = cfg.cp_min_rows, cfg.cp_penalty
 
-    def search(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("ts")[signals].to_numpy(dtype=float)
         found = segment(x, min_rows, penalty) if np.isfinite(x).all() else []
         return pd.DataFrame({"unit": [key[0]], "run_id": [key[1]], "breaks": [found]})

@@ -70,11 +70,16 @@ def _value(role: str, extra: Column | None = None) -> Column:
 
 
 def unit_levels(history: DataFrame, cfg: Settings) -> DataFrame:
-    """Per unit and bucket: sums and means of every lever, from one aggregation of the long history."""
+    """Per unit and bucket: sums and means of every lever.
+
+    The exact median needs an object buffer, which would take the whole aggregation out of
+    generated code; it is computed on the sensor rows alone and joined on the same keys.
+    """
     grp = F.col("grp")
-    return (
-        history.where(F.col("unit") != PLANT)
-        .groupBy("unit", "ts")
+    own = history.where(F.col("unit") != PLANT)
+    medians = own.where(F.col("role") == SENSOR).groupBy("unit", "ts").agg(median("value").alias("sensor_median"))
+    levels = (
+        own.groupBy("unit", "ts")
         .agg(
             F.avg(_value("cot_ctrl")).alias("cot"),
             F.sum(_value("feed_flow")).alias("feed_total"),
@@ -83,12 +88,12 @@ def unit_levels(history: DataFrame, cfg: Settings) -> DataFrame:
             F.avg(_value("draft")).alias("draft"),
             F.avg(_value("feed_coilT")).alias("feed_coilT"),
             F.avg(_value(SENSOR, F.col("value") > cfg.hot)).alias("tube_cot_mean"),
-            median(_value(SENSOR)).alias("sensor_median"),
             *[F.sum(_value("feed_flow", grp == p)).alias(f"feed_{p}") for p in PASSES],
             *[F.sum(_value("dil_steam", grp == p)).alias(f"steam_{p}") for p in PASSES],
             *[F.avg(_value("decoke_air", grp == p)).alias(f"decoke_air_{p}") for p in PASSES],
         )
     )
+    return levels.join(medians, ["unit", "ts"], "left")
 
 
 SUMMED = ["feed_total", "steam_total"] + [f"{k}_{p}" for k in ("feed", "steam") for p in PASSES]
@@ -140,33 +145,37 @@ def add_effluent(levels: DataFrame, gases: DataFrame) -> DataFrame:
     return levels.join(_species_columns(rows, ["unit", "ts"], "effluent_GC"), ["unit", "ts"], "left")
 
 
-def add_feed_quality(frame: DataFrame, gases: DataFrame) -> DataFrame:
-    """Composition of the common feed, the same for every unit at a given time."""
-    feed = _species_columns(gases.where(F.col("role") == "feed_GC"), ["ts"], "feed_GC")
-    if fits_broadcast(feed, BROADCAST_BUCKETS):
-        feed = F.broadcast(feed)
-    return frame.join(feed, "ts", "left")
+def feed_quality(gases: DataFrame) -> DataFrame:
+    """Composition of the common feed per bucket, the same for every unit."""
+    return _species_columns(gases.where(F.col("role") == "feed_GC"), ["ts"], "feed_GC")
+
+
+def unit_constants(levels: DataFrame, cfg: Settings) -> DataFrame:
+    """One row per unit: which summed levers it has, and the running level of each pass's feed."""
+    tops = levels.groupBy("unit").agg(
+        *[(F.count(c) > 0).alias(f"has_{c}") for c in SUMMED],
+        *[F.max(f"feed_{p}").alias(f"top_{p}") for p in PASSES],
+    )
+    running = {
+        p: F.when(F.col(f"feed_{p}") > F.col(f"top_{p}") * cfg.level_floor, F.col(f"feed_{p}")) for p in PASSES
+    }
+    typical = (
+        levels.select("unit", *[f"feed_{p}" for p in PASSES])
+        .join(tops, "unit")
+        .groupBy("unit")
+        .agg(*[median(x).alias(f"level_{p}") for p, x in running.items()])
+    )
+    return tops.join(typical, "unit")
 
 
-def unit_frame(
-    history: DataFrame, catalog: DataFrame | None, cfg: Settings, use_online: bool = True
-) -> DataFrame:
-    """Levers on the dense grid with activity mask and run labels; units without sensors are left out.
+def label_frame(levels: DataFrame, cfg: Settings, plant: DataFrame | None = None, use_online: bool = True) -> DataFrame:
+    """Narrow unit frame on the dense grid: feed, sensor median, activity and run labels.
 
-    ``history`` must have been through ``mark_sensors``.  Without a catalog there are no
-    composition columns and no plant-wide tags, and the whole frame is one pass over the history.
+    Only what the labels need goes through the sorts.  Units without sensors are left out.
     """
-    levels, plant = unit_levels(history, cfg), None
-    if catalog is not None:
-        gases = gas_rows(history, catalog)
-        levels = add_effluent(levels, gases)
-        plant = history.where(F.col("unit") == PLANT)
-    frame = zero_where_silent(fill_grid(levels, cfg.bucket_s, plant))
+    narrow = fill_grid(levels.select("unit", "ts", "feed_total", "sensor_median"), cfg.bucket_s, plant)
     has_sensor = F.max(F.col("sensor_median").isNotNull()).over(Window.partitionBy("unit"))
-    frame = frame.withColumn("_has", has_sensor).where("_has").drop("_has")
-    if catalog is not None:
-        frame = add_feed_quality(frame, gases)
-    frame = residence(steam_per_feed(frame, cfg))
+    frame = zero_where_silent(narrow, ["feed_total"]).withColumn("_has", has_sensor).where("_has").drop("_has")
     return label_runs(add_activity(frame, cfg, use_online), cfg)
 
 
@@ -182,34 +191,21 @@ def feed_frame(history: DataFrame, cfg: Settings) -> DataFrame:
 def steam_per_feed(frame: DataFrame, cfg: Settings) -> DataFrame:
     """Steam ratio of the unit and of every pass, and its spread over the passes.
 
-    A pass ratio counts only while the pass runs above a share of its own running level.
+    A pass ratio counts only while the pass runs above a share of its own running level
+    (``top_<P>`` and ``level_<P>`` from ``unit_constants``).
     """
-    unit = Window.partitionBy("unit")
-    tops = {f"_top_{p}": F.max(f"feed_{p}").over(unit) for p in PASSES}
-    levels = {
-        f"_level_{p}": median(
-            F.when(F.col(f"feed_{p}") > F.col(f"_top_{p}") * cfg.level_floor, F.col(f"feed_{p}"))
-        ).over(unit)
-        for p in PASSES
-    }
     ratios = {
         f"steam_hc_{p}": F.when(
-            (F.col(f"_top_{p}") > 0) & (F.col(f"feed_{p}") > F.col(f"_level_{p}") * cfg.feed_frac),
+            (F.col(f"top_{p}") > 0) & (F.col(f"feed_{p}") > F.col(f"level_{p}") * cfg.feed_frac),
             ratio(f"steam_{p}", f"feed_{p}"),
         )
         for p in PASSES
     }
-    return (
-        frame.withColumns(tops)
-        .withColumns(levels)
-        .withColumns(ratios)
-        .withColumns(
-            {
-                "steam_hc": F.when(F.col("feed_total") > 0, ratio("steam_total", "feed_total")),
-                "steam_hc_spread": spread_over([f"steam_hc_{p}" for p in PASSES]),
-            }
-        )
-        .drop(*tops, *levels)
+    return frame.withColumns(ratios).withColumns(
+        {
+            "steam_hc": F.when(F.col("feed_total") > 0, ratio("steam_total", "feed_total")),
+            "steam_hc_spread": spread_over([f"steam_hc_{p}" for p in PASSES]),
+        }
     )
 
 
@@ -227,11 +223,13 @@ def residence(frame: DataFrame) -> DataFrame:
 
 @dataclass
 class Prepared:
-    """The two intermediate tables every later step starts from."""
+    """The intermediate tables every later step starts from; each is written once."""
 
-    history: DataFrame   # bucketed, sensors marked
-    frame: DataFrame     # unit frame with runs
-    catalog: DataFrame | None
+    history: DataFrame           # bucketed long history, sensors marked
+    levels: DataFrame            # levers per unit and bucket that has data
+    labels: DataFrame            # narrow frame on the dense grid with runs
+    constants: DataFrame         # one row per unit
+    feed: DataFrame | None       # common feed composition per bucket
 
     @property
     def sensors(self) -> DataFrame:
@@ -241,28 +239,57 @@ class Prepared:
 def prepare(
     history: DataFrame, catalog: DataFrame | None, cfg: Settings, proxy: bool = False, use_online: bool = True
 ) -> Prepared:
-    """Write the bucketed history and the labelled unit frame once; both are read several times."""
-    tags = None if catalog is None else stage(catalog, "catalog")
-    marked = stage(mark_sensors(history, tags, proxy), "history")
-    return Prepared(marked, stage(unit_frame(marked, tags, cfg, use_online), "frame"), tags)
+    """Build and stage the shared tables.
+
+    Without a catalog there are no composition columns and no plant-wide tags.
+    """
+    if catalog is None:
+        marked = stage(mark_sensors(history, None), "history")
+        levels, feed, plant = stage(unit_levels(marked, cfg), "levels"), None, None
+    else:
+        tags = stage(catalog, "catalog")
+        marked = stage(mark_sensors(history, tags, proxy), "history")
+        gases = gas_rows(marked, tags)
+        levels = stage(add_effluent(unit_levels(marked, cfg), gases), "levels")
+        feed, plant = stage(feed_quality(gases), "feed"), marked.where(F.col("unit") == PLANT)
+    labels = stage(label_frame(levels, cfg, plant, use_online), "labels")
+    return Prepared(marked, levels, labels, stage(unit_constants(levels, cfg), "constants"), feed)
+
+
+def complete(rows: DataFrame, prep: Prepared, cfg: Settings) -> DataFrame:
+    """Add every lever and ratio to labelled grid rows; one join on (unit, ts), no window."""
+    levers = prep.levels.drop("feed_total", "sensor_median")
+    out = rows.join(levers, ["unit", "ts"], "left").join(prep.constants, "unit")
+    zeros = {
+        c: F.when(F.col(f"has_{c}"), F.coalesce(F.col(c), F.lit(0.0))) for c in SUMMED if c != "feed_total"
+    }
+    out = out.withColumns(zeros)
+    if prep.feed is not None:
+        feed = F.broadcast(prep.feed) if fits_broadcast(prep.feed, BROADCAST_BUCKETS) else prep.feed
+        out = out.join(feed, "ts", "left")
+    return residence(steam_per_feed(out, cfg)).drop(*[c for c in prep.constants.columns if c != "unit"])
+
+
+def unit_frame(prep: Prepared, cfg: Settings) -> DataFrame:
+    """Labelled grid rows with all levers, without drift."""
+    return complete(prep.labels, prep, cfg)
 
 
 def with_health(prep: Prepared, cfg: Settings) -> DataFrame:
-    """The unit frame with health columns and coking rate."""
-    drift = dr.sensor_drift(prep.sensors, prep.frame, cfg)
-    joined = prep.frame.join(dr.health(drift), ["unit", "ts"], "left")
+    """The labels with health columns and coking rate."""
+    drift = dr.sensor_drift(prep.sensors, prep.labels, cfg)
+    joined = prep.labels.join(dr.health(drift), ["unit", "ts"], "left")
     return dr.drift_rate(dr.pass_balance(joined), cfg)
 
 
 def build_features(prep: Prepared, cfg: Settings, extras: bool = False) -> DataFrame:
     """The feature matrix; ``extras`` adds ``cot_ctrl`` and ``decoke_air_<P>`` for the second window method."""
-    full = with_health(prep, cfg).withColumn("run_age_days", run_age_days())
+    full = complete(with_health(prep, cfg), prep, cfg).withColumn("run_age_days", run_age_days())
     more = ["cot_ctrl"] + [f"decoke_air_{p}" for p in PASSES] if extras else []
     if extras:
         full = full.withColumn("cot_ctrl", F.col("cot"))
-    for c in FEATURE_COLUMNS:
-        if c not in full.columns:
-            full = full.withColumn(c, F.lit(None).cast("double"))
+    absent = {c: F.lit(None).cast("double") for c in FEATURE_COLUMNS if c not in full.columns}
+    full = full.withColumns(absent) if absent else full
     return full.select("unit", "ts", *FEATURE_COLUMNS, "run_start", "run_end", *more)
 
 

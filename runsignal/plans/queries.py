@@ -47,9 +47,14 @@ def feed_frame(spark, d) -> DataFrame:
     return ft.feed_frame(sm.line_history(spark, d, ("feed_flow",)), WEEKLY)
 
 
+def core_labels(spark, d) -> DataFrame:
+    """Activity and runs alone: one pass over feed and sensors, nothing staged."""
+    history = ft.mark_sensors(sm.line_history(spark, d, ("tube_COT", "feed_flow")), None)
+    return ft.label_frame(ft.unit_levels(history, WEEKLY), WEEKLY)
+
+
 def core_frame(spark, d) -> DataFrame:
-    """Unit frame from the core roles, one pass, nothing staged."""
-    return ft.unit_frame(ft.mark_sensors(sm.line_history(spark, d), None), None, WEEKLY)
+    return ft.unit_frame(core(spark, d), WEEKLY)
 
 
 def core(spark, d) -> ft.Prepared:
@@ -169,7 +174,7 @@ def sensor_role(spark, d):
 
 @query
 def cracking_mask(spark, d):
-    return present(core_frame(spark, d), "unit", "ts", "feed_total", "sensor_median", "cracking")
+    return present(core_labels(spark, d), "unit", "ts", "feed_total", "sensor_median", "cracking")
 
 
 @query
@@ -179,7 +184,7 @@ def run_table(spark, d):
 
 @query
 def run_table_online(spark, d):
-    return present(rn.run_table(rn.segment_runs(core_frame(spark, d), WEEKLY)))
+    return present(rn.run_table(rn.segment_runs(core_labels(spark, d), WEEKLY)))
 
 
 @query
@@ -235,25 +240,25 @@ def complete_cycles(spark, d):
 @query
 def delta_pass(spark, d):
     prep = core(spark, d)
-    return present(dr.sensor_delta(prep.sensors, prep.frame, WEEKLY), "unit", "id", "grp", "ts", "delta")
+    return present(dr.sensor_delta(prep.sensors, prep.labels, WEEKLY), "unit", "id", "grp", "ts", "delta")
 
 
 @query
 def delta_unit(spark, d):
     prep = core(spark, d)
-    return present(dr.sensor_delta(prep.sensors, prep.frame, WEEKLY, by_pass=False), "unit", "id", "ts", "delta")
+    return present(dr.sensor_delta(prep.sensors, prep.labels, WEEKLY, by_pass=False), "unit", "id", "ts", "delta")
 
 
 @query
 def drift(spark, d):
     prep = core(spark, d)
-    return present(dr.sensor_drift(prep.sensors, prep.frame, WEEKLY), "unit", "id", "ts", "run_id", "baseline", "drift")
+    return present(dr.sensor_drift(prep.sensors, prep.labels, WEEKLY), "unit", "id", "ts", "run_id", "baseline", "drift")
 
 
 @query
 def health(spark, d):
     prep = core(spark, d)
-    out = dr.health(dr.sensor_drift(prep.sensors, prep.frame, WEEKLY))
+    out = dr.health(dr.sensor_drift(prep.sensors, prep.labels, WEEKLY))
     return present(out, "unit", "ts", "delta_spread", "dd_max", "dd_abs_max", "dd_p95")
 
 
@@ -278,13 +283,13 @@ def feature_totals(spark, d):
 
 @query
 def feature_means(spark, d):
-    out = full(spark, d).frame
+    out = ft.unit_frame(full(spark, d), WEEKLY)
     return present(out, "unit", "ts", "cot", "coil_out_P", "draft", "feed_coilT", "tube_cot_mean")
 
 
 @query
 def feature_species(spark, d):
-    return present(full(spark, d).frame, "unit", "ts", *[c for c, _, _ in ft.SPECIES])
+    return present(ft.unit_frame(full(spark, d), WEEKLY), "unit", "ts", *[c for c, _, _ in ft.SPECIES])
 
 
 @query
@@ -403,7 +408,7 @@ def clean_share(spark, d):
 
 def frame_v2(spark, d) -> DataFrame:
     history = sm.line_history(spark, d, sm.CORE + ("decoke_air",))
-    frame = ft.unit_frame(ft.mark_sensors(history, None), None, WEEKLY)
+    frame = ft.unit_frame(ft.prepare(history, None, WEEKLY), WEEKLY)
     return stage(frame.withColumn("cot_ctrl", F.col("cot")), "frame")
 
 
@@ -527,7 +532,7 @@ def pair_label(spark, d):
 
 def bands(spark, d, smooth: bool = True) -> DataFrame:
     prep = core(spark, d)
-    return cv.pass_bands(dr.sensor_drift(prep.sensors, prep.frame, WEEKLY), prep.frame, WEEKLY, smooth)
+    return cv.pass_bands(dr.sensor_drift(prep.sensors, prep.labels, WEEKLY), prep.labels, WEEKLY, smooth)
 
 
 @query
