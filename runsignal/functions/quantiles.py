@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.historian import sent_if_small
+from ..sources.tables import stage
+
 ACCURACY = 2000
 
 
@@ -40,34 +43,35 @@ def pooled_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str
     wanted = F.array(
         *[
             F.struct(
-                F.lit(k).alias("k"),
-                (F.lit(float(p)) * (F.col("n") - 1)).alias("pos"),
-                F.when(whole | F.lit(p - margin <= 0), F.col("_min")).otherwise(F.col(f"_lo_{k}")).alias("lo"),
-                F.when(whole | F.lit(p + margin >= 1), F.col("_max")).otherwise(F.col(f"_hi_{k}")).alias("hi"),
+                F.lit(k).alias("_k"),
+                (F.lit(float(p)) * (F.col("n") - 1)).alias("_pos"),
+                F.when(whole | F.lit(p - margin <= 0), F.col("_min")).otherwise(F.col(f"_lo_{k}")).alias("_from"),
+                F.when(whole | F.lit(p + margin >= 1), F.col("_max")).otherwise(F.col(f"_hi_{k}")).alias("_to"),
             )
             for k, p in probs.items()
         ]
     )
-    targets = brackets.select(*keys, "n", F.explode(wanted).alias("q")).select(
-        *keys, "n", "q.k", "q.pos", "q.lo", "q.hi"
+    targets = brackets.select(*keys, "n", F.explode(wanted).alias("_q")).select(
+        *keys, "n", "_q._k", "_q._pos", "_q._from", "_q._to"
     )
-    hit = counts.join(targets, keys)
-    low = F.col("_v") < F.col("lo")
+    # A few rows per key, written once: the sketch pass is not repeated and its size is known.
+    hit = counts.join(sent_if_small(stage(targets, "ranks")), keys)
+    low = F.col("_v") < F.col("_from")
     reduced = (
-        hit.where(F.col("_v") <= F.col("hi"))
+        hit.where(F.col("_v") <= F.col("_to"))
         .withColumn("_v", F.when(~low, F.col("_v")))  # everything below the bracket folds into one row
-        .groupBy(*keys, "k", "_v")
-        .agg(F.sum("_c").alias("_c"), F.first("pos").alias("pos"), F.first("n").alias("n"))
+        .groupBy(*keys, "_k", "_v")
+        .agg(F.sum("_c").alias("_c"), F.first("_pos").alias("_pos"), F.first("n").alias("n"))
     )
-    w = Window.partitionBy(*keys, "k").orderBy(F.col("_v").asc_nulls_first())
+    w = Window.partitionBy(*keys, "_k").orderBy(F.col("_v").asc_nulls_first())
     placed = reduced.withColumn("_end", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    left = F.min(F.when(F.col("_end") > F.floor("pos"), F.col("_v")))
-    right = F.min(F.when(F.col("_end") > F.ceil("pos"), F.col("_v")))
-    frac = F.first(F.col("pos") - F.floor("pos"))
-    exact = placed.groupBy(*keys, "k").agg(
+    left = F.min(F.when(F.col("_end") > F.floor("_pos"), F.col("_v")))
+    right = F.min(F.when(F.col("_end") > F.ceil("_pos"), F.col("_v")))
+    frac = F.first(F.col("_pos") - F.floor("_pos"))
+    exact = placed.groupBy(*keys, "_k").agg(
         F.first("n").alias("n"), (left + (right - left) * frac).alias("_x")
     )
     out = exact.groupBy(*keys).agg(
-        F.first("n").alias("n"), *[F.max(F.when(F.col("k") == k, F.col("_x"))).alias(k) for k in probs]
+        F.first("n").alias("n"), *[F.max(F.when(F.col("_k") == k, F.col("_x"))).alias(k) for k in probs]
     )
     return out

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import days_between, half_even, median, ratio, spread_over
 from ..settings import PASSES, PLANT, STEAM_TO_VOLUME, Settings
-from ..sources.historian import fits_broadcast
+from ..sources.historian import sent_if_small
 from ..sources.tables import stage
 from . import drift as dr
 from .catalog import choose_sensor_role
@@ -55,7 +55,8 @@ def mark_sensors(history: DataFrame, catalog: DataFrame | None, proxy: bool = Fa
         return history.where(F.col("role") != "tube_COT_long").withColumn(
             "role", F.when(is_set, F.lit(SENSOR)).otherwise(F.col("role"))
         )
-    chosen = choose_sensor_role(catalog, proxy)
+    # One row per unit; joining by unit with a shuffle would gather a large unit's rows.
+    chosen = sent_if_small(choose_sensor_role(catalog, proxy))
     return (
         history.join(chosen, "unit", "left")
         .where(~is_set | (F.col("role") == F.col("sensor_role")))
@@ -265,8 +266,7 @@ def complete(rows: DataFrame, prep: Prepared, cfg: Settings) -> DataFrame:
     }
     out = out.withColumns(zeros)
     if prep.feed is not None:
-        feed = F.broadcast(prep.feed) if fits_broadcast(prep.feed, BROADCAST_BUCKETS) else prep.feed
-        out = out.join(feed, "ts", "left")
+        out = out.join(sent_if_small(prep.feed, BROADCAST_BUCKETS), "ts", "left")
     return residence(steam_per_feed(out, cfg)).drop(*[c for c in prep.constants.columns if c != "unit"])
 
 

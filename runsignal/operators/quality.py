@@ -118,8 +118,9 @@ def pinned_values(history: DataFrame) -> DataFrame:
     """Share of the most frequent value, distinct values and zeros per tag.
 
     Values are counted before they meet per tag, so a tag stuck at one value costs one row.
+    Bucket means that differ only in the noise of their sums are one value.
     """
-    counts = history.groupBy("unit", "id", "value").agg(F.count(F.lit(1)).alias("_c"))
+    counts = history.groupBy("unit", "id", F.round("value", 9).alias("value")).agg(F.count(F.lit(1)).alias("_c"))
     return counts.groupBy("unit", "id").agg(
         F.sum("_c").alias("n"),
         F.count(F.lit(1)).alias("distinct_values"),

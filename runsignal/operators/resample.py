@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import as_number, bucket
 from ..settings import PLANT
-from ..sources.historian import only_tags
+from ..sources.historian import only_tags, sent_if_small
 
 
 def bucket_means(samples: DataFrame, bucket_s: int, keys=("id",)) -> DataFrame:
@@ -25,7 +25,8 @@ def load_history(samples: DataFrame, catalog: DataFrame, bucket_s: int) -> DataF
     The catalog is joined after the aggregation, on far fewer rows than there are samples.
     """
     means = bucket_means(only_tags(samples, catalog), bucket_s)
-    return means.join(catalog.select("id", "unit", "role", "grp"), "id").select(
+    tags = sent_if_small(catalog.select("id", "unit", "role", "grp"))
+    return means.join(tags, "id").select(
         "unit", "id", "role", "grp", "ts", "value"
     )
 

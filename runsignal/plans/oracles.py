@@ -744,7 +744,7 @@ oracle(
     "unit id n:i distinct_values:i mode_share:d zero_share:d",
     """SELECT unit, id, sum(c) AS n, count(*) AS distinct_values, max(c) / sum(c) AS mode_share,
               coalesce(sum(c) FILTER (value = 0), 0) / sum(c) AS zero_share
-       FROM (SELECT unit, id, value, count(*) AS c FROM history_q GROUP BY 1, 2, 3) GROUP BY 1, 2""",
+       FROM (SELECT unit, id, round(value, 9) AS value, count(*) AS c FROM history_q GROUP BY 1, 2, 3) GROUP BY 1, 2""",
 )
 oracle(
     "pooled_age",

@@ -7,9 +7,9 @@ import os
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: str | int | None = None, partitions: int = 8, name: str = "runsignal") -> SparkSession:
+def local_session(cores: str | int | None = None, partitions: int = 8, name: str = "runsignal", **conf: str) -> SparkSession:
     cores = cores or os.environ.get("BENCH_CPUS", "*")
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -19,5 +19,7 @@ def local_session(cores: str | int | None = None, partitions: int = 8, name: str
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "100000")
-        .getOrCreate()
     )
+    for key, value in conf.items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()

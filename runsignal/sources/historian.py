@@ -29,6 +29,11 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_TAGS) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def sent_if_small(df: DataFrame, limit: int = BROADCAST_TAGS) -> DataFrame:
+    """Marked for broadcast when its size has been checked, else left to a shuffle join."""
+    return F.broadcast(df) if fits_broadcast(df, limit) else df
+
+
 def good_samples(events: DataFrame, start=None, end=None) -> DataFrame:
     """Good, numeric samples in the half-open range [start, end) as (id, time, value).
 

@@ -17,7 +17,7 @@ def checkpoint_root(spark: SparkSession) -> str:
 
     Only a local session without the setting gets a folder of its own.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

@@ -263,13 +263,9 @@ def test_old_time_column_is_renamed(spark, tmp_path):
     assert "ts" in tb.read_table(spark, path).columns
 
 
-def test_stage_uses_the_shared_folder(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared")
-    try:
-        assert tb.stage(spark.range(5), "five").count() == 5
-        assert (tmp_path / "shared" / "runsignal").exists()
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_stage_uses_the_shared_folder(spark, shared):
+    assert tb.stage(spark.range(5), "five").count() == 5
+    assert list((shared / "runsignal").glob("five-*"))
 
 
 def test_window_method_two_uses_air_and_setpoints(spark):
