@@ -1,8 +1,9 @@
 """Delta (deviation from the pass) and drift (delta since the start of the run).
 
-Shuffle plan: sensor rows are distributed once by (unit, ts).  The pass mean, the join with the
-unit frame and the health aggregation all work on that distribution.  The baseline uses only the
-first hours of each run and shrinks to one row per run and sensor.
+Shuffle plan: sensor rows are distributed once by (unit, ts).  The pass mean and the health
+aggregation work on that distribution.  The baseline reads only the first hours of each run,
+shrinks to one row per run and sensor and is written once, so that its size is known when it is
+joined back.
 """
 
 from __future__ import annotations
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import median, plus_hours, spread_over
 from ..settings import PASSES, Settings
+from ..sources.historian import sent_if_small
+from ..sources.tables import stage
 
-RUN_COLUMNS = ("cracking", "run_id", "run_start")
+LABELS = ("unit", "ts", "cracking", "run_id", "run_start")
 
 
 def sensor_delta(sensors: DataFrame, frame: DataFrame, cfg: Settings, by_pass: bool = True) -> DataFrame:
@@ -25,8 +28,8 @@ def sensor_delta(sensors: DataFrame, frame: DataFrame, cfg: Settings, by_pass: b
     live = (
         sensors.select("unit", "id", "grp", "ts", "value")
         .where(F.col("value") > F.lit(cfg.hot))
-        .repartition("unit", "ts")
         .join(frame.where(F.col("cracking")).select("unit", "ts", "run_id", "run_start"), ["unit", "ts"])
+        .repartition("unit", "ts")
     )
     if by_pass:
         pack = F.avg("value").over(Window.partitionBy("unit", "ts", "grp"))
@@ -37,14 +40,15 @@ def sensor_delta(sensors: DataFrame, frame: DataFrame, cfg: Settings, by_pass: b
 def sensor_drift(sensors: DataFrame, frame: DataFrame, cfg: Settings, by_pass: bool = True) -> DataFrame:
     """``sensor_delta`` plus ``baseline`` and ``drift``; both NULL outside runs or without a baseline."""
     early = frame.where(F.col("ts") <= plus_hours("run_start", cfg.baseline_hours))
-    baseline = (
-        sensor_delta(sensors, early, cfg, by_pass)
+    baseline = stage(
+        sensor_delta(sensors, sent_if_small(early.select(*LABELS)), cfg, by_pass)
         .groupBy("unit", "run_id", "id")
-        .agg(F.avg("delta").alias("baseline"))
+        .agg(F.avg("delta").alias("baseline")),
+        "baseline",
     )
     return (
         sensor_delta(sensors, frame, cfg, by_pass)
-        .join(baseline, ["unit", "run_id", "id"], "left")
+        .join(sent_if_small(baseline), ["unit", "run_id", "id"], "left")
         .withColumn("drift", F.col("delta") - F.col("baseline"))
     )
 
