@@ -3,17 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .chat import perspectives
 from .neardup import NearDup, near_groups
+from .quality import judged, words
+from .sharding import sharded
+from .substring import without_repeats
+from .urls import Rule, judged_urls
 
+URL_RULES = [Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/")]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(table(spark, sf_dir, "documents"), NearDup(shingle=4))
+    return near_groups(table(spark, sf_dir, "documents", "doc_id", "text"), NearDup(shingle=4))
+
+
+def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = judged(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return out.select("row.doc_id", *(f"m.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept", "host_rejected")
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = without_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("row.doc_id", "n_words", "n_removed", F.sha2(F.array_join(words(F.col("row.text")), " "), 256).alias("kept_sha256"))
+
+
+def op6_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharded(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged_urls(table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES)
+
+
+def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup,)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op4_host_rules, op5_substring_dedup, op6_ring_shards, op7_url_trees, op10_perspectives)}
