@@ -22,7 +22,8 @@ class NearDup:
 
     ``bands`` bands of ``rows`` hashes: a pair exactly at 0.8 is missed with probability
     (1 - 0.8**6)**40, about 5e-6.  Signatures are compared ``batch`` hashes at a time and a pair is
-    given up once the probability that it reaches the threshold is below ``miss``.
+    given up once the probability that it reaches the threshold is below ``miss``.  Ids of up to ``send`` pairs are
+    sent to all tasks; more are joined by shuffle.
     """
 
     shingle: int = 5
@@ -32,6 +33,7 @@ class NearDup:
     bands: int = 40
     batch: int = 24
     miss: float = 1e-6
+    send: int = 500_000
 
     @property
     def hashes(self) -> int:
@@ -61,12 +63,14 @@ def near_groups(docs: DataFrame, cfg: NearDup = NearDup()) -> DataFrame:
 
 
 def near_links(docs: DataFrame, sigs: DataFrame, firsts: DataFrame, cfg: NearDup) -> DataFrame:
-    """Verified links (a, b) that connect whatever is connected.
-
-    In every bucket each member is first compared with one pivot.  What a verified link has joined
-    needs no further comparison inside the bucket, so a bucket of n near copies costs n pairs, not n**2.
-    Buckets whose members are still in different components get new pivots, as long as that
-    joins much; at the end every pair across components is compared.
+    """Verified links (a, b) that connect whatever is connected; equal sets have been merged.
+
+    1. Stars: every document is compared with the most central one (the hub) among those it shares a bucket with.  What
+       a verified link has joined needs no further comparison, so n near copies cost n pairs, not n**2.  As long
+       as that joins much, documents that still share buckets across components get another hub.
+    2. Pairs that still share a bucket across components are compared, but not all of them: two
+       documents with the same first hub, not both linked to it, can only be similar if they share changes against it
+       (``shared_changes``).  Pairs with different hubs are compared as they are.
     """
     band = (
         sigs.join(firsts.withColumnRenamed("rep", "doc_id"), ["f1", "f2", "n_shingles", "doc_id"])
@@ -75,35 +79,81 @@ def near_links(docs: DataFrame, sigs: DataFrame, firsts: DataFrame, cfg: NearDup
     )
     shared = band.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
     members = written(band.join(shared, "bucket"), "members")
-    links, labels, tested, last = [], None, [], None
-    for turn in range(8):
+    links, labels, hubs, first = [], None, None, None
+    while True:
         now = members.withColumn("label", F.col("id")) if labels is None else members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        opened = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("id", F.xxhash64(F.lit(turn), "id")).alias("pivot"), F.min_by("label", F.xxhash64(F.lit(turn), "id")).alias("pivot_label")).where("lo < hi").drop("lo", "hi")
-        now = written(now.join(opened, "bucket"), "open")
-        # Rows of each component in each open bucket tell how many pairs are left.
-        size = now.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.expr("double(n) * n")).alias("same"))
-        rows, pairs = size.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.expr("(double(n) * n - same) / 2")), F.lit(0.0))).first()
-        if not rows:
-            break
-        final = pairs <= 4 * rows or (last is not None and pairs > 0.5 * last)
-        last = pairs
-        if final:
-            x, y = now.alias("x"), now.alias("y")
-            pair = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")))
-            pair = pair.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
-        else:
-            pair = now.where("label <> pivot_label").groupBy("id", "pivot").agg(F.count("*").alias("n")).groupBy("id").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("pivot"))
-            pair = pair.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
-        for t in tested:
-            pair = pair.join(t, ["a", "b"], "left_anti")
-        pair = written(pair, "pairs")
-        good = written(verified(docs, probable(pair, sigs, cfg), cfg), "links")
+        bounds = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("bucket", "n")
+        now = written(now.join(bounds, "bucket"), "open")
+        central = now.groupBy("id").agg(F.sum("n").alias("weight"))
+        if hubs is not None:
+            central = central.join(hubs, F.col("id") == F.col("hub"), "left_anti")
+        ranked = now.join(central, "id")
+        top = ranked.groupBy("bucket").agg(F.max_by("id", F.struct("weight", "id")).alias("hub"), F.max("weight").alias("weight"))
+        best = now.join(top, "bucket").groupBy("id").agg(F.max_by("hub", F.struct("weight", "hub")).alias("hub"))
+        best = written(best, "hubs")
+        # A hub may have a more central one itself.
+        best = best.join(best.select(F.col("id").alias("hub"), F.col("hub").alias("next")), "hub", "left").select("id", F.coalesce("next", "hub").alias("hub"))
+        star = written(best.where("id <> hub"), "star")
+        hubs = star.select("hub").distinct() if hubs is None else written(hubs.unionByName(star.select("hub")).distinct(), "used")
+        first = star if first is None else first
+        good = written(verified(docs, probable(_ordered(star, "id", "hub"), sigs, cfg), cfg), "links")
         links.append(good)
-        if final:
+        opened, joined = star.count(), good.count()
+        if joined:
+            labels = written(components(reduce(DataFrame.unionByName, links)), "labels")
+        if joined < 0.2 * opened or not opened:
             break
-        tested.append(pair)
-        labels = written(components(reduce(DataFrame.unionByName, links)), "labels")
-    return reduce(DataFrame.unionByName, links) if links else members.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
+    left = written(_still_open(members, labels, first), "left")
+    x, y = left.alias("x"), left.alias("y")
+    other = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")) & (F.col("x.hub") != F.col("y.hub")))
+    other = _ordered(other, "x.id", "y.id")
+    own = shared_changes(docs, left.select("id", "hub", "label").distinct(), cfg)
+    pairs = written(other.unionByName(own).distinct().join(_ordered(first, "id", "hub"), ["a", "b"], "left_anti"), "pairs")
+    links.append(written(verified(docs, probable(pairs, sigs, cfg), cfg), "links"))
+    return reduce(DataFrame.unionByName, links)
+
+
+def _still_open(members: DataFrame, labels: DataFrame | None, first: DataFrame) -> DataFrame:
+    """Rows of buckets that hold several components, with each document's first hub (a hub's own is itself)."""
+    now = members.withColumn("label", F.col("id")) if labels is None else members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    bounds = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+    return now.join(bounds, "bucket").join(first, "id", "left").withColumn("hub", F.coalesce("hub", "id"))
+
+
+def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    return pairs.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct()
+
+
+def shared_changes(docs: DataFrame, rows: DataFrame, cfg: NearDup) -> DataFrame:
+    """Pairs (a, b) of one hub, with different labels, that share a change in a position where similar ones must.
+
+    Against its hub of m shingles a set lacks d and has e others.  With c = t / (1 + t), similarity t of x and y needs
+    O >= (2c - 1) m + (1 - c)(dx + dy) + c (ex + ey) shared changes.  If x is not linked to the hub, then
+    (1 - c) dx + c ex > (1 - 2c) m, so O > (1 - c) dy + c ey: of y's d + e changes, in any order, one of the first
+    d + e - O + 1 is shared.  Additions go first, since they are the rarer ones.
+    """
+    c = cfg.num / (cfg.num + cfg.den)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            for part in chunks(batch, "text_a"):
+                x, y = (shingle_sets(words_of(part.column(k), powers, lower=True), cfg.shingle) for k in ("text_a", "text_b"))
+                change, lead = [], []
+                for s, h in zip(x, y):
+                    more, less = np.setdiff1d(s, h, True), mix(np.setdiff1d(h, s, True) ^ np.uint64(0x5555555555555555))
+                    least = int((1 - c) * len(less) + c * len(more) - 1e-9) + 1
+                    change.append(np.concatenate((more, less)))
+                    lead.append(np.arange(len(change[-1])) < len(change[-1]) - least + 1)
+                n = pa.array(np.repeat(np.arange(len(x)), [len(k) for k in change]))
+                arrays = [part.column(k).take(n) for k in ("a", "b", "label")] + [pa.array(np.concatenate(change).view(np.int64)), pa.array(np.concatenate(lead))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["id", "hub", "label", "change", "lead"])
+
+    ends = rows.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"), "label")
+    changes = written(with_texts(docs, written(ends, "ends"), cfg).mapInArrow(run, "id long, hub long, label long, change long, lead boolean"), "changes")
+    lead = changes.where("lead").alias("x")
+    pairs = lead.join(changes.alias("y"), (F.col("x.hub") == F.col("y.hub")) & (F.col("x.change") == F.col("y.change")) & (F.col("x.label") != F.col("y.label")))
+    return _ordered(pairs, "x.id", "y.id")
 
 
 def signatures(docs: DataFrame, cfg: NearDup) -> DataFrame:
@@ -193,6 +243,7 @@ def probable(pairs: DataFrame, sigs: DataFrame, cfg: NearDup) -> DataFrame:
             yield batch.select(["a", "b"]).take(pa.array(alive))
 
     low = sigs.where("n_shingles > 0").select("doc_id", "low", F.col("n_shingles").alias("n"))
+    low = _involved(low, pairs, cfg)
     for side in "ab":
         pairs = pairs.join(low.select(F.col("doc_id").alias(side), F.col("low").alias(f"low_{side}"), F.col("n").alias(f"n_{side}")), side)
     # The sizes alone bound the similarity.
@@ -200,6 +251,21 @@ def probable(pairs: DataFrame, sigs: DataFrame, cfg: NearDup) -> DataFrame:
     return pairs.where(fits).mapInArrow(run, "a long, b long").distinct()
 
 
+def _involved(rows: DataFrame, pairs: DataFrame, cfg: NearDup) -> DataFrame:
+    """Rows of the documents in the pairs.  Ids that have been counted to be few are sent to the rows; else both are shuffled."""
+    ids = pairs.select(F.col("a").alias("i_id")).unionByName(pairs.select(F.col("b").alias("i_id"))).distinct()
+    side = F.broadcast(ids) if pairs.count() <= cfg.send else ids
+    return rows.join(side, F.col("doc_id") == F.col("i_id"), "left_semi")
+
+
+def with_texts(docs: DataFrame, pairs: DataFrame, cfg: NearDup) -> DataFrame:
+    """Adds ``text_a`` and ``text_b`` to written pairs."""
+    text = _involved(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), pairs, cfg)
+    for side in "ab":
+        pairs = pairs.join(text.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}")), side)
+    return pairs
+
+
 def verified(docs: DataFrame, pairs: DataFrame, cfg: NearDup) -> DataFrame:
     """Pairs whose full shingle sets reach the threshold."""
 
@@ -212,10 +278,4 @@ def verified(docs: DataFrame, pairs: DataFrame, cfg: NearDup) -> DataFrame:
                 union = np.array([len(s) + len(t) for s, t in zip(x, y)], np.int64) - both
                 yield part.select(["a", "b"]).filter(pa.array(cfg.den * both >= cfg.num * union))
 
-    text = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
-    ends = written(pairs, "probable")
-    ids = ends.select(F.col("a").alias("doc_id")).unionByName(ends.select(F.col("b").alias("doc_id"))).distinct()
-    text = text.join(ids, "doc_id", "left_semi")
-    for side in "ab":
-        ends = ends.join(text.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}")), side)
-    return ends.mapInArrow(run, "a long, b long").distinct()
+    return with_texts(docs, written(pairs, "probable"), cfg).mapInArrow(run, "a long, b long").distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import perspectives
+from .kneserney import score, train, trained_on
 from .neardup import NearDup, near_groups
 from .quality import judged, words
 from .sharding import sharded
@@ -42,8 +43,15 @@ def op7_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged_urls(table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES)
 
 
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = train(docs.where(trained_on(F.col("doc_id"), 7, 2)), parts=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    out = score(docs, model).withColumn("train_tokens", F.lit(model.n_tokens).cast("long"))
+    return out.select("doc_id", F.coalesce(~trained_on(F.col("doc_id"), 7, 2), F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op4_host_rules, op5_substring_dedup, op6_ring_shards, op7_url_trees, op10_perspectives)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op4_host_rules, op5_substring_dedup, op6_ring_shards, op7_url_trees, op9_kneser_ney, op10_perspectives)}
