@@ -29,7 +29,7 @@ class Repeats:
     document."""
 
     window: int = 20
-    gram: int = 5
+    gram: int = 8
     shard: int = 4096
     send: int = 1_000_000
 
