@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 
 def root(spark: SparkSession) -> str:
     """The session's shared folder.  Only where it is unset and Spark runs in one process, as in tests, is one made."""
@@ -28,3 +33,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark, at = df.sparkSession, path(df.sparkSession, name)
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
+
+
+def per_process(data: bytes, build: Callable[[bytes], T]) -> T:
+    """What ``build`` makes of ``data``, kept by a Python worker for its later tasks."""
+    kept = vars(sys).setdefault("_runsignal_kept", {})
+    key = (build.__qualname__, hash(data))
+    if key not in kept:
+        kept[key] = build(data)
+    return kept[key]
