@@ -88,12 +88,13 @@ def near_links(docs: DataFrame, sigs: DataFrame, firsts: DataFrame, cfg: NearDup
         if hubs is not None:
             central = central.join(hubs, F.col("id") == F.col("hub"), "left_anti")
         ranked = now.join(central, "id")
-        top = ranked.groupBy("bucket").agg(F.max_by("id", F.struct("weight", "id")).alias("hub"), F.max("weight").alias("weight"))
-        best = now.join(top, "bucket").groupBy("id").agg(F.max_by("hub", F.struct("weight", "hub")).alias("hub"))
+        top = ranked.groupBy("bucket").agg(F.max_by(F.struct(F.col("id").alias("hub"), F.col("label").alias("hub_label"), "weight"), F.struct("weight", "id")).alias("top")).select("bucket", "top.*")
+        best = now.join(top, "bucket").groupBy("id", "label").agg(F.max_by(F.struct("hub", "hub_label"), F.struct("weight", "hub")).alias("top")).select("id", "label", "top.*")
         best = written(best, "hubs")
         # A hub may have a more central one itself.
-        best = best.join(best.select(F.col("id").alias("hub"), F.col("hub").alias("next")), "hub", "left").select("id", F.coalesce("next", "hub").alias("hub"))
-        star = written(best.where("id <> hub"), "star")
+        next_hub = best.select(F.col("id").alias("hub"), F.col("hub").alias("next"), F.col("hub_label").alias("next_label"))
+        best = best.join(next_hub, "hub", "left").select("id", "label", F.coalesce("next", "hub").alias("hub"), F.coalesce("next_label", "hub_label").alias("hub_label"))
+        star = written(best.where("label <> hub_label").select("id", "hub"), "star")
         hubs = star.select("hub").distinct() if hubs is None else written(hubs.unionByName(star.select("hub")).distinct(), "used")
         first = star if first is None else first
         good = written(verified(docs, probable(_ordered(star, "id", "hub"), sigs, cfg), cfg), "links")
@@ -130,7 +131,8 @@ def shared_changes(docs: DataFrame, rows: DataFrame, cfg: NearDup) -> DataFrame:
     Against its hub of m shingles a set lacks d and has e others.  With c = t / (1 + t), similarity t of x and y needs
     O >= (2c - 1) m + (1 - c)(dx + dy) + c (ex + ey) shared changes.  If x is not linked to the hub, then
     (1 - c) dx + c ex > (1 - 2c) m, so O > (1 - c) dy + c ey: of y's d + e changes, in any order, one of the first
-    d + e - O + 1 is shared.  Additions go first, since they are the rarer ones.
+    d + e - O + 1 is shared.  Additions go first, since they are the rarer ones.  If the first shared one is at place p of
+    y's changes, at most d + e - p are shared, which must reach O for x and y themselves.
     """
     c = cfg.num / (cfg.num + cfg.den)
 
@@ -139,20 +141,27 @@ def shared_changes(docs: DataFrame, rows: DataFrame, cfg: NearDup) -> DataFrame:
         for batch in batches:
             for part in chunks(batch, "text_a"):
                 x, y = (shingle_sets(words_of(part.column(k), powers, lower=True), cfg.shingle) for k in ("text_a", "text_b"))
-                change, lead = [], []
+                change, place, lead, sizes = [], [], [], []
                 for s, h in zip(x, y):
                     more, less = np.setdiff1d(s, h, True), mix(np.setdiff1d(h, s, True) ^ np.uint64(0x5555555555555555))
+                    n = len(more) + len(less)
                     least = int((1 - c) * len(less) + c * len(more) - 1e-9) + 1
                     change.append(np.concatenate((more, less)))
-                    lead.append(np.arange(len(change[-1])) < len(change[-1]) - least + 1)
-                n = pa.array(np.repeat(np.arange(len(x)), [len(k) for k in change]))
-                arrays = [part.column(k).take(n) for k in ("a", "b", "label")] + [pa.array(np.concatenate(change).view(np.int64)), pa.array(np.concatenate(lead))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["id", "hub", "label", "change", "lead"])
+                    place.append(np.arange(n, dtype=np.int32))
+                    lead.append(place[-1] < n - least + 1)
+                    # One document's part in O; the hub's size counts once.
+                    sizes.append((n, (1 - c) * len(less) + c * len(more), (2 * c - 1) * len(h)))
+                row = np.repeat(np.arange(len(x)), [len(k) for k in change])
+                n, part_of, base = (np.array(k, float)[row] for k in zip(*sizes))
+                arrays = [part.column(k).take(pa.array(row)) for k in ("a", "b", "label")]
+                arrays += [pa.array(k) for k in (np.concatenate(change).view(np.int64), np.concatenate(lead), n - np.concatenate(place), part_of, base)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["id", "hub", "label", "change", "lead", "rest", "part", "base"])
 
     ends = rows.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"), "label")
-    changes = written(with_texts(docs, written(ends, "ends"), cfg).mapInArrow(run, "id long, hub long, label long, change long, lead boolean"), "changes")
+    changes = written(with_texts(docs, written(ends, "ends"), cfg).mapInArrow(run, "id long, hub long, label long, change long, lead boolean, rest double, part double, base double"), "changes")
     lead = changes.where("lead").alias("x")
-    pairs = lead.join(changes.alias("y"), (F.col("x.hub") == F.col("y.hub")) & (F.col("x.change") == F.col("y.change")) & (F.col("x.label") != F.col("y.label")))
+    reach = F.expr("x.rest >= x.base + x.part + y.part - 1e-6")
+    pairs = lead.join(changes.alias("y"), (F.col("x.hub") == F.col("y.hub")) & (F.col("x.change") == F.col("y.change")) & (F.col("x.label") != F.col("y.label")) & reach)
     return _ordered(pairs, "x.id", "y.id")
 
 
