@@ -229,10 +229,13 @@ def _streamed(rows: DataFrame, cfg: Repeats) -> DataFrame:
     """Streams the segments of each shard, in document order, through the automaton of the earlier ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, automaton = None, Automaton()
+        now, last, automaton = None, None, Automaton()
         for batch in batches:
             docs, starts, ends = [], [], []
             for anchor, doc, at, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "at", "words"))):
+                if (anchor, doc, at) == last:
+                    continue  # an equal row
+                last = anchor, doc, at
                 if anchor != now:
                     now, automaton = anchor, Automaton()
                 seq = np.frombuffer(raw, np.int64).tolist()
