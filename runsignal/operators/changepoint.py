@@ -113,16 +113,17 @@ def segment(x: np.ndarray, min_rows: int, penalty: float) -> list[int]:
     return sorted(points)
 
 
-def change_points(rows: DataFrame, signals: list[str], cfg: Settings) -> DataFrame:
+def change_points(rows: DataFrame, signals: list[str], cfg: Settings, used: str | None = None) -> DataFrame:
     """(unit, run_id, breaks): row positions within the run where a new regime starts.
 
     Gaps in a signal are filled forward, then backward; signals are scaled by their population
-    deviation.  Runs shorter than three segments get no breaks.
+    deviation.  Runs shorter than three segments get no breaks.  The column ``used`` says how many of the signals
+    a run's unit has; without it all are used.
     """
     order = Window.partitionBy("unit", "run_id").orderBy("ts")
     past = order.rowsBetween(Window.unboundedPreceding, 0)
     run = Window.partitionBy("unit", "run_id")
-    filled = rows.select("unit", "run_id", "ts", *signals)
+    filled = rows.select("unit", "run_id", "ts", *signals, *([used] if used else []))
     for c in signals:
         # Before the first value only that first value can fill.
         first = F.first(c, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
@@ -132,6 +133,7 @@ def change_points(rows: DataFrame, signals: list[str], cfg: Settings) -> DataFra
         "run_id",
         "ts",
         F.count(F.lit(1)).over(run).alias("_n"),
+        (F.col(used) if used else F.lit(len(signals))).alias("_used"),
         *[
             ((F.col(f"_{c}") - F.avg(f"_{c}").over(run)) / (F.stddev_pop(f"_{c}").over(run) + 1e-9)).alias(c)
             for c in signals
@@ -140,11 +142,11 @@ def change_points(rows: DataFrame, signals: list[str], cfg: Settings) -> DataFra
     min_rows, penalty = cfg.cp_min_rows, cfg.cp_penalty
 
     def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("ts")[signals].to_numpy(dtype=float)
-        found = segment(x, min_rows, penalty) if np.isfinite(x).all() else []
+        x = pdf.sort_values("ts")[signals[: pdf["_used"].iloc[0]]].to_numpy(dtype=float)
+        found = segment(x, min_rows, penalty) if x.size and np.isfinite(x).all() else []
         return pd.DataFrame({"unit": [key[0]], "run_id": [key[1]], "breaks": [found]})
 
     unit_type = rows.schema["unit"].dataType.simpleString()
-    return scaled.select("unit", "run_id", "ts", *signals).groupBy("unit", "run_id").applyInPandas(
+    return scaled.select("unit", "run_id", "ts", "_used", *signals).groupBy("unit", "run_id").applyInPandas(
         search, schema=f"unit {unit_type}, run_id int, breaks array<int>"
     )

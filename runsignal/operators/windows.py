@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import days_between, half_even, hours_between, median, plus_hours
 from ..settings import PASSES, Settings
+from ..sources.historian import sent_if_small
 from .changepoint import change_points
 
 RUN = ["unit", "run_id"]
@@ -99,36 +100,43 @@ def analysis_windows(features: DataFrame, cfg: Settings, cot: str | None = "cot"
     return windows_of(label_windows(features, cfg, cot))
 
 
+AIR = tuple(f"decoke_air_{p}" for p in PASSES)
+SIGNALS = ("feed_total", "cot_ctrl", "cot")
+
+
+def _with_signals(rows: DataFrame) -> DataFrame:
+    """Adds missing signal columns as NULL, and per unit whether it has values of each (``_has_*``)."""
+    absent = {c: F.lit(None).cast("double") for c in (*AIR, *SIGNALS) if c not in rows.columns}
+    rows = rows.withColumns(absent) if absent else rows
+    some = {"air": F.count(F.coalesce(*(F.col(c) for c in AIR))), **{c: F.count(c) for c in SIGNALS}}
+    has = rows.groupBy("unit").agg(*((n > 0).alias(f"_has_{c}") for c, n in some.items()))
+    return rows.join(sent_if_small(has), "unit")
+
+
 def analysis_windows_v2(features: DataFrame, cfg: Settings) -> DataFrame:
     """Three layers: gap flag, setpoint stability and change points, combined per row.
 
-    Each layer uses its preferred signal when the column exists and has values in the run's unit,
-    else its fallback.
+    Each layer uses its preferred signal in the units where it has values, else its fallback; a unit gets the same
+    windows alone and among others.
     """
-    rows = _run_rows(features)
+    rows = _run_rows(_with_signals(features))
     run = Window.partitionBy(*RUN)
     order = run.orderBy("ts")
 
-    air = [f"decoke_air_{p}" for p in PASSES if f"decoke_air_{p}" in rows.columns]
     rows = add_feed_ok(rows, cfg)
-    if air:
-        flagged = F.coalesce(F.greatest(*air, F.lit(float("-inf"))) > cfg.air_on, F.lit(False))
-        rows = rows.withColumn("_on", ~flagged)
-    else:
-        rows = rows.withColumn("_on", F.col("feed_ok"))
-    gap_method = "decoke_air" if air else "feed_heuristic"
-
-    signals = [c for c in ("feed_total", "cot_ctrl", "cot") if c in rows.columns][:2]
-    if "cot_ctrl" in rows.columns:
-        step = F.coalesce(F.abs(F.col("cot_ctrl") - F.lag("cot_ctrl").over(order)), F.lit(0.0)) > cfg.setpoint_step
-        std = F.coalesce(rolling_std("cot_ctrl", cfg), F.lit(999.0)) < cfg.setpoint_std
-        rows = rows.withColumn("_stable", ~step & std)
-    elif "cot" in rows.columns:
-        rows = rows.withColumn("_stable", F.coalesce(rolling_std("cot", cfg), F.lit(999.0)) < cfg.cot_std)
-    else:
-        rows = rows.withColumn("_stable", F.lit(True))
-
-    breaks = change_points(rows, signals, cfg)  # one row per run
+    flagged = F.coalesce(F.greatest(*(F.col(c) for c in AIR), F.lit(float("-inf"))) > cfg.air_on, F.lit(False))
+    has_air, has_set, has_cot = (F.col(f"_has_{c}") for c in ("air", "cot_ctrl", "cot"))
+    rows = rows.withColumn("_on", F.when(has_air, ~flagged).otherwise(F.col("feed_ok")))
+
+    step = F.coalesce(F.abs(F.col("cot_ctrl") - F.lag("cot_ctrl").over(order)), F.lit(0.0)) > cfg.setpoint_step
+    std = F.coalesce(rolling_std("cot_ctrl", cfg), F.lit(999.0)) < cfg.setpoint_std
+    measured = F.coalesce(rolling_std("cot", cfg), F.lit(999.0)) < cfg.cot_std
+    rows = rows.withColumn("_stable", F.when(has_set, ~step & std).when(has_cot, measured).otherwise(F.lit(True)))
+
+    # The unit's own first two signals.
+    there = F.filter(F.array(*(F.struct(F.col(f"_has_{c}").alias("has"), F.col(c).cast("double").alias("v")) for c in SIGNALS)), lambda x: x["has"])
+    rows = rows.withColumns({"_n_signals": F.least(F.size(there), F.lit(2)), "_s1": F.get(there, F.lit(0))["v"], "_s2": F.get(there, F.lit(1))["v"]})
+    breaks = change_points(rows, ["_s1", "_s2"], cfg, "_n_signals")  # one row per run
     floor = plus_hours("run_start", cfg.warmup_hours)
     found = F.size("breaks") > 0
     rows = rows.withColumn("_row", F.row_number().over(order) - 1).withColumn("_rows", F.count(F.lit(1)).over(run))
@@ -153,6 +161,7 @@ def analysis_windows_v2(features: DataFrame, cfg: Settings) -> DataFrame:
             F.max(F.when(valid, F.col("ts"))).alias("analysis_end"),
             F.max("_rows").alias("_n"),
             F.coalesce(F.bool_or(found), F.lit(False)).alias("_cp"),
+            F.bool_or("_has_air").alias("_air"),
         )
         .withColumn("settled", F.col("analysis_start").isNotNull())
     )
@@ -162,7 +171,7 @@ def analysis_windows_v2(features: DataFrame, cfg: Settings) -> DataFrame:
         "warmup_method": F.when(~long_enough, "none")
         .when(F.col("_cp"), "pelt")
         .otherwise(f"heuristic_{cfg.warmup_hours:g}h"),
-        "decoke_method": F.when(long_enough, gap_method).otherwise("none"),
+        "decoke_method": F.when(~long_enough, "none").when(F.col("_air"), "decoke_air").otherwise("feed_heuristic"),
     }
     return finish_windows(bounds).withColumns(methods).select(*WINDOW_COLUMNS, *methods)
 

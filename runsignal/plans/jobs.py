@@ -73,10 +73,13 @@ def feature_tables(
     return tb.read_table(spark, path)
 
 
-def clean_tables(spark: SparkSession, features: DataFrame, out: str, start, end, cfg: Settings = Settings()) -> None:
+def clean_tables(
+    spark: SparkSession, features: DataFrame, out: str, start, end, cfg: Settings = Settings(), setpoints: bool = True
+) -> None:
     """Analysis windows by both methods, clean rows of each, and the comparison.
 
     Runs are found again from feed alone; only complete cycles are kept, under their own numbers.
+    ``setpoints=False`` judges stability by the measured temperature even where set points are recorded.
     """
     bare = features.drop("run_id", "run_start", "run_end", "run_age_days", "cracking")
     labelled = rn.label_runs(rn.add_activity(bare, cfg, use_online=False), cfg)
@@ -97,10 +100,7 @@ def clean_tables(spark: SparkSession, features: DataFrame, out: str, start, end,
     v1 = tb.read_table(spark, f"{out}/windows")
     tb.write_table(wn.quality_class(v1, cfg), f"{out}/window_quality", by=None)
 
-    # A unit without decoke air or set points would lose its fallback, so absent signals are dropped.
-    signals = frame.agg(*[F.count(c).alias(c) for c in ["cot_ctrl", *[f"decoke_air_{p}" for p in PASSES]]]).first()
-    usable = frame.drop(*[c for c in signals.asDict() if signals[c] == 0])
-    tb.write_table(wn.analysis_windows_v2(usable, cfg), f"{out}/windows_adv", by=None)
+    tb.write_table(wn.analysis_windows_v2(frame.drop("cot_ctrl") if not setpoints else frame, cfg), f"{out}/windows_adv", by=None)
     v2 = tb.read_table(spark, f"{out}/windows_adv")
     tb.write_csv(v2, f"{out}/windows_adv_csv")
     tb.write_table(wn.clean_rows(wn.attach_windows(frame, v2), "clean_adv"), f"{out}/clean_adv")

@@ -282,3 +282,19 @@ def test_window_method_two_uses_air_and_setpoints(spark):
     short = df.where("i < 20").withColumn("run_end", F.timestamp_seconds(F.lit(T0 + 19 * 1800)))
     r = wn.analysis_windows_v2(short, CFG).first()
     assert (r.settled, r.warmup_method, r.decoke_method, r.analysis_start) == (False, "none", "none", None)
+
+
+def test_second_method_chooses_signals_per_unit(spark):
+    """A unit without decoke air and set points gets the same windows alone and next to one that has them."""
+    from runsignal.operators import windows as wn
+
+    rows = spark.range(400).selectExpr(
+        "explode(array('A', 'B')) AS unit", "timestamp_seconds(1735689600 + 1800 * id) AS ts", "0 AS run_id", "timestamp'2025-01-01 00:00:00' AS run_start",
+        "timestamp_seconds(1735689600 + 1800 * 399) AS run_end", "100.0 + (id % 3) * 0.1 - IF(id < 60 OR id > 350, 30, 0) AS feed_total", "830.0 + (id % 2) * 0.1 AS cot",
+        "id AS i",
+    ).selectExpr("*", "IF(unit = 'A', 830.0, NULL) AS cot_ctrl", "IF(unit = 'A', IF(i < 100, 1.0, 0.0), NULL) AS decoke_air_A").drop("i")
+    cfg = Settings()
+    both = {r.unit: r for r in wn.analysis_windows_v2(rows, cfg).collect()}
+    alone = wn.analysis_windows_v2(rows.where("unit = 'B'").drop("cot_ctrl", "decoke_air_A"), cfg).first()
+    assert both["B"] == alone and alone.settled and alone.decoke_method == "feed_heuristic" and alone.pelt_used
+    assert both["A"].decoke_method == "decoke_air" and both["A"].analysis_start != alone.analysis_start
