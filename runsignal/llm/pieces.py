@@ -6,7 +6,9 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,15 +16,15 @@ from pyspark.sql import functions as F
 from .scratch import per_process
 from .words import chunks
 
-SPACE = "▁"
+MARK = "▁"
 
 
 @dataclass
 class Pieces:
     """Vocabulary of a BPE model with byte fallback: ids of pieces and bytes, and the rank at which a piece is merged.
 
-    ``splits``: no piece goes on with a space mark after another character, so a text falls into
-    independent segments there.  ``keep``: most segments and pairs of pieces remembered.
+    Space marks are kept as spaces.  ``inner``: pairs of characters that some piece holds side by side; between any others all
+    paths meet.  ``splits``: no piece goes on with a space after another character.  ``keep``: most runs remembered.
     """
 
     ids: dict[str, int]
@@ -31,10 +33,12 @@ class Pieces:
     raw: list[bytes]
     longest: int
     prefix: bool
+    inner: frozenset
     splits: bool
-    keep: int = 400_000
+    keep: int = 250_000
     apart: dict = field(default_factory=dict)
     known: dict = field(default_factory=dict)
+    older: dict = field(default_factory=dict)
 
     @classmethod
     def load(cls, model: bytes) -> Pieces:
@@ -49,10 +53,12 @@ class Pieces:
             elif sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i):
                 raw.append(b"")
             else:
+                piece = piece.replace(MARK, " ")
                 ids[piece], rank[piece] = i, -sp.get_score(i)
-                raw.append(piece.replace(SPACE, " ").encode())
-        prefix = sp.encode("a", out_type=str)[0].startswith(SPACE)
-        return cls(ids, rank, byte, raw, max(map(len, ids)), prefix, not any(SPACE in p.lstrip(SPACE) for p in ids))
+                raw.append(piece.encode())
+        prefix = sp.encode("a", out_type=str)[0].startswith(MARK)
+        inner = frozenset(p[i : i + 2] for p in ids for i in range(len(p) - 1))
+        return cls(ids, rank, byte, raw, max(map(len, ids)), prefix, inner, not any(x[1] == " " != x[0] for x in inner))
 
     def stays_apart(self, left: str, right: str) -> bool:
         """Whether the model, given left + right, ends with these two pieces (with left empty: with right alone).
@@ -69,32 +75,77 @@ class Pieces:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts == ([left, right] if left else [right])
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> bytes:
+        """Ids of a text, as packed 32-bit integers."""
         if not text:
-            return []
-        marked = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
-        out: list[int] = []
-        known = self.known
-        for segment in _SEGMENT.findall(marked) if self.splits else [marked]:
-            ids = known.get(segment)
+            return b""
+        marked = (" " if self.prefix else "") + text.replace(MARK, " ")
+        parts = _SEGMENT.findall(marked) if self.splits else [marked]
+        known, out = self.known, []
+        for part in parts:
+            ids = known.get(part)
             if ids is None:
-                stream = Stream(self)
-                ids = stream.feed(segment) + stream.finish()
-                if len(segment) <= 64:
-                    if len(known) >= self.keep:
-                        known.clear()
-                    known[segment] = ids
-            out += ids
+                ids = self._remember(part, self._runs)
+                known = self.known
+            out.append(ids)
+        return b"".join(out)
+
+    def _remember(self, part: str, make) -> bytes:
+        """From the older half of what is known, or made; the older half goes when the newer one is full."""
+        ids = self.older.get(part)
+        if ids is None:
+            ids = make(part)
+        if len(part) <= 64:
+            if len(self.known) >= self.keep:
+                self.older, self.known = self.known, {}
+            self.known[part] = ids
+        return ids
+
+    def _runs(self, segment: str) -> bytes:
+        """A segment falls into runs between characters that no piece holds side by side."""
+        inner = self.inner
+        cuts = [i for i in range(1, len(segment)) if segment[i - 1 : i + 1] not in inner]
+        if not cuts:
+            return self._stream(segment)
+        out = []
+        for a, b in zip([0, *cuts], [*cuts, len(segment)]):
+            run = segment[a:b]
+            ids = self.known.get(run)
+            out.append(self._remember(run, self._stream) if ids is None else ids)
+        return b"".join(out)
+
+    def _stream(self, run: str) -> bytes:
+        stream = Stream(self)
+        ids = stream.feed(run)
+        return np.array(ids + stream.finish(), np.int32).tobytes()
+
+    def decoder(self) -> Decoder:
+        return Decoder(self.raw, self.prefix)
+
+
+class Decoder:
+    """Texts of many id lists at once; ids outside the vocabulary count nothing, broken bytes become U+FFFD."""
+
+    def __init__(self, raw: list[bytes], prefix: bool) -> None:
+        self.data = np.frombuffer(b"".join(raw), np.uint8)
+        self.size = np.array([*map(len, raw), 0])
+        self.at = np.concatenate(([0], np.cumsum(self.size[:-1])))
+        self.prefix = prefix
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        ids = np.where((ids >= 0) & (ids < len(self.size) - 1), ids, len(self.size) - 1)
+        size = self.size[ids]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        raw = self.data[np.arange(ends[-1]) + np.repeat(self.at[ids] - ends[:-1], size)].tobytes()
+        out = []
+        for a, b in zip(ends[offsets[:-1]], ends[offsets[1:]]):
+            if self.prefix and raw[a : a + 1] == b" " and b > a:
+                a += 1
+            out.append(raw[a:b].decode("utf-8", "replace"))
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        """Text of the ids; ids outside the vocabulary count nothing, broken bytes become U+FFFD."""
-        raw, n = self.raw, len(self.raw)
-        text = b"".join([raw[i] for i in ids if 0 <= i < n]).decode("utf-8", "replace")
-        return text[1:] if self.prefix and text.startswith(" ") else text
 
-
-_SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+_SEGMENT = re.compile(" +[^ ]*|[^ ]+")
 
 
 class Stream:
@@ -114,35 +165,40 @@ class Stream:
         self.widest = 0
 
     def feed(self, text: str) -> list[int]:
-        v, out = self.v, []
-        ids, longest, apart = v.ids, v.longest, v.apart
-        for char in text:
+        ids, out, at = self.v.ids, [], 0
+        for i, char in enumerate(text):
             if char not in ids:
                 # No piece holds it: what comes before is final.
-                out += self.finish()
-                out += [v.byte[b] for b in char.encode("utf-8", "surrogatepass")]
-                self.before = ""
-                continue
-            self.text += char
-            now, back, end = self.text, self.back, len(self.text)
+                out += self._extend(text[at:i]) + self.finish()
+                out += [self.v.byte[b] for b in char.encode("utf-8", "surrogatepass")]
+                self.before, at = "", i + 1
+        return out + self._extend(text[at:])
+
+    def _extend(self, text: str) -> list[int]:
+        v, out = self.v, []
+        ids, longest, apart = v.ids, v.longest, v.apart
+        self.text += text
+        now, back, end = self.text, self.back, len(self.back)
+        while end <= len(now):
             found = -1
-            for start in range(max(0, end - longest), end):
-                if back[start] >= 0:
-                    piece = now[start:end]
-                    if piece in ids:
-                        pair = (now[back[start] : start] if start else self.before, piece)
-                        ok = apart.get(pair)
-                        if ok is None:
-                            if len(apart) >= v.keep:
-                                apart.clear()
-                            ok = apart[pair] = v.stays_apart(*pair) and (not pair[0] or v.stays_apart("", piece))
-                        if ok:
-                            found = start
-                            break
+            for start in range(end - longest if end > longest else 0, end):
+                piece = now[start:end]
+                if piece in ids and back[start] >= 0:
+                    pair = (now[back[start] : start] if start else self.before, piece)
+                    ok = apart.get(pair)
+                    if ok is None:
+                        if len(apart) >= 2 * v.keep:
+                            apart.clear()
+                        ok = apart[pair] = v.stays_apart(*pair) and (not pair[0] or v.stays_apart("", piece))
+                    if ok:
+                        found = start
+                        break
             back.append(found)
             if end > 2 * longest:
                 self.widest = max(self.widest, end)
                 out += self._commit(self._meeting())
+                now, back, end = self.text, self.back, len(self.back) - 1
+            end += 1
         return out
 
     def finish(self) -> list[int]:
@@ -183,8 +239,11 @@ def encoded(docs: DataFrame, model: bytes) -> DataFrame:
         pieces = per_process(model, Pieces.load)
         for batch in batches:
             for part in chunks(batch):
-                ids = [None if t is None else pieces.encode(t) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(ids, pa.list_(pa.int32()))], names=["row", "ids"])
+                texts = part.column("text")
+                blobs = [pieces.encode(t) if t else b"" for t in texts.to_pylist()]
+                flat = pa.array(np.frombuffer(b"".join(blobs), np.int32))
+                offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) // 4 for x in blobs]))).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.ListArray.from_arrays(offsets, flat, mask=texts.is_null())], names=["row", "ids"])
 
     rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
     return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>")
@@ -194,12 +253,17 @@ def decoded(rows: DataFrame, model: bytes) -> DataFrame:
     """``(row, text)`` for every row with an ``ids`` column: the row itself and the text of its ids; null for null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = per_process(model, Pieces.load)
+        decoder = per_process(model, Pieces.load).decoder()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [None if i is None else pieces.decode(i) for i in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
+                ids = part.column("ids")
+                # A null list may still span values: its own length counts.
+                size = pa.compute.fill_null(pa.compute.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+                flat = pa.compute.fill_null(ids.flatten(), -1).to_numpy(zero_copy_only=False)
+                texts = pa.array(decoder.decode(flat, np.concatenate(([0], np.cumsum(size)))), pa.string())
+                texts = pa.compute.if_else(ids.is_null(), pa.scalar(None, pa.string()), texts)
+                yield pa.RecordBatch.from_arrays([part.column("row"), texts], names=["row", "text"])
 
     rows = rows.select(F.struct(*rows.columns).alias("row"), "ids")
     return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, text string")
