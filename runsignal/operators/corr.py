@@ -46,12 +46,8 @@ def pairs_of(df: DataFrame, pairs: list[tuple[str, str]], keys: list[str]) -> Da
 
 
 def _average_rank(value: str, by: list[str]) -> Column:
-    """Rank with ties sharing their mean position.
-
-    Sums carry noise in their last bits that depends on the order of addition.  Values are
-    compared at single precision, so that equal ones stay ties whatever that order was.
-    """
-    w = Window.partitionBy(*by).orderBy(F.round(value, 9).cast("float"))
+    """Rank of the full value, ties sharing their mean position."""
+    w = Window.partitionBy(*by).orderBy(value)
     upto = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return (F.rank().over(w) + F.count(F.lit(1)).over(upto)) / F.lit(2.0)
 

@@ -112,13 +112,13 @@ def _listed(per_tag: DataFrame, tags: DataFrame | None) -> DataFrame:
     return per_tag if tags is None else per_tag.join(tags.select("id").distinct(), "id", "left_semi")
 
 
-def coverage_matrix(by_year: DataFrame, years: list[int]) -> DataFrame:
-    """Tag x year counts, 0 where a tag has no sample."""
-    names = [str(y) for y in years]
-    return by_year.groupBy("id").pivot("yr", years).sum("n").na.fill(0, names)
+def coverage_matrix(by_year: DataFrame) -> DataFrame:
+    """Tag x year counts over all years present, 0 where a tag has no sample."""
+    wide = by_year.groupBy("id").pivot("yr").sum("n")
+    return wide.na.fill(0, wide.columns[1:])
 
 
-def role_by_year(by_year: DataFrame, roles: DataFrame, years: list[int]) -> DataFrame:
-    """Role x year counts; ``roles`` maps id to role."""
-    names = [str(y) for y in years]
-    return by_year.join(roles.select("id", "role"), "id").groupBy("role").pivot("yr", years).sum("n").na.fill(0, names)
+def role_by_year(by_year: DataFrame, roles: DataFrame) -> DataFrame:
+    """Role x year counts over all years present; ``roles`` maps id to role."""
+    wide = by_year.join(roles.select("id", "role"), "id").groupBy("role").pivot("yr").sum("n")
+    return wide.na.fill(0, wide.columns[1:])

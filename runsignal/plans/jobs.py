@@ -6,6 +6,8 @@ actions are table writes.  Tables already present are reused unless ``refresh``
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,16 +42,15 @@ def history_of(events: DataFrame, catalog: DataFrame, start, end, cfg: Settings)
 
 
 def coverage_report(
-    spark: SparkSession, events: DataFrame, metadata: DataFrame, out: str, years: list[int], unit: str | None = None,
-    refresh: bool = False,
+    spark: SparkSession, events: DataFrame, metadata: DataFrame, out: str, unit: str | None = None, refresh: bool = False,
 ) -> None:
     """Samples per tag and year, and per role and year."""
     tags = _only(load_catalog(spark, metadata, out, refresh), unit)
     tb.write_table(rs.coverage_by_year(events, tags), f"{out}/coverage_by_year", by=None)
     by_year = tb.read_table(spark, f"{out}/coverage_by_year")
     tb.write_table(rs.coverage(events, tags), f"{out}/coverage", by=None)
-    tb.write_table(rs.coverage_matrix(by_year, years), f"{out}/coverage_matrix", by=None)
-    tb.write_table(rs.role_by_year(by_year, tags, years), f"{out}/coverage_roles", by=None)
+    tb.write_table(rs.coverage_matrix(by_year), f"{out}/coverage_matrix", by=None)
+    tb.write_table(rs.role_by_year(by_year, tags), f"{out}/coverage_roles", by=None)
     tb.write_table(ct.count_roles(tags), f"{out}/catalog_roles", by=None)
     tb.write_table(ct.count_passes(tags), f"{out}/catalog_passes", by=None)
     tb.write_table(ct.incomplete_passes(tags), f"{out}/catalog_incomplete", by=None)
@@ -59,18 +60,36 @@ def feature_tables(
     spark: SparkSession, events: DataFrame, metadata: DataFrame, out: str, start, end, cfg: Settings = Settings(),
     unit: str | None = None, proxy: bool = False, refresh: bool = False,
 ) -> DataFrame:
-    """Feature matrix with everything that needs the sensors: drift bands, trajectories, tag health."""
-    path = f"{out}/features"
-    if refresh or not tb.exists(spark, path):
-        tags = _only(load_catalog(spark, metadata, out, refresh), unit)
-        prep = ft.prepare(history_of(events, tags, start, end, cfg), tags, cfg, proxy=proxy)
-        tb.write_table(ft.build_features(prep, cfg, extras=True), path)
-        drift = dr.sensor_drift(prep.sensors, prep.labels, cfg)
-        tb.write_table(cv.pass_bands(drift, prep.labels, cfg), f"{out}/pass_bands")
-        tb.write_table(cv.axis_range(tb.read_table(spark, f"{out}/pass_bands")), f"{out}/axis_range", by=None)
-        tb.write_table(cv.trajectories(ft.with_health(prep, cfg)), f"{out}/trajectories")
-        tb.write_table(ql.tag_health(prep.history, cfg), f"{out}/tag_health", by=None)
-    return tb.read_table(spark, path)
+    """Feature matrix with everything that needs the sensors: drift bands, trajectories, tag health.
+
+    Saved tables are kept apart by unit, range, mode and settings (``request_folder``), and each is reused only if it is
+    complete: another request, or a job cut off half-way, never answers this one.
+    """
+    at = request_folder(out, unit, start, end, proxy, cfg)
+    made: dict = {}
+
+    def prepared():
+        if not made:
+            tags = _only(load_catalog(spark, metadata, out, refresh), unit)
+            made["prep"] = ft.prepare(history_of(events, tags, start, end, cfg), tags, cfg, proxy=proxy)
+        return made["prep"]
+
+    builders = {
+        "features": (lambda: ft.build_features(prepared(), cfg, extras=True), "unit"),
+        "pass_bands": (lambda: cv.pass_bands(dr.sensor_drift(prepared().sensors, prepared().labels, cfg), prepared().labels, cfg), "unit"),
+        "axis_range": (lambda: cv.axis_range(tb.read_table(spark, f"{at}/pass_bands")), None),
+        "trajectories": (lambda: cv.trajectories(ft.with_health(prepared(), cfg)), "unit"),
+        "tag_health": (lambda: ql.tag_health(prepared().history, cfg), None),
+    }
+    for name, (build, by) in builders.items():
+        tb.read_or_build(spark, f"{at}/{name}", build, refresh, by=by)
+    return tb.read_table(spark, f"{at}/features")
+
+
+def request_folder(out: str, unit, start, end, proxy: bool, cfg: Settings) -> str:
+    """Folder of one request's tables: the unit in clear, everything else that changes rows as a digest."""
+    digest = hashlib.sha256(repr((str(start), str(end), proxy, cfg)).encode()).hexdigest()[:16]
+    return f"{out}/requests/{unit or 'all'}-{digest}"
 
 
 def clean_tables(

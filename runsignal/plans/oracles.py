@@ -106,9 +106,8 @@ oracle(
 )
 oracle(
     "role_year",
-    "role y2024:i y2025:i",
-    """SELECT role, count(*) FILTER (year(time) = 2024) AS y2024, count(*) FILTER (year(time) = 2025) AS y2025
-       FROM samples_e GROUP BY role""",
+    "role yr:i n:i",
+    """SELECT role, yr, count(*) FILTER (year(time) = yr) AS n FROM samples_e, (SELECT DISTINCT year(time) AS yr FROM samples_e) GROUP BY role, yr""",
 )
 
 # ---- line items as history -------------------------------------------------------------------
@@ -129,10 +128,9 @@ FROM lines GROUP BY ALL"""
 oracle("coverage_by_year", "id yr:i n:i", "SELECT unit || ':' || ln AS id, year(l_shipdate) AS yr, count(*) AS n FROM lines GROUP BY ALL")
 oracle(
     "coverage_matrix",
-    "id " + " ".join(f"y{y}:i" for y in range(1995, 2002)),
-    "SELECT unit || ':' || ln AS id, "
-    + ", ".join(f"count(*) FILTER (year(l_shipdate) = {y}) AS y{y}" for y in range(1995, 2002))
-    + " FROM lines GROUP BY ALL",
+    "id yr:i n:i",
+    """SELECT unit || ':' || ln AS id, yr, count(*) FILTER (year(l_shipdate) = yr) AS n
+       FROM lines, (SELECT DISTINCT year(l_shipdate) AS yr FROM lines) GROUP BY unit, ln, yr""",
 )
 oracle(
     "lever_wide",
@@ -220,8 +218,8 @@ oracle(
     "complete_cycles",
     "unit run:i start:t end:t",
     f"""SELECT unit, run, run_start AS start, run_end AS "end" FROM runs_f
-        WHERE epoch(run_start) - epoch(TIMESTAMP '1995-01-02') >= {W.edge_hours * 3600}
-          AND epoch(TIMESTAMP '2001-11-04') - epoch(run_end) >= {W.edge_hours * 3600}""",
+        WHERE epoch(run_start) - (SELECT min(epoch(l_shipdate)) FROM lineitem) >= {W.edge_hours * 3600}
+          AND (SELECT max(epoch(l_shipdate)) FROM lineitem) - epoch(run_end) >= {W.edge_hours * 3600}""",
 )
 oracle(
     "unit_outliers",
@@ -426,9 +424,9 @@ oracle(
 
 
 def pairs(rows: str, combos, keys: str = "unit") -> str:
-    """Complete pairs (keys, a, b, x, y)."""
+    """Complete pairs (keys, a, b, x, y) of the table as the queries give it to the operators: doubles at single precision."""
     parts = [
-        f"SELECT {keys}, '{a}' AS a, '{b}' AS b, CAST({a} AS DOUBLE) AS x, CAST({b} AS DOUBLE) AS y FROM {rows} WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
+        f"SELECT {keys}, '{a}' AS a, '{b}' AS b, CAST(CAST(round({a}, 9) AS FLOAT) AS DOUBLE) AS x, CAST(CAST(round({b}, 9) AS FLOAT) AS DOUBLE) AS y FROM {rows} WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
         for a, b in combos
     ]
     return "\nUNION ALL ".join(parts)
@@ -438,9 +436,9 @@ def kernel(pair_sql: str, keys: str = "unit") -> str:
     by = f"{keys}, a, b"
     return f"""
 SELECT {by}, count(*) AS n, {pearson('x', 'y')} AS pearson, {pearson('rx', 'ry')} AS spearman, stddev_samp(x) AS x_std
-FROM (SELECT *, rank() OVER (PARTITION BY {by} ORDER BY sx) + (count(*) OVER (PARTITION BY {by}, sx) - 1) / 2.0 AS rx,
-             rank() OVER (PARTITION BY {by} ORDER BY sy) + (count(*) OVER (PARTITION BY {by}, sy) - 1) / 2.0 AS ry
-      FROM (SELECT *, CAST(round(x, 9) AS FLOAT) AS sx, CAST(round(y, 9) AS FLOAT) AS sy FROM ({pair_sql}))) GROUP BY {by}"""
+FROM (SELECT *, rank() OVER (PARTITION BY {by} ORDER BY x) + (count(*) OVER (PARTITION BY {by}, x) - 1) / 2.0 AS rx,
+             rank() OVER (PARTITION BY {by} ORDER BY y) + (count(*) OVER (PARTITION BY {by}, y) - 1) / 2.0 AS ry
+      FROM ({pair_sql})) GROUP BY {by}"""
 
 
 CTE["active_c"] = "SELECT * FROM feat_c WHERE cracking"

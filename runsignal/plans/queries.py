@@ -29,12 +29,14 @@ from .samples import HALF_DAY, WEEKLY
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-YEARS = list(range(1995, 2002))
-# Range of ship dates in the given tables; complete cycles are judged against it.
-DATA_START, DATA_END = "1995-01-02 00:00:00", "2001-11-04 00:00:00"
 RANK_DRIVERS = ("cot", "feed_total", "steam_total", "steam_hc", "resid_proxy", "tube_cot_mean", "run_age_days")
 
 
+def by_columns(wide: DataFrame, key: str) -> DataFrame:
+    """A year matrix as (key, yr, n): its columns depend on the data."""
+    return present(wide.unpivot([key], None, "yr", "n").withColumn("yr", F.col("yr").cast("long")))
+
+
 def query(fn: Query) -> Query:
     QUERIES[fn.__name__] = fn
     return fn
@@ -75,6 +77,16 @@ def full_features(spark, d) -> DataFrame:
     return ft.build_features(full(spark, d), WEEKLY)
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """The table that the correlation queries are given, on both engines: doubles at single precision.
+
+    Its decimal fractions were summed in an order of each engine's own, so that values that are equal by
+    nature differ in their last bits.  The operators themselves rank full doubles.
+    """
+    doubles = [f.name for f in rows.schema.fields if f.dataType.simpleString() == "double"]
+    return rows.withColumns({c: F.round(c, 9).cast("float").cast("double") for c in doubles})
+
+
 def line_events(spark, d) -> DataFrame:
     """Ship dates and prices as raw samples."""
     return sm.line_times(spark, d).select(
@@ -131,14 +143,13 @@ def coverage_by_year(spark, d):
 
 @query
 def coverage_matrix(spark, d):
-    out = rs.coverage_matrix(rs.coverage_by_year(line_events(spark, d)), YEARS)
-    return present(out, "id", *[f"{y}=y{y}" for y in YEARS])
+    return by_columns(rs.coverage_matrix(rs.coverage_by_year(line_events(spark, d))), "id")
 
 
 @query
 def role_year(spark, d):
     by_year = rs.coverage_by_year(sm.event_samples(spark, d))
-    return present(rs.role_by_year(by_year, sm.event_catalog(spark, d), [2024, 2025]), "role", "2024=y2024", "2025=y2025")
+    return by_columns(rs.role_by_year(by_year, sm.event_catalog(spark, d)), "role")
 
 
 # ---- catalog ---------------------------------------------------------------------------------
@@ -229,9 +240,14 @@ def run_lookup(spark, d):
     return present(rn.attach_runs(times, runs), "unit", "ts", "run_id", "run_age_days")
 
 
+def data_range(spark, d) -> tuple:
+    """First and last time in the samples: complete cycles are judged against them."""
+    return tuple(line_events(spark, d).agg(F.min("EventTime").cast("timestamp"), F.max("EventTime").cast("timestamp")).first())
+
+
 @query
 def complete_cycles(spark, d):
-    return present(rn.complete_cycles(rn.runs_of(feed_frame(spark, d)), DATA_START, DATA_END, WEEKLY))
+    return present(rn.complete_cycles(rn.runs_of(feed_frame(spark, d)), *data_range(spark, d), WEEKLY))
 
 
 # ---- drift -----------------------------------------------------------------------------------
@@ -319,7 +335,7 @@ def run_summary(spark, d):
 
 @query
 def run_level_corr(spark, d):
-    return present(co.run_level_correlations(ft.run_summary(full_features(spark, d), WEEKLY)))
+    return present(co.run_level_correlations(settled(ft.run_summary(full_features(spark, d), WEEKLY))))
 
 
 # ---- windows ---------------------------------------------------------------------------------
@@ -452,22 +468,22 @@ def aged(frame: DataFrame) -> DataFrame:
 
 @query
 def corr_matrix(spark, d):
-    return present(co.correlation_matrix(full_features(spark, d), WEEKLY))
+    return present(co.correlation_matrix(settled(full_features(spark, d)), WEEKLY))
 
 
 @query
 def corr_matrix_pearson(spark, d):
-    return present(co.correlation_matrix(full_features(spark, d), WEEKLY, method="pearson"))
+    return present(co.correlation_matrix(settled(full_features(spark, d)), WEEKLY, method="pearson"))
 
 
 @query
 def driver_rank(spark, d):
-    return present(co.driver_rank(core_features(spark, d), "dd_abs_max", WEEKLY, RANK_DRIVERS))
+    return present(co.driver_rank(settled(core_features(spark, d)), "dd_abs_max", WEEKLY, RANK_DRIVERS))
 
 
 @query
 def driver_rank_rate(spark, d):
-    return present(co.driver_rank(core_features(spark, d), "coking_rate", WEEKLY, RANK_DRIVERS))
+    return present(co.driver_rank(settled(core_features(spark, d)), "coking_rate", WEEKLY, RANK_DRIVERS))
 
 
 @query
@@ -487,13 +503,13 @@ def best_lag(spark, d):
 
 @query
 def phase_rank(spark, d):
-    return present(co.phase_rank(core_features(spark, d), "dd_abs_max", WEEKLY, drivers=RANK_DRIVERS))
+    return present(co.phase_rank(settled(core_features(spark, d)), "dd_abs_max", WEEKLY, drivers=RANK_DRIVERS))
 
 
 def phases(spark, d, with_p: bool) -> DataFrame:
     feat = wn.label_windows(core_features(spark, d), WEEKLY)
     drivers = ("cot", "feed_total", "steam_hc", "run_age_days", "steam_hc_spread")
-    return co.phase_correlations(wn.clean_rows(feat), "dd_abs_max", drivers, days=35.0, with_p=with_p)
+    return co.phase_correlations(settled(wn.clean_rows(feat)), "dd_abs_max", drivers, days=35.0, with_p=with_p)
 
 
 @query
@@ -513,17 +529,17 @@ def driver_class(spark, d):
 
 @query
 def pass_corr(spark, d):
-    return present(co.pass_correlations(core_features(spark, d), WEEKLY))
+    return present(co.pass_correlations(settled(core_features(spark, d)), WEEKLY))
 
 
 @query
 def pair_points(spark, d):
-    return present(co.pair_points(core_features(spark, d), "steam_hc", "coking_rate"))
+    return present(co.pair_points(settled(core_features(spark, d)), "steam_hc", "coking_rate"))
 
 
 @query
 def pair_label(spark, d):
-    points = co.pair_points(core_features(spark, d), "steam_hc", "coking_rate")
+    points = co.pair_points(settled(core_features(spark, d)), "steam_hc", "coking_rate")
     return present(co.pair_label(points, "steam_hc", "coking_rate"))
 
 
@@ -605,7 +621,7 @@ def proxy_check(spark, d):
 
 @query
 def pinned(spark, d):
-    return present(ql.pinned_values(sm.line_history(spark, d, ("feed_flow", "dil_steam", "effluent_GC"))))
+    return present(ql.pinned_values(sm.line_history(spark, d, ("feed_flow", "dil_steam", "effluent_GC")).withColumn("value", F.round("value", 9))))
 
 
 # ---- fleet -----------------------------------------------------------------------------------
@@ -613,7 +629,7 @@ def pinned(spark, d):
 
 @query
 def sign_agreement(spark, d):
-    return present(fl.sign_agreement(co.driver_rank(core_features(spark, d), "dd_abs_max", WEEKLY, RANK_DRIVERS)))
+    return present(fl.sign_agreement(co.driver_rank(settled(core_features(spark, d)), "dd_abs_max", WEEKLY, RANK_DRIVERS)))
 
 
 @query

@@ -52,10 +52,7 @@ def good_samples(events: DataFrame, start=None, end=None) -> DataFrame:
 def only_tags(samples: DataFrame, tags: DataFrame) -> DataFrame:
     """Keep samples of the tags listed in ``tags.id``.
 
-    A checked, bounded id list goes to the samples.  A longer one must not shuffle raw rows by
-    tag (one tag may hold a third of them), so the caller then filters after aggregation.
+    A checked, bounded id list goes to the samples; a longer one is joined by tag, where a tag that holds
+    a third of all samples is split at run time.  The rows are the same either way.
     """
-    ids = tags.select("id").distinct()
-    if fits_broadcast(ids):
-        return samples.join(F.broadcast(ids), "id", "left_semi")
-    return samples
+    return samples.join(sent_if_small(tags.select("id").distinct()), "id", "left_semi")

@@ -43,8 +43,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table has been written to its end: a job cut off half-way leaves no success mark."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
@@ -91,8 +92,8 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_or_build(spark: SparkSession, path: str, build, refresh: bool = False, by: str | None = "unit") -> DataFrame:
-    """Saved table if there is one, else build it, save it and read it back."""
-    if refresh or not exists(spark, path):
+    """Saved table if there is a complete one, else build it, save it and read it back."""
+    if refresh or not complete(spark, path):
         write_table(build(), path, by=by)
     return read_table(spark, path)
 

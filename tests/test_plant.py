@@ -26,7 +26,7 @@ def data(spark, tmp_path_factory):
 def out(spark, data, tmp_path_factory):
     folder = "file://" + str(tmp_path_factory.mktemp("out"))
     jobs.fleet_report(spark, *data, folder, START, END, CFG)
-    jobs.coverage_report(spark, *data, folder, [2024, 2025])
+    jobs.coverage_report(spark, *data, folder)
     return folder
 
 
@@ -52,11 +52,11 @@ def test_largest_drift_is_the_steepest_sensor(spark, data):
 
 
 def test_bad_samples_never_arrive(spark, out):
-    assert tb.read_table(spark, f"{out}/features").agg(F.max("cot")).first()[0] <= 833.0
+    assert tb.read_table(spark, jobs.request_folder(out, None, START, END, False, CFG) + "/features").agg(F.max("cot")).first()[0] <= 833.0
 
 
 def test_feature_matrix_shape(spark, out):
-    f = tb.read_table(spark, f"{out}/features")
+    f = tb.read_table(spark, jobs.request_folder(out, None, START, END, False, CFG) + "/features")
     assert set(ft.FEATURE_COLUMNS) <= set(f.columns)
     assert f.count() == 7 * 2880  # dense grid, outage rows included
     silent = f.where("feed_total = 0 AND cot IS NULL").groupBy("unit").count().collect()
@@ -79,7 +79,7 @@ def test_windows_written_both_ways(spark, out):
 
 def test_coverage(spark, out):
     m = tb.read_table(spark, f"{out}/coverage_matrix")
-    assert m.where("`2024` <> 0").count() == 0 and m.count() == 7 * (1 + 4 + 4 + 16) + 1
+    assert m.columns == ["id", "2025"] and m.count() == 7 * (1 + 4 + 4 + 16) + 1
     roles = {r.role: r["2025"] for r in tb.read_table(spark, f"{out}/coverage_roles").collect()}
     assert roles["feed_flow"] == roles["dil_steam"] == 80080
     assert roles["cot_ctrl"] == 2 * 20020  # bad samples count too
@@ -92,6 +92,21 @@ def test_every_unit_agrees(spark, out):
     assert tb.read_table(spark, f"{out}/pooled_by_age").count() > 20
 
 
+def test_requests_do_not_answer_each_other(spark, data, tmp_path):
+    folder = f"file://{tmp_path}"
+    one = jobs.feature_tables(spark, *data, folder, START, END, CFG, unit="1HA")
+    assert {r.unit for r in one.select("unit").distinct().collect()} == {"1HA"}
+    all_units = jobs.feature_tables(spark, *data, folder, START, END, CFG)
+    assert all_units.select("unit").distinct().count() == 7
+    shorter = jobs.feature_tables(spark, *data, folder, START, "2025-01-20", CFG, unit="1HA")
+    assert 0 < shorter.count() < one.count()
+    # A table without its success mark was cut off: it is built again.
+    at = tmp_path / jobs.request_folder("x", "1HA", START, END, False, CFG)[2:]
+    (at / "features" / "_SUCCESS").unlink()
+    assert jobs.feature_tables(spark, *data, folder, START, END, CFG, unit="1HA").count() == one.count()
+    assert (at / "features" / "_SUCCESS").exists()
+
+
 def test_saved_features_are_reused(spark, data, out):
     again = jobs.feature_tables(spark, spark.createDataFrame([], data[0].schema), data[1], out, START, END, CFG)
     assert again.count() == 7 * 2880

@@ -298,3 +298,36 @@ def test_second_method_chooses_signals_per_unit(spark):
     alone = wn.analysis_windows_v2(rows.where("unit = 'B'").drop("cot_ctrl", "decoke_air_A"), cfg).first()
     assert both["B"] == alone and alone.settled and alone.decoke_method == "feed_heuristic" and alone.pelt_used
     assert both["A"].decoke_method == "decoke_air" and both["A"].analysis_start != alone.analysis_start
+
+
+def test_ranks_compare_full_doubles(spark):
+    """Values that differ from the eighth digit on keep their order and stay distinct."""
+    from runsignal.operators import quality as ql
+
+    rows = spark.range(60).selectExpr("'A' AS unit", "830 + 1e-5 * id AS cot", "50000 + 0.001 * id AS draft", "1.0 * id AS y")
+    got = co.pair_correlations(co.pairs_of(rows, [("cot", "y"), ("draft", "y")], ["unit"]), ["unit"]).collect()
+    assert [r.spearman for r in got] == pytest.approx([1.0, 1.0], abs=1e-12)
+    small = spark.range(1000).selectExpr("'A' AS unit", "'t' AS id", "1 / (20000 + 0.01 * id) AS value")
+    assert ql.pinned_values(small).first().distinct_values == 1000
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """Started from another folder, with nothing on PYTHONPATH, Python workers still run the package's functions."""
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {repo!r})
+from runsignal.session import local_session
+from runsignal.operators.changepoint import change_points
+from runsignal.settings import Settings
+spark = local_session(2, 2)
+rows = spark.range(180).selectExpr("'A' AS unit", "0 AS run_id", "timestamp_seconds(id * 1800) AS ts", "IF(id < 90, 0.0, 5.0) AS x")
+print("breaks", change_points(rows, ["x"], Settings()).first().breaks)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "breaks [90]" in done.stdout, done.stderr[-2000:]
