@@ -61,7 +61,8 @@ def measured(docs: DataFrame, cfg: Rules = Rules()) -> DataFrame:
     steps = F.transform("m_at", lambda p, i: F.coalesce(F.least(F.lit(k), F.get("m_at", i + 1) - p), F.lit(k)))
     out = out.withColumn("m_repeat", F.aggregate(steps, F.lit(0), lambda a, x: a + x))
     m = {"n_words": "m_n", "word_chars": "m_chars", "n_symbols": "m_symbols", "n_lines": "m_n_lines", "n_dup_lines": "m_dup", "n_repeat_words": "m_repeat"}
-    return out.select("row", F.struct(*(F.col(c).cast("long").alias(n) for n, c in m.items())).alias("m"))
+    # Exploding the one struct keeps later filters from being moved below: they would count everything anew.
+    return out.select("row", F.explode(F.array(F.struct(*(F.col(c).cast("long").alias(n) for n, c in m.items())))).alias("m"))
 
 
 def failures(m: str, cfg: Rules) -> dict[str, Column]:
