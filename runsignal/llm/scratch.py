@@ -3,29 +3,19 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import uuid
 from collections.abc import Callable
 from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-T = TypeVar("T")
-
+from ..sources.tables import checkpoint_root
 
-def root(spark: SparkSession) -> str:
-    """The session's shared folder.  Only where it is unset and Spark runs in one process, as in tests, is one made."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.conf.get("spark.master", "").startswith(("local[", "local")) or "cluster" in spark.conf.get("spark.master", ""):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+T = TypeVar("T")
 
 
 def path(spark: SparkSession, name: str) -> str:
-    return f"{root(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_root(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
