@@ -235,32 +235,36 @@ def phase_correlations(
     return out
 
 
-def classify_drivers(phases: DataFrame, level: float = 0.10, alpha: float = 0.05) -> DataFrame:
+def classify_drivers(phases: DataFrame, level: float = 0.10, alpha: float = 0.05, min_n: int = 10) -> DataFrame:
     """Cause or feedback, per unit and driver.
 
-    Early is phase 0, late the last phase with a correlation.  Tests run in this order: weak
-    (below ``level`` everywhere), reversal (sign differs), feedback (late exceeds early by
+    Phases with fewer than ``min_n`` rows do not count.  Early is phase 0, late the last phase with a correlation.
+    Tests run in this order: weak (below ``level`` everywhere), reversal (the sign differs late, or by ``level`` or
+    more in any later phase), feedback (late exceeds early by
     ``level``), causal (early strong, significant and same sign in phases 0 and 1).
     """
     at = lambda k, c: F.max(F.when(F.col("phase") == k, F.col(c)))
-    wide = phases.where(F.col("rho").isNotNull()).groupBy("unit", "driver").agg(
+    wide = phases.where(F.col("rho").isNotNull() & (F.col("n") >= min_n)).groupBy("unit", "driver").agg(
         at(0, "rho").alias("rho0"),
         at(0, "p").alias("p0"),
         at(1, "rho").alias("rho1"),
         F.max_by("rho", "phase").alias("late"),
         F.max(F.abs("rho")).alias("strongest"),
+        F.min(F.when(F.col("phase") > 0, F.col("rho"))).alias("_lowest"),
+        F.max(F.when(F.col("phase") > 0, F.col("rho"))).alias("_highest"),
     )
+    turned = ((F.col("rho0") > 0) & (F.col("_lowest") <= -level)) | ((F.col("rho0") < 0) & (F.col("_highest") >= level))
     early, late, second = F.col("rho0"), F.col("late"), F.col("rho1")
     kind = (
         F.when(F.col("strongest") < level, "weak")
-        .when(F.signum(late) != F.signum(early), "spurious_reversal")
+        .when((F.signum(late) != F.signum(early)) | turned, "spurious_reversal")
         .when(F.abs(late) > F.abs(early) + level, "feedback_reinforcement")
         .when(
             (F.abs(early) >= level) & (F.col("p0") < alpha) & (F.signum(early) == F.signum(second)), "causal"
         )
         .otherwise("unclassified")
     )
-    return wide.withColumn("class", kind)
+    return wide.withColumn("class", kind).drop("_lowest", "_highest")
 
 
 def pass_correlations(features: DataFrame, cfg: Settings) -> DataFrame:

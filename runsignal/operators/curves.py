@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import days_between
 from ..settings import PASSES, Settings
+from ..sources.historian import sent_if_small
+from ..sources.tables import stage
 from .drift import rolling_median
 
 BAND = ("lo", "q1", "med", "q3", "hi", "mean")
@@ -66,7 +68,14 @@ def fleet_smooth(series: DataFrame, cfg: Settings, value: str = "dd_abs_max") ->
     """
     rows = cfg.rows(cfg.fleet_hours)
     least = max(1, rows // 3)
-    union = series.select("ts").distinct().withColumn("_pos", F.row_number().over(Window.orderBy("ts")))
+    series = stage(series.select("unit", "ts", value), "series")
+    # Time stamps are numbered inside their month, after the counts of the months before: one row a month.
+    stamps = series.select("ts", F.date_trunc("month", "ts").alias("_m")).distinct()
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    months = stamps.groupBy(F.col("_m").alias("_b")).agg(F.count(F.lit(1)).alias("_n")).select("_b", before.alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_m").orderBy("ts"))
+    numbered = stamps.withColumn("_in", inside).join(sent_if_small(months), F.col("_m") == F.col("_b"))
+    union = stage(numbered.select("ts", (F.col("_in") + F.col("_before")).cast("int").alias("_pos")), "stamps")
     placed = series.select("unit", "ts", value).join(union, "ts")
     last = F.max("_pos").over(Window.partitionBy("unit"))
     reach = F.when(F.col("_pos") == last, F.sequence(F.lit(0), F.lit(rows - 1))).otherwise(F.array(F.lit(0)))

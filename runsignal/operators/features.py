@@ -162,7 +162,7 @@ def unit_constants(levels: DataFrame, cfg: Settings) -> DataFrame:
     }
     typical = (
         levels.select("unit", *[f"feed_{p}" for p in PASSES])
-        .join(tops, "unit")
+        .join(sent_if_small(tops), "unit")
         .groupBy("unit")
         .agg(*[median(x).alias(f"level_{p}") for p, x in running.items()])
     )
@@ -238,14 +238,16 @@ class Prepared:
 
 
 def prepare(
-    history: DataFrame, catalog: DataFrame | None, cfg: Settings, proxy: bool = False, use_online: bool = True
+    history: DataFrame, catalog: DataFrame | None, cfg: Settings, proxy: bool = False, use_online: bool = True, sensors: bool = True
 ) -> Prepared:
     """Build and stage the shared tables.
 
-    Without a catalog there are no composition columns and no plant-wide tags.
+    Without a catalog there are no composition columns and no plant-wide tags.  ``sensors=False``: the caller reads levels
+    only, so without a catalog the sensor rows are read once and never written.
     """
     if catalog is None:
-        marked = stage(mark_sensors(history, None), "history")
+        marked = mark_sensors(history, None)
+        marked = stage(marked, "history") if sensors else marked
         levels, feed, plant = stage(unit_levels(marked, cfg), "levels"), None, None
     else:
         tags = stage(catalog, "catalog")
@@ -260,7 +262,7 @@ def prepare(
 def complete(rows: DataFrame, prep: Prepared, cfg: Settings) -> DataFrame:
     """Add every lever and ratio to labelled grid rows; one join on (unit, ts), no window."""
     levers = prep.levels.drop("feed_total", "sensor_median")
-    out = rows.join(levers, ["unit", "ts"], "left").join(prep.constants, "unit")
+    out = rows.join(levers, ["unit", "ts"], "left").join(sent_if_small(prep.constants), "unit")
     zeros = {
         c: F.when(F.col(f"has_{c}"), F.coalesce(F.col(c), F.lit(0.0))) for c in SUMMED if c != "feed_total"
     }

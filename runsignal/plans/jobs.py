@@ -124,6 +124,7 @@ def clean_tables(
     tb.write_csv(v2, f"{out}/windows_adv_csv")
     tb.write_table(wn.clean_rows(wn.attach_windows(frame, v2), "clean_adv"), f"{out}/clean_adv")
     tb.write_table(wn.compare_windows(v1, v2), f"{out}/window_comparison", by=None)
+    tb.write_table(wn.comparison_means(tb.read_table(spark, f"{out}/window_comparison")), f"{out}/window_comparison_means", by=None)
     tb.write_table(wn.method_counts(v2), f"{out}/window_methods", by=None)
 
 

@@ -56,7 +56,7 @@ def core_labels(spark, d) -> DataFrame:
 
 
 def core_frame(spark, d) -> DataFrame:
-    return ft.unit_frame(core(spark, d), WEEKLY)
+    return ft.unit_frame(ft.prepare(sm.line_history(spark, d), None, WEEKLY, sensors=False), WEEKLY)
 
 
 def core(spark, d) -> ft.Prepared:
@@ -424,7 +424,7 @@ def clean_share(spark, d):
 
 def frame_v2(spark, d) -> DataFrame:
     history = sm.line_history(spark, d, sm.CORE + ("decoke_air",))
-    frame = ft.unit_frame(ft.prepare(history, None, WEEKLY), WEEKLY)
+    frame = ft.unit_frame(ft.prepare(history, None, WEEKLY, sensors=False), WEEKLY)
     return stage(frame.withColumn("cot_ctrl", F.col("cot")), "frame")
 
 

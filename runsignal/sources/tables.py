@@ -15,18 +15,16 @@ TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables, as the session names it.
 
-    Only a local session without the setting gets a folder of its own.
+    Only where it is unset and Spark runs in one process, as in tests, is one made, once a session.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
-    root = getattr(spark, "_runsignal_root", None)
-    if root is None:
+    root = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_shared_folder", None)
+    if not root:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or "cluster" in master:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="runsignal-")
-        spark._runsignal_root = root
-    return root
+        spark._shared_folder = root
+    return root.rstrip("/")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
