@@ -25,8 +25,8 @@ class Leaks:
     """
 
     edits: int = 20
-    repeats: int = 32
-    samples: int = 2
+    repeats: int = 48
+    samples: int = 3
     least: int = 8
     longest_walk: int = 64
     block: int = 500_000
@@ -124,7 +124,7 @@ class Index:
         total = np.concatenate(([0], np.cumsum(known)))
         padded = np.append(w.hash, np.zeros(cfg.longest_walk, np.uint64))
         best: dict[tuple[int, int], int] = {}
-        seen: set[tuple[int, int, int]] = set()
+        tried: dict[tuple[int, int], list[int]] = {}
         for c, (window, need, steps) in self.shape.items():
             at = np.flatnonzero(total[np.minimum(np.arange(n) + window - 1, n - 1)] - total[np.minimum(np.arange(n), n - 1)] >= need)
             if not len(at):
@@ -138,31 +138,41 @@ class Index:
                 while i < len(self.keys[c]) and self.keys[c][i] == key[h]:
                     item = int(self.items[c][i])
                     i += 1
-                    if (d, item, p) in seen:
-                        continue
-                    seen.add((d, item, p))
                     k = cfg.allowed(len(self.words[item]))
+                    places = tried.setdefault((d, item), [])
+                    # What was looked at around a near place holds this one's windows as well.
+                    if best.get((d, item)) == 0 or any(abs(p - q) <= k for q in places):
+                        continue
+                    places.append(p)
                     # The window may start some edits before or after the hit.
                     a, b = max(w.first[d], p - 2 * k), min(w.first[d + 1], p + len(self.words[item]) + 2 * k)
-                    e = self.distance(item, w.hash[a:b])
+                    text = w.hash[a:b].tolist()
+                    # k edits leave all but k of the item's words in place.
+                    if sum(map(self.mask(item).__contains__, text)) < len(self.words[item]) - k:
+                        continue
+                    e = self.distance(item, text)
                     if e <= k and e < best.get((d, item), k + 1):
                         best[d, item] = e
         for (d, item), e in best.items():
             out.setdefault(d, []).append((self.ids[item], e))
         return out
 
-    def distance(self, item: int, text: np.ndarray) -> int:
-        """Fewest word edits between the item and any window of the text (bit-parallel dynamic programming)."""
+    def mask(self, item: int) -> dict[int, int]:
+        """Places of each of the item's words, as bits."""
         if item not in self.masks:
             masks: dict[int, int] = {}
             for i, x in enumerate(self.words[item].tolist()):
                 masks[x] = masks.get(x, 0) | 1 << i
             self.masks[item] = masks
-        masks, m = self.masks[item], len(self.words[item])
+        return self.masks[item]
+
+    def distance(self, item: int, text: list[int]) -> int:
+        """Fewest word edits between the item and any window of the text (bit-parallel dynamic programming)."""
+        masks, m = self.mask(item), len(self.words[item])
         full, top = (1 << m) - 1, 1 << (m - 1)
         up, down, e = full, 0, m
         least = m
-        for x in text.tolist():
+        for x in text:
             eq = masks.get(x, 0)
             v = eq | down
             h = (((eq & up) + up) ^ up) | eq
@@ -188,12 +198,16 @@ def sampled_walks(words: np.ndarray, starts: np.ndarray, steps: np.ndarray) -> n
     get equal bits, so two walks that differ by an edit fall into step again: few edits, few different reads.
     """
     out = np.zeros((len(steps), len(starts)), np.uint64)
-    for r, sample in enumerate(steps):
-        bits = mix(words ^ np.uint64(0x9E3779B97F4A7C15 * (r + 1) % 2**64))
-        at, key = starts.copy(), np.full(len(starts), r + 1, np.uint64)
-        for j in range(int(sample[-1]) + 1):
-            for _ in range(int((sample == j).sum())):
-                key = pair_hash(key, words[at])
-            at += (bits[at] >> np.uint64(j % 64) & np.uint64(1)).astype(at.dtype)
-        out[r] = key
+    seed = (np.arange(1, len(steps) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+    for a in range(0, len(starts), 4096):
+        at = np.tile(starts[a : a + 4096], (len(steps), 1))
+        key = np.tile(np.arange(1, len(steps) + 1, dtype=np.uint64)[:, None], (1, at.shape[1]))
+        for j in range(int(steps.max()) + 1):
+            word = words[at]
+            for column in steps.T:
+                rows = np.flatnonzero(column == j)
+                if len(rows):
+                    key[rows] = pair_hash(key[rows], word[rows])
+            at += (mix(word ^ seed) >> np.uint64(j % 64) & np.uint64(1)).astype(at.dtype)
+        out[:, a : a + 4096] = key
     return out
