@@ -7,19 +7,23 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 BLANK = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 
 
 @dataclass(frozen=True)
 class Rules:
-    """Limits in percent.  ``host_limits``: a host is rejected if its shrunk failure rate of a rule is above."""
+    """Limits in percent.  ``host_limits``: a host is rejected if its shrunk failure rate of a rule is above.  Up to ``send``
+    rejected hosts are sent to all tasks."""
 
     min_words: int = 10
     repeat_words: int = 20
     dup_lines: int = 50
     symbols: int = 50
     window: int = 5
+    send: int = 500_000
     host_limits: dict[str, float] = field(default_factory=lambda: {"short": 0.5, "repeats": 0.5, "lines": 0.5, "symbols": 0.5})
 
 
@@ -109,6 +113,8 @@ def judged(docs: DataFrame, host: str = "source", cfg: Rules = Rules()) -> DataF
     fails = failures("m", cfg)
     bad = host_verdicts(rows, host, cfg).where("rejected").select(F.col("host").alias("m_host")).distinct().withColumn("m_bad", F.lit(True))
     out = rows.withColumn("base_failed", fails["short"] | fails["repeats"])
-    # Rejected hosts are few; if not, the join is by host and large hosts are split at run time.
-    out = out.join(bad, F.col(f"row.{host}") == F.col("m_host"), "left").withColumn("host_rejected", F.coalesce("m_bad", F.lit(False)))
+    # Written, so that its size is known: a short list goes to the documents, and no text is shuffled by host.  A long one
+    # is joined by host, where large hosts are split at run time.
+    bad = written(bad, "hosts")
+    out = out.join(F.broadcast(bad) if bad.count() <= cfg.send else bad, F.col(f"row.{host}") == F.col("m_host"), "left").withColumn("host_rejected", F.coalesce("m_bad", F.lit(False)))
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected")).drop("m_host", "m_bad")
