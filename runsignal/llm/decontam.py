@@ -38,6 +38,14 @@ class Leaks:
         """Items of about the same length share one window size."""
         return int(np.log(n / self.least) / np.log(1.25))
 
+    def starts(self, n: int) -> np.ndarray:
+        """Words of an item at which walks start.  A walk gets through about half as many words as it has steps, so a long item
+        gets as many starts as cover it: in one of the stretches at most the average share of words is edited.  The last start
+        lies behind the words that may be missing where a text begins."""
+        reach = self.longest_walk // 2
+        last = max(self.allowed(n), n - reach)
+        return np.unique(np.linspace(0, last, max(2, -(-n // reach))).astype(np.int64))
+
 
 def leaked(docs: DataFrame, items: DataFrame, cfg: Leaks = Leaks()) -> DataFrame:
     """``(row, hits)`` for every row of docs: the row and an array of ``(item_id, distance)``, best first, empty if clean.
@@ -95,7 +103,7 @@ class Index:
         for x in self.words:
             self.pairs[pair_hash(x[:-1], x[1:]) % np.uint64(FILTER)] = True
         self.shape = {}
-        self.keys, self.items = {}, {}
+        self.keys, self.items, self.offsets = {}, {}, {}
         for c, members in self.classes.items():
             sizes = [len(self.words[i]) for i in members]
             window = max(n + cfg.allowed(n) for n in sizes)
@@ -103,13 +111,15 @@ class Index:
             need = min(n - 1 - 2 * cfg.allowed(n) for n in sizes)
             rng = np.random.default_rng(1000 + c)
             steps = rng.integers(0, min(min(sizes), cfg.longest_walk), (cfg.repeats, cfg.samples))
-            self.shape[c] = window, need, np.sort(steps, axis=1)
             flat = np.concatenate([np.append(self.words[i], np.zeros(cfg.longest_walk, np.uint64)) for i in members])
-            starts = np.cumsum([0] + [n + cfg.longest_walk for n in sizes[:-1]])
-            key = sampled_walks(flat, starts, self.shape[c][2])
-            which = np.tile(np.array(members), cfg.repeats)
+            first = np.cumsum([0] + [n + cfg.longest_walk for n in sizes[:-1]])
+            starts = [cfg.starts(n) for n in sizes]
+            count, offset = [len(x) for x in starts], np.concatenate(starts)
+            self.shape[c] = window, need, np.sort(steps, axis=1), int(offset.max()) + max(map(cfg.allowed, sizes))
+            key = sampled_walks(flat, np.repeat(first, count) + offset, self.shape[c][2])
             order = np.argsort(key.ravel(), kind="stable")
-            self.keys[c], self.items[c] = key.ravel()[order], which[order]
+            self.keys[c] = key.ravel()[order]
+            self.items[c], self.offsets[c] = (np.tile(x, cfg.repeats)[order] for x in (np.repeat(members, count), offset))
         self.masks: dict[int, dict[int, int]] = {}
 
     def search(self, w) -> dict[int, list[tuple[int, int]]]:
@@ -125,10 +135,15 @@ class Index:
         padded = np.append(w.hash, np.zeros(cfg.longest_walk, np.uint64))
         best: dict[tuple[int, int], int] = {}
         tried: dict[tuple[int, int], list[int]] = {}
-        for c, (window, need, steps) in self.shape.items():
+        for c, (window, need, steps, far) in self.shape.items():
             at = np.flatnonzero(total[np.minimum(np.arange(n) + window - 1, n - 1)] - total[np.minimum(np.arange(n), n - 1)] >= need)
             if not len(at):
                 continue
+            # A walk from inside an item starts as far inside such a window, give or take the edits.
+            edge = np.zeros(n + far + 1, np.int64)
+            edge[at] += 1
+            edge[at + far + 1] -= 1
+            at = np.flatnonzero(np.cumsum(edge[:n]) > 0)
             key = sampled_walks(padded, at, steps).ravel()
             lo = np.searchsorted(self.keys[c], key)
             hit = np.flatnonzero(self.keys[c][np.minimum(lo, len(self.keys[c]) - 1)] == key)
@@ -136,16 +151,16 @@ class Index:
                 p, i = int(at[h % len(at)]), int(lo[h])
                 d = int(np.searchsorted(w.first, p, "right")) - 1
                 while i < len(self.keys[c]) and self.keys[c][i] == key[h]:
-                    item = int(self.items[c][i])
+                    item, s = int(self.items[c][i]), p - int(self.offsets[c][i])
                     i += 1
                     k = cfg.allowed(len(self.words[item]))
                     places = tried.setdefault((d, item), [])
                     # What was looked at around a near place holds this one's windows as well.
-                    if best.get((d, item)) == 0 or any(abs(p - q) <= k for q in places):
+                    if best.get((d, item)) == 0 or any(abs(s - q) <= k for q in places):
                         continue
-                    places.append(p)
-                    # The window may start some edits before or after the hit.
-                    a, b = max(w.first[d], p - 2 * k), min(w.first[d + 1], p + len(self.words[item]) + 2 * k)
+                    places.append(s)
+                    # The window may start and end some edits before or after where the hit puts it.
+                    a, b = max(w.first[d], s - 3 * k), min(w.first[d + 1], s + len(self.words[item]) + 3 * k)
                     text = w.hash[a:b].tolist()
                     # k edits leave all but k of the item's words in place.
                     if sum(map(self.mask(item).__contains__, text)) < len(self.words[item]) - k:

@@ -13,7 +13,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from runsignal.llm import decontam, kneserney, langid, pieces, quality, substring
+from runsignal.llm import decontam, kneserney, langid, pieces, quality, substring, words
 from runsignal.llm.oracles import HOST_RULES
 
 SCHEMA = "doc_id long, text string"
@@ -145,6 +145,21 @@ def test_leaks_recall_and_distance(spark):
         assert not any(hits[d] for d, _ in clean + ODD)
 
 
+def test_leaks_with_clustered_edits():
+    rnd, w = random.Random(6), [f"w{i}" for i in range(5000)]
+    some = lambda n: [rnd.choice(w) for _ in range(n)]
+    for n in (20, 40, 100, 200, 500):
+        k, items, docs = n // 5, [some(n) for _ in range(5)], []
+        for i, x in enumerate(items):
+            for at in (0, (n - k) // 2, n - k):
+                for new in ([], some(k)):
+                    for around in (0, 40):
+                        docs.append((i, some(around) + x[:at] + new + x[at + k :] + some(around)))
+        index = decontam.Index(pa.table({"item_id": range(5), "text": [" ".join(x) for x in items]}), decontam.Leaks())
+        got = index.search(words.words_of(pa.array([" ".join(x) for _, x in docs]), words.Powers(), lower=True))
+        assert all(got.get(d) == [(i, plain.edits(items[i], x))] for d, (i, x) in enumerate(docs)), n
+
+
 def test_leaks_without_items(spark):
     df = spark.createDataFrame([(1, "a b c")], SCHEMA)
     assert decontam.leaked(df, spark.createDataFrame([], "item_id long, text string")).first().hits == []
