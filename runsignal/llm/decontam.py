@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Powers, chunks, mix, words_of
+from .words import Powers, chunks, mix, run_hash, words_of
 
 FILTER = 1 << 22  # entries of the bit tables that most words and keys are ruled out by
 
@@ -20,8 +20,8 @@ class Leaks:
     """An item of n words is in a document if some window of it is at most floor(n * edits / 100) word edits away.
 
     ``repeats`` walks with ``samples`` sampled steps each reach the target recall: 0.99 over all distances allowed, as the
-    tests measure.  Items under ``least``
-    words say too little and are not looked for.  ``block``: words of items sent to the tasks at a time.
+    tests measure.  Items under ``least`` words
+    are too short for walks; they are looked up by pieces, of which one is always left whole, so none is missed.  ``block``: words of items sent to the tasks at a time.
     """
 
     edits: int = 20
@@ -51,7 +51,8 @@ def leaked(docs: DataFrame, items: DataFrame, cfg: Leaks = Leaks()) -> DataFrame
     """``(row, hits)`` for every row of docs: the row and an array of ``(item_id, distance)``, best first, empty if clean.
 
     Words are lower-cased (A-Z) runs of ``[^\\x20\\x09-\\x0D]``; distance counts inserted, dropped and replaced
-    words of the closest window.  Null and empty texts have no hits; null, empty and short items hit nothing.
+    words of the closest window.  Null and empty texts have no hits; null and empty items hit nothing.  An item of one word
+    hits every text that holds the word.
     Equal items hit alike, each under its id.  Items come in blocks of bounded size, and every document
     is held against each block.
     """
@@ -92,15 +93,17 @@ class Index:
         self.cfg = cfg
         text = block.column("text").combine_chunks() if block.num_rows else pa.array([], pa.string())
         w = words_of(text.chunk(0) if isinstance(text, pa.ChunkedArray) else text, Powers(), lower=True)
-        used = [d for d, n in enumerate(w.counts) if n >= cfg.least]
+        used = [d for d, n in enumerate(w.counts) if n]
         ids = block.column("item_id").to_pylist()
         self.ids = [ids[d] for d in used]
         self.words = [w.hash[w.first[d] : w.first[d + 1]] for d in used]
         self.classes: dict[int, list[int]] = {}
-        for i, x in enumerate(self.words):
-            self.classes.setdefault(cfg.size_class(len(x)), []).append(i)
+        short, long = ([i for i, x in enumerate(self.words) if (len(x) < cfg.least) == few] for few in (True, False))
+        for i in long:
+            self.classes.setdefault(cfg.size_class(len(self.words[i])), []).append(i)
+        self.pieces = self._pieces(short)
         self.pairs = np.zeros(FILTER, bool)
-        for x in self.words:
+        for x in (self.words[i] for i in long):
             self.pairs[pair_hash(x[:-1], x[1:]) % np.uint64(FILTER)] = True
         self.shape = {}
         self.keys, self.items, self.offsets = {}, {}, {}
@@ -122,18 +125,61 @@ class Index:
             self.items[c], self.offsets[c] = (np.tile(x, cfg.repeats)[order] for x in (np.repeat(members, count), offset))
         self.masks: dict[int, dict[int, int]] = {}
 
+    def _pieces(self, short: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By size: sorted hashes of pieces, their items and where in them they start.  k edits leave one of k + 1 pieces whole."""
+        rows: dict[int, list[tuple[int, int, int]]] = {}
+        for i in short:
+            x = self.words[i]
+            edges = np.linspace(0, len(x), min(self.cfg.allowed(len(x)) + 1, len(x)) + 1).astype(int).tolist()
+            for a, b in zip(edges, edges[1:]):
+                rows.setdefault(b - a, []).append((int(run_hash(x, np.array([a]), b - a)[0]), i, a))
+        columns = {size: list(zip(*sorted(r))) for size, r in rows.items()}
+        return {size: (np.array(key, np.uint64), np.array(item), np.array(at)) for size, (key, item, at) in columns.items()}
+
     def search(self, w) -> dict[int, list[tuple[int, int]]]:
         """Per text: (item id, distance) of every item found."""
-        cfg, n = self.cfg, len(w.hash)
+        best = self._by_walks(w)
+        best.update(self._by_pieces(w))
         out: dict[int, list[tuple[int, int]]] = {}
-        if n < 2 or not self.ids:
-            return out
+        for (d, item), e in best.items():
+            out.setdefault(d, []).append((self.ids[item], e))
+        return out
+
+    def _by_pieces(self, w) -> dict[tuple[int, int], int]:
+        """Text and item -> distance, of the short items."""
+        best: dict[tuple[int, int], int] = {}
+        if not self.pieces:
+            return best
+        doc = w.doc
+        for size, (keys, items, offsets) in self.pieces.items():
+            at = np.arange(max(len(w.hash) - size + 1, 0))
+            at = at[at + size <= w.first[doc[at] + 1]]
+            key = run_hash(w.hash, at, size)
+            lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
+            hit = np.flatnonzero(hi > lo)
+            for p, d, i, to in zip(at[hit].tolist(), doc[at[hit]].tolist(), lo[hit].tolist(), hi[hit].tolist()):
+                for item, offset in zip(items[i:to].tolist(), offsets[i:to].tolist()):
+                    if best.get((d, item)) == 0:
+                        continue
+                    m = len(self.words[item])
+                    k = self.cfg.allowed(m)
+                    a, b = max(w.first[d], p - offset - k), min(w.first[d + 1], p - offset + m + k)
+                    e = self.distance(item, w.hash[a:b].tolist()) if k else 0
+                    if e <= k and e < best.get((d, item), k + 1):
+                        best[d, item] = e
+        return best
+
+    def _by_walks(self, w) -> dict[tuple[int, int], int]:
+        """Text and item -> distance, of the items that are long enough for walks."""
+        cfg, n = self.cfg, len(w.hash)
+        best: dict[tuple[int, int], int] = {}
+        if n < 2 or not self.classes:
+            return best
         known = self.pairs[pair_hash(w.hash[:-1], w.hash[1:]) % np.uint64(FILTER)]
         ends = w.first[1:-1]
         known[ends[(ends > 0) & (ends < n)] - 1] = False
         total = np.concatenate(([0], np.cumsum(known)))
         padded = np.append(w.hash, np.zeros(cfg.longest_walk, np.uint64))
-        best: dict[tuple[int, int], int] = {}
         tried: dict[tuple[int, int], list[int]] = {}
         for c, (window, need, steps, far) in self.shape.items():
             at = np.flatnonzero(total[np.minimum(np.arange(n) + window - 1, n - 1)] - total[np.minimum(np.arange(n), n - 1)] >= need)
@@ -168,9 +214,7 @@ class Index:
                     e = self.distance(item, text)
                     if e <= k and e < best.get((d, item), k + 1):
                         best[d, item] = e
-        for (d, item), e in best.items():
-            out.setdefault(d, []).append((self.ids[item], e))
-        return out
+        return best
 
     def mask(self, item: int) -> dict[int, int]:
         """Places of each of the item's words, as bits."""

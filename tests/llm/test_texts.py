@@ -160,6 +160,17 @@ def test_leaks_with_clustered_edits():
         assert all(got.get(d) == [(i, plain.edits(items[i], x))] for d, (i, x) in enumerate(docs)), n
 
 
+def test_leaks_of_short_items():
+    rnd, w = random.Random(7), [f"w{i}" for i in range(12)]
+    items = [(i, [rnd.choice(w) for _ in range(1 + i % 7)]) for i in range(70)] + [(70, ["only"]), (71, [])]
+    docs = [[rnd.choice(w) for _ in range(rnd.randint(0, 12))] for _ in range(200)] + [["only"], []]
+    index = decontam.Index(pa.table({"item_id": [i for i, _ in items], "text": [" ".join(x) for _, x in items]}), decontam.Leaks())
+    got = index.search(words.words_of(pa.array([" ".join(x) for x in docs]), words.Powers(), lower=True))
+    for d, text in enumerate(docs):
+        want = {i: e for i, x in items if x and (e := plain.edits(x, text)) <= len(x) // 5}
+        assert dict(got.get(d, [])) == want and len(got.get(d, [])) == len(want)
+
+
 def test_leaks_without_items(spark):
     df = spark.createDataFrame([(1, "a b c")], SCHEMA)
     assert decontam.leaked(df, spark.createDataFrame([], "item_id long, text string")).first().hits == []
