@@ -30,12 +30,14 @@ class Rule:
 @dataclass(frozen=True)
 class Trees:
     """``train_rows``: the trees are fitted on at most so many labelled urls, those with the smallest hashes.
-    ``prior``: strength of the overall rate in the suffix rates."""
+    ``prior``: strength of the overall rate in the rates of suffixes and domains, which count all labelled urls.
+    ``send``: rates of at most so many suffixes or domains are broadcast."""
 
     train_rows: int = 20_000
     trees: int = 10
     depth: int = 4
     prior: float = 10.0
+    send: int = 100_000
 
 
 def host_of(url: Column) -> Column:
@@ -97,18 +99,20 @@ def judged_urls(pages: DataFrame, rules: list[Rule], cfg: Trees = Trees(), id_co
     text, verdict = listed(F.col("host"), F.col("path"), rules)
     rows = lexical(rows.withColumns({"rule": text, "u_listed": verdict}))
     label = (F.col("u_listed") == "block").cast("double")
-    sample = rows.where("u_listed IS NOT NULL").withColumn("label", label).orderBy(F.xxhash64("u_url", id_column)).limit(cfg.train_rows)
-    sample = written(sample, "urls")
-    n, bad = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    known = rows.where("u_listed IS NOT NULL").withColumn("label", label)
+    # One row a domain, which has one suffix.
+    counts = written(known.groupBy("u_suffix", "u_domain").agg(F.count("*").alias("n"), F.sum("label").alias("bad")), "url_counts")
+    n, bad = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0.0))).first()
     if not 0 < bad < n:
         only = "block" if n and bad else "allow"
         return _result(rows.withColumn("score", F.lit(1.0 if only == "block" else 0.0)), id_column)
-    # Rates by suffix come from the sample alone: at most train_rows rows.
-    rates = {c: sample.groupBy(c).agg(((F.sum("label") + cfg.prior * bad / n) / (F.count("*") + cfg.prior)).alias(f"{name}_rate")) for c, name in (("u_suffix", "suffix"), ("u_domain", "domain"))}
+    sample = written(known.orderBy(F.xxhash64("u_url", id_column)).limit(cfg.train_rows), "urls")
+    rates = {c: counts.groupBy(c).agg(((F.sum("bad") + cfg.prior * bad / n) / (F.sum("n") + cfg.prior)).alias(f"{name}_rate")) for c, name in (("u_suffix", "suffix"), ("u_domain", "domain"))}
+    rates = {c: F.broadcast(rate) if rate.count() <= cfg.send else rate for c, rate in rates.items()}
 
     def complete(df: DataFrame) -> DataFrame:
         for c, rate in rates.items():
-            df = df.join(F.broadcast(rate), c, "left")
+            df = df.join(rate, c, "left")
         df = df.fillna(bad / n, ["suffix_rate", "domain_rate"])
         return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(df)
 

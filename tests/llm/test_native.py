@@ -9,7 +9,7 @@ from runsignal.llm.chat import Template, perspectives
 from runsignal.llm.quality import judged
 from runsignal.llm.queries import URL_RULES
 from runsignal.llm.sharding import Ring, plan, sharded
-from runsignal.llm.urls import judged_urls
+from runsignal.llm.urls import Rule, Trees, judged_urls
 
 DOCS = "doc_id long, text string"
 
@@ -90,6 +90,15 @@ def test_url_rules_and_trees(spark):
     assert judged_urls(spark.createDataFrame([], "page_id long, url string"), URL_RULES).count() == 0
 
 
+def test_url_rates_count_all_labels(spark):
+    rules = [Rule("block", "net", "/b/"), Rule("allow", "net", "/a/")]
+    urls = [f"http://d{i}.net/{'ab'[i % 2]}/{j}" for i in range(100, 400) for j in range(10)] + [f"http://d{i}.net/c/1" for i in range(100, 400)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for send in (100_000, 0):
+        out = judged_urls(df, rules, Trees(train_rows=100, send=send)).where("rule IS NULL").collect()
+        assert len(out) == 300 and all(r.verdict == ("allow", "block")[int(r.host[1:4]) % 2] for r in out)
+
+
 def test_views(spark):
     rows = [(1, 0, "system", "Rules"), (1, 1, "ann", "Hi"), (1, 2, "bob", None), (1, 2, "bob", None), (1, None, "ann", "late"), (2, 5, None, "alone"), (3, 0, "system", "no one"), (None, 1, "eve", "x")]
     rows += [(4, t, "pq"[t % 2], "y" * (t % 5)) for t in range(50)]
