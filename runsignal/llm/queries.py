@@ -42,7 +42,7 @@ def op2_piece_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = leaked(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
     best = F.get("hits", F.lit(0))
-    return out.select("row.doc_id", (F.size("hits") == 0).alias("kept"), F.size("hits").cast("long").alias("n_items"), best["item_id"].alias("item_id"), best["distance"].alias("distance"))
+    return out.select("row.doc_id", (F.size("hits") == 0).alias("kept"), F.size("hits").cast("long").alias("n_items"), best["item_id"].alias("item_id"), best["distance"].alias("distance"), "hits")
 
 
 def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,6 +45,15 @@ def test_stages(spark, tmp_path):
     assert plain.words(cut[0].text) == plain.words(texts[0])
 
 
+def test_all_hits_of_a_document(spark, tmp_path):
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(20))) for i in (1, 2, 3)]
+    texts = ["before " + items[1][1].replace("i2w7", "x") + " between " + items[0][1] + " after", "clean", None]
+    sf = folder(spark, tmp_path, [(d, t, "en", "s", 0) for d, t in enumerate(texts)], items)
+    got = {r.doc_id: r for r in queries()["op3_cgk_decontamination"](spark, sf).collect()}
+    assert [(h.item_id, h.distance) for h in got[0].hits] == [(1, 0), (2, 1)] and (got[0].n_items, got[0].item_id, got[0].distance) == (2, 1, 0)
+    assert got[1].hits == got[2].hits == [] and got[1].kept and got[2].kept
+
+
 def test_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, folder(spark, tmp_path, [], [])).count() == 0
 
