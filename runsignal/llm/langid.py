@@ -27,8 +27,8 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Learning:
-    """The machines are fitted on a hash sample of about ``per_lang`` labelled texts of each language (all of them, if there
-    are fewer); ``bits``: the features are frequencies of hashed pairs and triples of bytes in 2**bits places."""
+    """The machines are fitted on a hash sample of about ``per_lang`` labelled rows of each language (all of them, if there
+    are fewer), chosen by id and text, so that copies are thinned like other rows; ``bits``: the features are frequencies of hashed pairs and triples of bytes in 2**bits places."""
 
     per_lang: int = 500
     bits: int = 12
@@ -83,9 +83,9 @@ def frequencies(places: np.ndarray, offsets: np.ndarray, bits: int) -> np.ndarra
     return 100 * out / np.maximum(out.sum(1, keepdims=True), 1)
 
 
-def learn(docs: DataFrame, lang: str = "lang", cfg: Learning = Learning()) -> Models:
+def learn(docs: DataFrame, lang: str = "lang", cfg: Learning = Learning(), id_column: str = "doc_id") -> Models:
     """Fits the machines on the rows with a language and a letter in their text."""
-    rows = docs.where(F.col(lang).isNotNull() & has_letter(F.col("text"))).select("text", F.col(lang).alias("lang"))
+    rows = docs.where(F.col(lang).isNotNull() & has_letter(F.col("text"))).select(F.xxhash64("text", id_column).alias("place"), "text", F.col(lang).alias("lang"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     families: dict[str, list[str]] = {}
     for name in sorted(counts):
@@ -95,7 +95,8 @@ def learn(docs: DataFrame, lang: str = "lang", cfg: Learning = Learning()) -> Mo
     if not problems:
         return Models(families, [], np.zeros((0, 1 << cfg.bits)), np.zeros(0), cfg.bits)
     share = F.coalesce(*(F.when(F.col("lang") == name, F.lit(min(1.0, cfg.per_lang / n))) for name, n in counts.items()))
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000)
+    # The texts are gathered once few are left, not where they are read.
+    sample = rows.where(F.pmod("place", F.lit(1_000_000)) < share * 1_000_000).select("text", "lang").repartition(4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,7 +105,7 @@ def learn(docs: DataFrame, lang: str = "lang", cfg: Learning = Learning()) -> Mo
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) << cfg.bits), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("lang"), flat], names=["lang", "x"])
 
-    sample = written(sample.mapInArrow(run, "lang string, x array<double>").coalesce(4), "languages")
+    sample = written(sample.mapInArrow(run, "lang string, x array<double>"), "languages")
     family = F.coalesce(*(F.when(F.col("lang").isin(*members), F.lit(f)) for f, members in families.items()))
     svm = LinearSVC(maxIter=cfg.iterations, regParam=cfg.reg)
     weights, bias = [], []

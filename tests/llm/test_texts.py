@@ -192,6 +192,16 @@ def test_languages(spark):
     assert langid.languages(spark.createDataFrame([(4, "the")], SCHEMA), nothing).first().lang_pred == "und"
 
 
+def test_language_sample_thins_copies(spark, monkeypatch):
+    plans, written = [], langid.written
+    monkeypatch.setattr(langid, "written", lambda df, name: plans.append((df._jdf.queryExecution().optimizedPlan().toString(), written(df, name))) or plans[-1][1])
+    rows = [(i, "the same text" if i < 1000 else f"ein text {i}", "en" if i < 1000 else "de") for i in range(2000)]
+    langid.learn(spark.createDataFrame(rows, SCHEMA + ", lang string").repartition(8), cfg=langid.Learning(per_lang=100))
+    plan, sample = plans[0]
+    assert all(60 <= r["count"] <= 140 for r in sample.groupBy("lang").count().collect()) and sample.select("lang").distinct().count() == 2
+    assert "Repartition 4, false" not in plan  # a narrow one would read all texts in four tasks
+
+
 def test_kneser_ney(spark):
     docs = corpus(5, 80, 60)
     train = [(d, t) for d, t in docs if d % 3]
