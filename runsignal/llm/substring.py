@@ -3,9 +3,10 @@
 The reference is the corpus, so automata over all of it can be neither built in one place nor sent to every
 task.  It is cut into shards that need not know of each other: every window of ``window`` words belongs to
 the smallest hash among its short grams (its anchor), and equal windows have equal anchors.  Only anchors that occur
-twice or more matter.  A shard holds the segments (runs of windows) around one anchor; each
-segment is streamed through the automaton of the earlier ones, and where the matching statistic reaches the
-window length, the window has occurred before.
+twice or more matter.  A shard holds the segments (runs of windows) around one anchor.  A segment that repeats
+whole goes by a group-by on its hash.  The first segment of each kind is streamed through the automaton of the earlier
+ones, and where the matching statistic reaches the window length, the window has occurred before; in shards
+of more kinds than an automaton takes, a group-by on the hashes of windows finds the same.
 """
 
 from __future__ import annotations
