@@ -62,4 +62,35 @@ SELECT conv_id, perspective, pos, turn, role, name, segment, b AS start, b + len
 FROM w
 """
 
-ORACLES = {"op4_host_rules": HOST_RULES, "op5_substring_dedup": REPEATS, "op10_perspectives": PERSPECTIVES}
+COLLOCATIONS = r"""
+WITH t AS (
+  SELECT lang, doc, x, i, count_if(regexp_matches(x, '[.,;:!?\x0A-\x0D]')) OVER (PARTITION BY doc ORDER BY i) AS piece
+  FROM (
+    SELECT coalesce(lang, 'und') AS lang, doc, unnest(l) AS x, generate_subscripts(l, 1) AS i
+    FROM (SELECT row_number() OVER () AS doc, lang, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]|[^\x20\x09.,;:!?\x0A-\x0D]+') AS l FROM documents))),
+w AS (
+  SELECT lang, x, lead(x) OVER p AS x2, lead(x, 2) OVER p AS x3, lead(x, 3) OVER p AS x4
+  FROM t WHERE NOT regexp_matches(x, '^[.,;:!?\x0A-\x0D]$') WINDOW p AS (PARTITION BY doc, piece ORDER BY i)),
+total AS (SELECT lang, count(*) AS n FROM w GROUP BY lang),
+f AS (
+  SELECT lang, [x] AS g, count(*) AS f FROM w GROUP BY ALL
+  UNION ALL SELECT lang, [x, x2], count(*) FROM w WHERE x2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+  UNION ALL SELECT lang, [x, x2, x3], count(*) FROM w WHERE x3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+  UNION ALL SELECT lang, [x, x2, x3, x4], count(*) FROM w WHERE x4 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, g, f AS a FROM f WHERE len(g) > 1 AND f >= 30),
+cuts AS (
+  SELECT c.lang, c.g, a, k, l.f AS l, r.f AS r, ((2000000::HUGEINT * a) // (l.f::HUGEINT + r.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, len(g))) AS k FROM c) c
+  JOIN f l ON l.lang = c.lang AND l.g = c.g[:c.k] JOIN f r ON r.lang = c.lang AND r.g = c.g[c.k + 1:]),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inner_of AS (
+  SELECT lang, g[i:i + m - 1] AS g, max(a) AS a
+  FROM (SELECT lang, g, a, m, unnest(range(1, len(g) - m + 2)) AS i FROM (SELECT lang, g, a, unnest(range(2, len(g))) AS m FROM c)) GROUP BY ALL),
+kept AS (
+  SELECT best.lang, array_to_string(best.g, ' ') AS phrase, best.a, l, r, score
+  FROM best LEFT JOIN inner_of o ON o.lang = best.lang AND o.g = best.g WHERE o.a IS NULL OR 100::HUGEINT * o.a < 80::HUGEINT * best.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
+"""
+
+ORACLES = {"op4_host_rules": HOST_RULES, "op5_substring_dedup": REPEATS, "op10_perspectives": PERSPECTIVES, "op11_phrase_filters": COLLOCATIONS}

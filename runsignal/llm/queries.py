@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import perspectives
+from .collocations import collocations
 from .decontam import leaked
 from .kneserney import score, train, trained_on
 from .langid import languages, learn
@@ -82,6 +83,10 @@ def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
 
 
+def op11_phrase_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents", "text", "lang"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -95,5 +100,6 @@ QUERIES = {
         op8_language_families,
         op9_kneser_ney,
         op10_perspectives,
+        op11_phrase_filters,
     )
 }

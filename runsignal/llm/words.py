@@ -79,8 +79,8 @@ def chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
         at = to
 
 
-def words_of(texts: pa.Array, powers: Powers, lower: bool = False) -> Words:
-    """Words of every text; a null text has none."""
+def words_of(texts: pa.Array, powers: Powers, lower: bool = False, separators: np.ndarray | None = None) -> Words:
+    """Words of every text; a null text has none.  ``separators``: a table of the bytes that end a word, white space among them."""
     texts = texts.cast(pa.large_string())
     n = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], np.int64, n + 1, texts.offset * 8) if n else np.zeros(1, np.int64)
@@ -94,7 +94,7 @@ def words_of(texts: pa.Array, powers: Powers, lower: bool = False) -> Words:
     if lower:
         data = _LOWER[data]
     size = len(data)
-    space = _SPACE[data]
+    space = (_SPACE if separators is None else separators)[data]
     edge = np.zeros(size + 1, bool)
     edge[offsets] = True
     before, after = edge[:-1].copy(), edge[1:].copy()
@@ -106,6 +106,8 @@ def words_of(texts: pa.Array, powers: Powers, lower: bool = False) -> Words:
         return Words(data, start, end, first, np.zeros(0, np.uint64))
     up, down = powers.upto(size)
     code = _CODE[data]
+    if separators is not None:
+        code[space] = 0
     code *= up[:size]
     # A segment runs to the next word's start: separators count nothing.
     value = np.add.reduceat(code, start) * down[start]

@@ -66,3 +66,27 @@ def discounts(counts):
         return [0, 0.5, 0.5, 0.5]
     y = n[1] / (n[1] + 2 * n[2])
     return [0] + [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.05), i - 0.05) for i in (1, 2, 3)]
+
+
+def collocations(docs, least, longest, top):
+    """(lang, rank, phrase, a, l, r, n, score) of the best phrases of each language."""
+    f, n = {}, Counter()
+    for text, lang in docs:
+        lang = lang or "und"
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOW)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            for k in range(1, longest + 1):
+                f.setdefault(lang, Counter()).update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    out = []
+    for lang, c in f.items():
+        big = {g: a for g, a in c.items() if len(g) > 1 and a >= least}
+        rows = []
+        for g, a in big.items():
+            cuts = [(2000000 * a // (c[g[:k]] + c[g[k:]]), k) for k in range(1, len(g))]
+            score, k = min(cuts)
+            inside = (x for x in big if len(x) > len(g) and any(x[i : i + len(g)] == g for i in range(len(x))))
+            if not any(100 * big[x] >= 80 * a for x in inside):
+                rows.append((-score, -a, " ".join(g).encode(), c[g[:k]], c[g[k:]]))
+        out += [(lang, i, p.decode(), -a, x, y, n[lang], -s) for i, (s, a, p, x, y) in enumerate(sorted(rows)[:top], 1)]
+    return out
