@@ -93,4 +93,17 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
 """
 
-ORACLES = {"op4_host_rules": HOST_RULES, "op5_substring_dedup": REPEATS, "op10_perspectives": PERSPECTIVES, "op11_phrase_filters": COLLOCATIONS}
+BYTE_REPEATS = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, i, h[2 * i + 1:2 * i + 200] AS g FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS i FROM d WHERE len(h) >= 200)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY md5(g) ORDER BY doc_id, i) AS n FROM s) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM later, range(100) r(k)),
+b AS (SELECT doc_id, i, h[2 * i + 1:2 * i + 2] AS x FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2)) AS i FROM d)),
+kept AS (SELECT doc_id, string_agg(x, '' ORDER BY i) AS t FROM b ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+spans AS (SELECT g.doc_id, count(*) AS n FROM gone g LEFT JOIN gone p ON p.doc_id = g.doc_id AND p.i = g.i - 1 WHERE p.i IS NULL GROUP BY g.doc_id),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(lost.n, 0)::BIGINT AS n_removed, coalesce(spans.n, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(t, ''))) AS kept_sha256
+FROM d LEFT JOIN lost USING (doc_id) LEFT JOIN spans USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES = {"op4_host_rules": HOST_RULES, "op5_substring_dedup": REPEATS, "op10_perspectives": PERSPECTIVES, "op11_phrase_filters": COLLOCATIONS, "op12_interval_tree": BYTE_REPEATS}

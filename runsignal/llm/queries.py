@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bytesuffix import without_repeated_bytes
 from .chat import perspectives
 from .collocations import collocations
 from .decontam import leaked
@@ -87,6 +88,11 @@ def op11_phrase_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents", "text", "lang"))
 
 
+def op12_interval_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = without_repeated_bytes(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -101,5 +107,6 @@ QUERIES = {
         op9_kneser_ney,
         op10_perspectives,
         op11_phrase_filters,
+        op12_interval_tree,
     )
 }

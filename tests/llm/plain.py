@@ -90,3 +90,19 @@ def collocations(docs, least, longest, top):
                 rows.append((-score, -a, " ".join(g).encode(), c[g[:k]], c[g[k:]]))
         out += [(lang, i, p.decode(), -a, x, y, n[lang], -s) for i, (s, a, p, x, y) in enumerate(sorted(rows)[:top], 1)]
     return out
+
+
+def without_repeated_bytes(docs, length):
+    """doc_id -> bytes, bytes gone, runs gone, what stays."""
+    seen, out = set(), {}
+    for d, text in sorted(docs):
+        raw = (text or "").encode()
+        gone = [False] * (len(raw) + 1)
+        for i in range(len(raw) - length + 1):
+            g = raw[i : i + length]
+            if g in seen:
+                gone[i : i + length] = [True] * length
+            seen.add(g)
+        runs = sum(x and not y for x, y in zip(gone, [False, *gone]))
+        out[d] = (len(raw), sum(gone), runs, bytes(b for b, x in zip(raw, gone) if not x))
+    return out
