@@ -106,4 +106,35 @@ SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(lost.n, 0)::BIGINT A
 FROM d LEFT JOIN lost USING (doc_id) LEFT JOIN spans USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES = {"op4_host_rules": HOST_RULES, "op5_substring_dedup": REPEATS, "op10_perspectives": PERSPECTIVES, "op11_phrase_filters": COLLOCATIONS, "op12_interval_tree": BYTE_REPEATS}
+SPELLINGS = """
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+r AS (
+  SELECT doc_id, x, count(*) AS n, hex(encode(doc_id || ':' || x)) AS h
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS x FROM documents)
+  WHERE length(x) >= 7 GROUP BY doc_id, x),
+b AS (SELECT x, n, [4294967295] || list_transform(range(0, length(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT) AS l FROM r),
+c AS (SELECT x, n, xor(list_reduce(l, lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) AS h FROM b, crc),
+v AS (
+  SELECT word, sum(n)::BIGINT AS n
+  FROM (SELECT CASE WHEN h % 31 = 0 THEN x[:h % length(x)] || x[h % length(x) + 2:] ELSE x END AS word, n FROM c)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+hole AS (SELECT word, n, word[:i - 1] || '*' || word[i + 1:] AS p FROM places),
+less AS (SELECT DISTINCT word, n, word[:i - 1] || word[i + 1:] AS w FROM places),
+pairs AS (
+  SELECT x.word, y.word AS near, y.n AS near_n FROM hole x JOIN hole y USING (p) WHERE x.word <> y.word
+  UNION SELECT less.word, v.word, v.n FROM less JOIN v ON v.word = less.w
+  UNION SELECT v.word, less.word, less.n FROM less JOIN v ON v.word = less.w),
+best AS (SELECT word, count(*) AS n_near, min(struct_pack(l := -near_n, w := near)) AS f FROM pairs GROUP BY word),
+forms AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -f.l >= 10 * v.n THEN f.w END AS form, CASE WHEN -f.l >= 10 * v.n THEN -f.l END AS form_n
+  FROM v LEFT JOIN best USING (word)),
+path AS (
+  SELECT word, word AS root, 0 AS d FROM forms
+  UNION ALL SELECT path.word, forms.form, d + 1 FROM path JOIN forms ON forms.word = path.root WHERE forms.form IS NOT NULL)
+SELECT forms.word, form, p.root, n, n_near, form_n
+FROM forms JOIN (SELECT word, arg_max(root, d) AS root FROM path GROUP BY word) p USING (word)
+"""
+
+ORACLES = {"op4_host_rules": HOST_RULES, "op5_substring_dedup": REPEATS, "op10_perspectives": PERSPECTIVES, "op11_phrase_filters": COLLOCATIONS, "op12_interval_tree": BYTE_REPEATS, "op13_bloom_spelling": SPELLINGS}

@@ -18,6 +18,7 @@ from .neardup import NearDup, near_groups
 from .pieces import decoded, encoded, read_model
 from .quality import judged, words
 from .sharding import sharded
+from .spelling import spelling_variants
 from .substring import without_repeats
 from .urls import Rule, judged_urls
 
@@ -93,6 +94,10 @@ def op12_interval_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_bloom_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -108,5 +113,6 @@ QUERIES = {
         op10_perspectives,
         op11_phrase_filters,
         op12_interval_tree,
+        op13_bloom_spelling,
     )
 }

@@ -1,6 +1,7 @@
 """Plain versions of what the operators compute, for small inputs."""
 
 import re
+import zlib
 from collections import Counter
 
 LOW = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -106,3 +107,35 @@ def without_repeated_bytes(docs, length):
         runs = sum(x and not y for x, y in zip(gone, [False, *gone]))
         out[d] = (len(raw), sum(gone), runs, bytes(b for b, x in zip(raw, gone) if not x))
     return out
+
+
+def near(x, y):
+    """Whether two different words are one edit apart."""
+    if len(x) < len(y):
+        x, y = y, x
+    if len(x) - len(y) > 1 or x == y:
+        return False
+    i = next((i for i in range(len(y)) if x[i] != y[i]), len(y))
+    return x[i + 1 :] == (y[i + 1 :] if len(x) == len(y) else y[i:])
+
+
+def spellings(docs, least, times, ratio, drop):
+    """word -> form, root, n, near words, n of the form."""
+    n = Counter()
+    for d, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", (text or "").translate(LOW)):
+            h = zlib.crc32(f"{'' if d is None else d}:{run}".encode())
+            if drop and h % drop == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            n[run] += 1
+    n = {w: k for w, k in n.items() if len(w) >= least and k >= times}
+    out = {}
+    for w, k in n.items():
+        around = sorted((-n[x], x) for x in n if near(w, x))
+        fits = bool(around) and -around[0][0] >= ratio * k
+        out[w] = (around[0][1] if fits else None, k, len(around), -around[0][0] if fits else None)
+
+    def root(w):
+        return root(out[w][0]) if out[w][0] else w
+
+    return {w: (x[0], root(w), *x[1:]) for w, x in out.items()}
