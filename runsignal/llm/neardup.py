@@ -68,9 +68,8 @@ def near_links(docs: DataFrame, sigs: DataFrame, firsts: DataFrame, cfg: NearDup
     1. Stars: every document is compared with the most central one (the hub) among those it shares a bucket with.  What
        a verified link has joined needs no further comparison, so n near copies cost n pairs, not n**2.  As long
        as that joins much, documents that still share buckets across components get another hub.
-    2. Pairs that still share a bucket across components are compared, but not all of them: two
-       documents with the same first hub, not both linked to it, can only be similar if they share changes against it
-       (``shared_changes``).  Pairs with different hubs are compared as they are.
+    2. Of the documents that still share a bucket across components, only those pairs are compared that share a band and
+       something rare (``prefix_pairs``).
     """
     band = (
         sigs.join(firsts.withColumnRenamed("rep", "doc_id"), ["f1", "f2", "n_shingles", "doc_id"])
@@ -104,65 +103,88 @@ def near_links(docs: DataFrame, sigs: DataFrame, firsts: DataFrame, cfg: NearDup
             labels = written(components(reduce(DataFrame.unionByName, links)), "labels")
         if joined < 0.2 * opened or not opened:
             break
-    left = written(_still_open(members, labels, first), "left")
-    x, y = left.alias("x"), left.alias("y")
-    other = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")) & (F.col("x.hub") != F.col("y.hub")))
-    other = _ordered(other, "x.id", "y.id")
-    own = shared_changes(docs, left.select("id", "hub", "label").distinct(), cfg)
-    pairs = written(other.unionByName(own).distinct().join(_ordered(first, "id", "hub"), ["a", "b"], "left_anti"), "pairs")
-    links.append(written(verified(docs, probable(pairs, sigs, cfg), cfg), "links"))
+    left = written(_still_open(members, labels).select("id", "label").distinct(), "left")
+    pairs = written(prefix_pairs(docs, left, cfg).join(_ordered(first, "id", "hub"), ["a", "b"], "left_anti"), "pairs")
+    links.append(written(verified(docs, probable(pairs, sigs, cfg, banded=True), cfg), "links"))
     return reduce(DataFrame.unionByName, links)
 
 
-def _still_open(members: DataFrame, labels: DataFrame | None, first: DataFrame) -> DataFrame:
-    """Rows of buckets that hold several components, with each document's first hub (a hub's own is itself)."""
+def _still_open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Rows of buckets that hold several components."""
     now = members.withColumn("label", F.col("id")) if labels is None else members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     bounds = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-    return now.join(bounds, "bucket").join(first, "id", "left").withColumn("hub", F.coalesce("hub", "id"))
+    return now.join(bounds, "bucket")
 
 
 def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return pairs.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct()
 
 
-def shared_changes(docs: DataFrame, rows: DataFrame, cfg: NearDup) -> DataFrame:
-    """Pairs (a, b) of one hub, with different labels, that share a change in a position where similar ones must.
+def prefix_pairs(docs: DataFrame, rows: DataFrame, cfg: NearDup) -> DataFrame:
+    """Pairs (a, b) of documents in rows ``(id, label)``, with different labels, that can reach the threshold by what is rare in them.
 
-    Against its hub of m shingles a set lacks d and has e others.  With c = t / (1 + t), similarity t of x and y needs
-    O >= (2c - 1) m + (1 - c)(dx + dy) + c (ex + ey) shared changes.  If x is not linked to the hub, then
-    (1 - c) dx + c ex > (1 - 2c) m, so O > (1 - c) dy + c ey: of y's d + e changes, in any order, one of the first
-    d + e - O + 1 is shared.  Additions go first, since they are the rarer ones.  If the first shared one is at place p of
-    y's changes, at most d + e - p are shared, which must reach O for x and y themselves.
+    All sets are put in one order, rare shingles first.  With c = t / (1 + t), similarity t of x and y needs c (|x| + |y|) shared shingles.  If
+    the first shared one is at place p of x and q of y, at most |x| - p and |y| - q are shared.  So it lies in the first (1 - t) |x| of the
+    larger set and the first (1 - 2c) |y| of the smaller one: a fifth and a ninth at 0.8.  A text that is too far from its hub has more
+    than a ninth of its own, so that loosely similar texts meet in nothing that they have in common with the hub.
+    Counts may be off: any order gives the same links.
     """
     c = cfg.num / (cfg.num + cfg.den)
+    texts = _involved(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), rows.select(F.col("id").alias("a"), F.col("id").alias("b")), cfg)
+    sent = docs.sparkSession.sparkContext.broadcast(shingle_counts(texts, cfg))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
+        powers, count = Powers(), sent.value
         for batch in batches:
-            for part in chunks(batch, "text_a"):
-                x, y = (shingle_sets(words_of(part.column(k), powers, lower=True), cfg.shingle) for k in ("text_a", "text_b"))
-                change, place, lead, sizes = [], [], [], []
-                for s, h in zip(x, y):
-                    more, less = np.setdiff1d(s, h, True), mix(np.setdiff1d(h, s, True) ^ np.uint64(0x5555555555555555))
-                    n = len(more) + len(less)
-                    least = int((1 - c) * len(less) + c * len(more) - 1e-9) + 1
-                    change.append(np.concatenate((more, less)))
-                    place.append(np.arange(n, dtype=np.int32))
-                    lead.append(place[-1] < n - least + 1)
-                    # One document's part in O; the hub's size counts once.
-                    sizes.append((n, (1 - c) * len(less) + c * len(more), (2 * c - 1) * len(h)))
-                row = np.repeat(np.arange(len(x)), [len(k) for k in change])
-                n, part_of, base = (np.array(k, float)[row] for k in zip(*sizes))
-                arrays = [part.column(k).take(pa.array(row)) for k in ("a", "b", "label")]
-                arrays += [pa.array(k) for k in (np.concatenate(change).view(np.int64), np.concatenate(lead), n - np.concatenate(place), part_of, base)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["id", "hub", "label", "change", "lead", "rest", "part", "base"])
-
-    ends = rows.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"), "label")
-    changes = written(with_texts(docs, written(ends, "ends"), cfg).mapInArrow(run, "id long, hub long, label long, change long, lead boolean, rest double, part double, base double"), "changes")
-    lead = changes.where("lead").alias("x")
-    reach = F.expr("x.rest >= x.base + x.part + y.part - 1e-6")
-    pairs = lead.join(changes.alias("y"), (F.col("x.hub") == F.col("y.hub")) & (F.col("x.change") == F.col("y.change")) & (F.col("x.label") != F.col("y.label")) & reach)
-    return _ordered(pairs, "x.id", "y.id")
+            for part in chunks(batch):
+                ids, size, token, place = [], [], [], []
+                for doc_id, s in zip(part.column("doc_id").to_pylist(), shingle_sets(words_of(part.column("text"), powers, lower=True), cfg.shingle)):
+                    n = len(s)
+                    first = s[np.argsort(count[s >> np.uint64(64 - _COUNTERS)], kind="stable")[: (cfg.den - cfg.num) * n // cfg.den + 1]]
+                    ids.append(np.full(len(first), doc_id, np.int64))
+                    size.append(np.full(len(first), n, np.int32))
+                    place.append(np.arange(len(first), dtype=np.int32))
+                    token.append(first.view(np.int64))
+                columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids, size, place, token)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=_PREFIX)
+
+    prefix = written(texts.mapInArrow(run, "id long, size int, place int, token long").join(rows, "id"), "prefix")
+    shared = F.lit(c) * (F.col("x.size") + F.col("y.size")) - 1e-6
+    reach = (F.col("x.size") - F.col("x.place") >= shared) & (F.col("y.size") - F.col("y.place") >= shared)
+    smaller = prefix.where(F.col("place") <= (1 - 2 * c) * F.col("size") + 1e-6)
+    near = (F.col("x.size") >= F.col("y.size")) & (F.col("y.size") * cfg.den >= F.col("x.size") * cfg.num) & (F.col("x.label") != F.col("y.label"))
+    return _ordered(prefix.alias("x").join(smaller.alias("y"), (F.col("x.token") == F.col("y.token")) & near & reach), "x.id", "y.id")
+
+
+_COUNTERS = 20  # bits of a shingle's hash that choose its counter: 2 MB in all
+_PREFIX = pa.schema([("id", pa.int64()), ("size", pa.int32()), ("place", pa.int32()), ("token", pa.int64())])
+
+
+def shingle_counts(texts: DataFrame, cfg: NearDup) -> np.ndarray:
+    """How many sets hold a shingle of each group of hashes, up to 65535; added up by range, so the driver gets one array."""
+    ranges, size = 16, 1 << _COUNTERS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, total = Powers(), np.zeros(size, np.int64)
+        for batch in batches:
+            for part in chunks(batch):
+                for s in shingle_sets(words_of(part.column("text"), powers, lower=True), cfg.shingle):
+                    np.add.at(total, s >> np.uint64(64 - _COUNTERS), 1)
+        if total.any():
+            parts = np.minimum(total, 65535).astype(np.uint16).reshape(ranges, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(range(ranges), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["range", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for r, n in zip(*(c.to_pylist() for c in batch.columns)):
+                sums[r] = sums.get(r, np.zeros(size // ranges, np.int64)) + np.frombuffer(n, np.uint16)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(x, 65535).astype(np.uint16).tobytes() for x in sums.values()], pa.binary())], names=["range", "n"])
+
+    total = np.zeros((ranges, size // ranges), np.uint16)
+    for r in texts.mapInArrow(count, "range int, n binary").repartition(ranges, "range").mapInArrow(add, "range int, n binary").collect():
+        total[r["range"]] = np.frombuffer(r["n"], np.uint16)
+    return total.ravel()
 
 
 def signatures(docs: DataFrame, cfg: NearDup) -> DataFrame:
@@ -236,8 +258,8 @@ def least_matches(cfg: NearDup) -> list[tuple[int, int]]:
     return out
 
 
-def probable(pairs: DataFrame, sigs: DataFrame, cfg: NearDup) -> DataFrame:
-    """Pairs that the sequential test does not give up."""
+def probable(pairs: DataFrame, sigs: DataFrame, cfg: NearDup, banded: bool = False) -> DataFrame:
+    """Pairs that the sequential test does not give up; ``banded``: only those that share a band."""
     steps = least_matches(cfg)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,6 +268,8 @@ def probable(pairs: DataFrame, sigs: DataFrame, cfg: NearDup) -> DataFrame:
                 continue
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, cfg.hashes) for c in ("low_a", "low_b"))
             alive, same, done = np.arange(len(x)), np.zeros(len(x), np.int64), 0
+            if banded:
+                alive = np.flatnonzero((x == y).reshape(-1, cfg.rows, cfg.bands).all(1).any(1))
             for n, least in steps:
                 same[alive] += (x[alive, done:n] == y[alive, done:n]).sum(1)
                 alive, done = alive[same[alive] >= least], n

@@ -4,8 +4,10 @@ import random
 
 import numpy as np
 import plain
+from pyspark.sql import functions as F
+
 from runsignal.llm.components import components
-from runsignal.llm.neardup import NearDup, least_matches, near_groups
+from runsignal.llm.neardup import NearDup, least_matches, near_groups, prefix_pairs
 
 SCHEMA = "doc_id long, text string"
 
@@ -64,3 +66,33 @@ def test_sequential_test_keeps_what_is_similar():
         kept &= same[:, :n].sum(1) >= least
     assert kept.mean() > 0.999
     assert (rng.random((1000, cfg.hashes)) < 0.5)[:, : cfg.hashes].sum(1).max() < least_matches(cfg)[-1][1]
+
+
+def test_loosely_similar_texts_cost_no_pairs(spark):
+    """A group around one text, each with five changes of its own: too far from it and from each other."""
+    rnd, words = random.Random(9), [f"w{i}" for i in range(20_000)]
+    base, made = [rnd.choice(words) for _ in range(100)], {}
+    for n in (300, 600):
+        texts = []
+        for _ in range(n):
+            x = list(base)
+            for i in rnd.sample(range(100), 5):
+                x[i] = rnd.choice(words)
+            for i in rnd.sample(range(90), rnd.randrange(3)):
+                x.pop(i)
+            texts.append(" ".join(x))
+        docs = spark.createDataFrame(list(enumerate([" ".join(base), *texts])), SCHEMA)
+        rows = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("label"))
+        made[n] = prefix_pairs(docs, rows, NearDup(shingle=4)).count()
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_groups(docs, NearDup(shingle=4)).collect()}
+        assert got == plain.components(list(enumerate([" ".join(base), *texts])), 4, 80)
+    assert made[600] < 600 and made[600] < 3 * made[300] + 60
+
+
+def test_sent_ids_and_joined_ids_give_the_same(spark):
+    rnd = random.Random(6)
+    words = [f"w{i}" for i in range(500)]
+    docs = list(enumerate(t for n in (20, 90) for t in family(rnd, words, n, 30, 9)))
+    df = spark.createDataFrame(docs, SCHEMA)
+    got = [sorted(tuple(r) for r in near_groups(df, NearDup(shingle=4, send=send)).collect()) for send in (0, 10**6)]
+    assert got[0] == got[1]
