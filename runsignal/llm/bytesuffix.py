@@ -29,7 +29,7 @@ _END = 0xFF  # no byte of UTF-8
 @dataclass(frozen=True)
 class ByteRepeats:
     """Strings of ``length`` bytes; ``gram`` bytes an anchor.  A shard of over ``shard`` kinds is dealt out further, by whole string.
-    Up to ``send`` spans are sent to the documents, more are joined by document."""
+    Up to ``send`` spans, and a tenth as many kinds, are sent to the documents, more are joined by document."""
 
     length: int = 100
     gram: int = 48
@@ -188,7 +188,7 @@ def _prefix(data: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
 def contents(docs: DataFrame, kinds: DataFrame, cfg: ByteRepeats) -> DataFrame:
     """Adds the bytes of the first occurrence of every kind, or in the largest shards the hashes of its strings."""
     refs = kinds.groupBy(F.col("first.doc_id").alias("s_doc")).agg(F.collect_list(F.struct("anchor", "seg", "m", "first.at", "n", "kinds")).alias("refs"))
-    joined = _by_document(docs.withColumn("d_doc_id", F.col("doc_id")), written(refs, "refs"), cfg.send, "inner", F.size("refs"))
+    joined = _by_document(docs.withColumn("d_doc_id", F.col("doc_id")), written(refs, "refs"), cfg.send // 10, "inner", F.size("refs"))
     kind = "anchor long, seg long, m long, doc_id long, at int, kinds long, bytes binary, windows array<long>"
     names = [c.split()[0] for c in kind.split(", ")]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
