@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import as_number, days_between, pearson, ratio, seconds
+from ..functions.rolling import lag_sums
 from ..settings import PASSES, Settings
 
 # Variables compared by default, in their documented order.
@@ -118,16 +119,13 @@ def lagged_correlation(
         rows = rows.withColumn("_i", F.floor(seconds("ts") / cfg.bucket_s))
     else:
         rows = rows.withColumn("_i", F.row_number().over(unit.orderBy("ts")).cast("long"))
-    near = F.collect_list(F.struct("_i", "y")).over(unit.orderBy("_i").rangeBetween(-cfg.max_lag, cfg.max_lag))
-    shifted = (
-        rows.withColumn("_near", near)
-        .select("unit", "_i", "x", F.explode("_near").alias("o"))
-        .where(F.col("x").isNotNull() & F.col("o.y").isNotNull())
-        .select("unit", (F.col("o._i") - F.col("_i")).cast("int").alias("lag_steps"), "x", F.col("o.y").alias("y"))
-    )
-    found = shifted.groupBy("unit", "lag_steps").agg(
-        F.count(F.lit(1)).alias("n"), pearson("x", "y").alias("corr")
-    )
+    # Sums around the unit's own means lose no digits.
+    centre = lambda c: (F.col(c) - F.avg(c).over(unit)).alias(c)
+    sums = lag_sums(rows.select("unit", F.col("_i").alias("_at"), centre("x"), centre("y")), ["unit"], cfg.max_lag)
+    n, spread = F.col("n"), lambda c: F.col(f"s{c}{c}") - F.col(f"s{c}") * F.col(f"s{c}") / F.col("n")
+    varies = lambda c: spread(c) > F.lit(1e-13) * F.col(f"s{c}{c}")
+    corr = F.when(varies("x") & varies("y"), (F.col("sxy") - F.col("sx") * F.col("sy") / n) / F.sqrt(spread("x") * spread("y")))
+    found = sums.select("unit", F.col("lag").alias("lag_steps"), n.cast("long").alias("n"), corr.alias("corr"))
     # At most 2 * max_lag + 1 entries per unit; lags without a pair come back as NULL.
     per_unit = found.groupBy("unit").agg(
         F.map_from_entries(F.collect_list(F.struct("lag_steps", F.struct("n", "corr")))).alias("m")

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import days_between
+from ..functions.rolling import rolling_medians
 from ..settings import PASSES, Settings
 from ..sources.historian import sent_if_small
 from ..sources.tables import stage
-from .drift import rolling_median
+from .drift import centred, grid_position
 
 BAND = ("lo", "q1", "med", "q3", "hi", "mean")
 
@@ -33,9 +34,8 @@ def pass_bands(drift: DataFrame, frame: DataFrame, cfg: Settings, smooth: bool =
     out = out.withColumn("_p", present).where("_p").drop("_p")
     rows = cfg.rows(cfg.band_hours)
     if smooth and rows > 1:
-        out = out.select(
-            "unit", "grp", "ts", *[rolling_median(c, ["unit", "grp"], rows, 1).alias(c) for c in BAND]
-        )
+        smoothed = rolling_medians(out, ["unit", "grp"], grid_position("ts", cfg.bucket_s), list(BAND), *centred(rows), 1)
+        out = smoothed.select("unit", "grp", "ts", *[F.col(f"{c}_med").alias(c) for c in BAND])
     return out.select("unit", "grp", "ts", *BAND)
 
 
@@ -82,12 +82,9 @@ def fleet_smooth(series: DataFrame, cfg: Settings, value: str = "dd_abs_max") ->
     longer = placed.select("unit", "_pos", value, reach.alias("_r")).select(
         "unit", F.explode("_r").alias("_k"), (F.col("_pos") + F.col("_k")).alias("_pos"), value
     )
-    w = Window.partitionBy("unit").orderBy("_pos").rangeBetween(-(rows - 1), 0)
-    own = F.when(F.col("_k") == 0, F.col(value))
-    smooth = F.when(F.count(own).over(w) >= least, F.percentile(own, 0.5).over(w))
-    return longer.select("unit", "_pos", own.alias(value), smooth.alias("smooth")).join(union, "_pos").select(
-        "unit", "ts", value, "smooth"
-    )
+    own = longer.select("unit", "_pos", F.when(F.col("_k") == 0, F.col(value)).alias(value))
+    smooth = rolling_medians(own, ["unit"], F.col("_pos"), [value], rows - 1, 0, least)
+    return smooth.join(union, "_pos").select("unit", "ts", value, F.col(f"{value}_med").alias("smooth"))
 
 
 def clean_share(windows: DataFrame) -> DataFrame:

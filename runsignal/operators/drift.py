@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import median, plus_hours, spread_over
+from ..functions.exprs import plus_hours, seconds, spread_over
+from ..functions.rolling import rolling_medians
 from ..settings import PASSES, Settings
 from ..sources.historian import sent_if_small
 from ..sources.tables import stage
@@ -86,14 +87,15 @@ def pass_balance(frame: DataFrame) -> DataFrame:
     )
 
 
-def rolling_median(value, keys: list[str], rows: int, least: int, centred: bool = True) -> Column:
-    """Median over ``rows`` grid rows, NULL below ``least`` values.
+def centred(rows: int) -> tuple[int, int]:
+    """Rows behind and ahead in a frame of ``rows``; one of even length looks one row further back."""
+    ahead = (rows - 1) // 2
+    return rows - 1 - ahead, ahead
 
-    A centred frame of even length looks one row further back than ahead.
-    """
-    ahead = (rows - 1) // 2 if centred else 0
-    frame = Window.partitionBy(*keys).orderBy("ts").rowsBetween(-(rows - 1 - ahead), ahead)
-    return F.when(F.count(value).over(frame) >= least, median(value).over(frame))
+
+def grid_position(ts, bucket_s: int) -> Column:
+    """Number of a bucket of the dense grid."""
+    return F.floor(seconds(ts) / F.lit(int(bucket_s)))
 
 
 def drift_rate(series: DataFrame, cfg: Settings, value: str = "dd_abs_max", name: str = "coking_rate") -> DataFrame:
@@ -102,11 +104,9 @@ def drift_rate(series: DataFrame, cfg: Settings, value: str = "dd_abs_max", name
     ``series`` must be on the dense grid with ``run_id``.
     """
     rows = cfg.rows(cfg.rate_hours, least=2)
-    smooth = rolling_median(value, ["unit", "run_id"], rows, max(2, rows // 3))
+    behind, ahead = centred(rows)
+    smooth = f"{value}_med"
+    out = rolling_medians(series, ["unit", "run_id"], grid_position("ts", cfg.bucket_s), [value], behind, ahead, max(2, rows // 3))
     step_h = cfg.bucket_s / 3600.0
-    change = F.col("_smooth") - F.lag("_smooth").over(Window.partitionBy("unit", "run_id").orderBy("ts"))
-    return (
-        series.withColumn("_smooth", F.when(F.col("run_id").isNotNull(), smooth))
-        .withColumn(name, F.when(F.col("run_id").isNotNull(), change / F.lit(step_h) * 24.0))
-        .drop("_smooth")
-    )
+    change = F.col(smooth) - F.lag(smooth).over(Window.partitionBy("unit", "run_id").orderBy("ts"))
+    return out.withColumn(name, F.when(F.col("run_id").isNotNull(), change / F.lit(step_h) * 24.0)).drop(smooth)

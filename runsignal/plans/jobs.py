@@ -18,13 +18,14 @@ from ..operators import curves as cv
 from ..operators import drift as dr
 from ..operators import features as ft
 from ..operators import fleet as fl
+from ..operators import partials as pt
 from ..operators import quality as ql
 from ..operators import resample as rs
 from ..operators import runs as rn
 from ..operators import windows as wn
-from ..settings import PASSES, Settings
+from ..settings import PASSES, PLANT, Settings
 from ..sources import tables as tb
-from ..sources.historian import good_samples
+from ..sources.historian import good_samples, only_tags
 
 
 def load_catalog(spark: SparkSession, metadata: DataFrame, out: str, refresh: bool = False) -> DataFrame:
@@ -46,9 +47,24 @@ def coverage_report(
 ) -> None:
     """Samples per tag and year, and per role and year."""
     tags = _only(load_catalog(spark, metadata, out, refresh), unit)
-    tb.write_table(rs.coverage_by_year(events, tags), f"{out}/coverage_by_year", by=None)
+    _coverage_tables(spark, tags, rs.coverage_by_year(events, tags), rs.coverage(events, tags), out)
+
+
+def stored_coverage_report(
+    spark: SparkSession, store: str, metadata: DataFrame, out: str, unit: str | None = None, state_s: int = 3600,
+) -> list[str]:
+    """The same from an event store: only days that are new since the last report are read; returns them."""
+    tags = _only(load_catalog(spark, metadata, out), unit)
+    fresh = pt.refresh_states(spark, store, f"{out}/states", state_s)
+    states = only_tags(pt.read_states(spark, f"{out}/states"), tags)
+    _coverage_tables(spark, tags, pt.years_from(states), pt.coverage_from(states), out)
+    return fresh
+
+
+def _coverage_tables(spark: SparkSession, tags: DataFrame, years: DataFrame, coverage: DataFrame, out: str) -> None:
+    tb.write_table(years, f"{out}/coverage_by_year", by=None)
     by_year = tb.read_table(spark, f"{out}/coverage_by_year")
-    tb.write_table(rs.coverage(events, tags), f"{out}/coverage", by=None)
+    tb.write_table(coverage, f"{out}/coverage", by=None)
     tb.write_table(rs.coverage_matrix(by_year), f"{out}/coverage_matrix", by=None)
     tb.write_table(rs.role_by_year(by_year, tags), f"{out}/coverage_roles", by=None)
     tb.write_table(ct.count_roles(tags), f"{out}/catalog_roles", by=None)
@@ -86,6 +102,18 @@ def feature_tables(
     return tb.read_table(spark, f"{at}/features")
 
 
+def refresh_units(
+    spark: SparkSession, events: DataFrame, metadata: DataFrame, out: str, start, end, units: list[str], cfg: Settings = Settings(), proxy: bool = False,
+) -> DataFrame:
+    """Builds the features of some units anew and replaces just these in the saved fleet table."""
+    at = f"{request_folder(out, None, start, end, proxy, cfg)}/features"
+    catalog = load_catalog(spark, metadata, out)
+    tags = catalog.where(F.col("unit").isin([*units, PLANT]))
+    prepared = ft.prepare(history_of(events, tags, start, end, cfg), tags, cfg, proxy=proxy)
+    tb.write_table(ft.build_features(prepared, cfg, extras=True), at, only=True)
+    return tb.read_table(spark, at)
+
+
 def request_folder(out: str, unit, start, end, proxy: bool, cfg: Settings) -> str:
     """Folder of one request's tables: the unit in clear, everything else that changes rows as a digest."""
     digest = hashlib.sha256(repr((str(start), str(end), proxy, cfg)).encode()).hexdigest()[:16]

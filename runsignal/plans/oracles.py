@@ -844,3 +844,37 @@ oracle(
     """SELECT unit, CASE WHEN bool_or(role = 'tube_COT_long') THEN 'tube_COT_long' ELSE 'tube_COT' END AS sensor_role
        FROM tags WHERE role IN ('tube_COT', 'tube_COT_long') GROUP BY unit""",
 )
+
+# ---- stored tables ---------------------------------------------------------------------------
+
+# What has been stored and read back equals what was given.
+for stored, plain in {
+    "store_range": "history_load",
+    "states_mean": "bucket_mean",
+    "states_coverage": "coverage",
+    "states_role_year": "role_year",
+    "saved_catalog": "tag_catalog",
+    "saved_frame": "cracking_mask",
+    "saved_clean": "clean_rows",
+    "saved_windows": "windows_v1",
+    "saved_runs": "run_table",
+}.items():
+    ORACLES[stored] = ORACLES[plain]
+for scan in ("scan_events", "scan_managed"):
+    oracle(scan, "ID EventTime:t Status Value:d", 'SELECT id AS "ID", time AS "EventTime", status AS "Status", value AS "Value" FROM samples_e')
+oracle("scan_metadata", "ID Description UoM", """SELECT id AS "ID", description AS "Description", 'C' AS "UoM" FROM meta""")
+oracle(
+    "store_around",
+    "error ID EventTime:t Status Value:d",
+    """SELECT e.error, s.id AS "ID", s.time AS "EventTime", s.status AS "Status", s.value AS "Value"
+       FROM (SELECT id AS error, date_trunc('second', min(time)) AS at FROM samples_e WHERE status = 'Bad' GROUP BY id) e
+       JOIN samples_e s ON s.time >= e.at - INTERVAL 1 HOUR AND s.time < e.at + INTERVAL 1 HOUR""",
+)
+oracle("unit_tags", "id unit role grp", "SELECT * FROM tags WHERE unit IN ('1HC', 'PLANT')")
+oracle(
+    "role_ids",
+    "id grp",
+    """SELECT id, 'all' AS grp FROM tags WHERE role = 'feed_flow' AND unit IN ('1HC', 'PLANT')
+       UNION ALL SELECT id, 'B' FROM tags WHERE role = 'feed_flow' AND unit IN ('1HC', 'PLANT') AND grp = 'B'""",
+)
+oracle("sensor_passes", "unit id grp", "SELECT * FROM tags WHERE role = 'tube_COT' AND grp IS NOT NULL")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,13 +16,17 @@ from ..operators import curves as cv
 from ..operators import drift as dr
 from ..operators import features as ft
 from ..operators import fleet as fl
+from ..operators import partials as pt
 from ..operators import quality as ql
 from ..operators import resample as rs
 from ..operators import runs as rn
 from ..operators import windows as wn
 from ..settings import PASSES
-from ..sources.historian import good_samples
+from ..sources import store as st
+from ..sources import tables as tb
+from ..sources.historian import good_samples, read_events, read_metadata
 from ..sources.tables import stage
+from . import jobs
 from . import samples as sm
 from .present import present
 from .samples import HALF_DAY, WEEKLY
@@ -152,6 +157,128 @@ def role_year(spark, d):
     return by_columns(rs.role_by_year(by_year, sm.event_catalog(spark, d)), "role")
 
 
+# ---- stored tables ---------------------------------------------------------------------------
+
+
+def shelf(spark) -> str:
+    """A folder of its own for the tables that a query stores and reads back."""
+    return f"{tb.checkpoint_root(spark)}/runsignal/shelf-{uuid.uuid4().hex}"
+
+
+def event_store(spark, d, until: str | None = None) -> str:
+    """The events as an event store; with ``until`` loaded in two goes, the later days added to the earlier ones."""
+    at, samples = f"{shelf(spark)}/events", sm.event_samples(spark, d)
+    st.write_events(samples.where(F.col("EventTime") < until) if until else samples, at)
+    return at
+
+
+@query
+def scan_events(spark, d):
+    """All samples, written as they are and scanned by path."""
+    at = f"{shelf(spark)}/raw"
+    sm.event_samples(spark, d).withColumn("extra", F.lit(1)).write.parquet(at)
+    return present(read_events(spark, path=at))
+
+
+@query
+def scan_managed(spark, d):
+    """The same as a table of the session catalog, in a schema made for it."""
+    name = f"runsignal_{uuid.uuid4().hex}"
+    tb.ensure_schema(spark, name, f"{shelf(spark)}/{name}")
+    tb.save_managed(sm.event_samples(spark, d), f"{name}.events")
+    return present(read_events(spark, table=f"{name}.events"))
+
+
+@query
+def scan_metadata(spark, d):
+    at = f"{shelf(spark)}/metadata"
+    sm.part_metadata(spark, d).withColumn("extra", F.lit(1)).write.parquet(at)
+    return present(read_metadata(spark, path=at))
+
+
+@query
+def store_range(spark, d):
+    """A range of time from the event store: only its days are read."""
+    samples = good_samples(st.read_store(spark, event_store(spark, d)), "2024-01-05 00:00:00", "2024-01-25 00:00:00")
+    return present(rs.load_history(samples, sm.event_catalog(spark, d), HALF_DAY.bucket_s), "unit", "id", "role", "ts", "value")
+
+
+@query
+def store_around(spark, d):
+    """Raw samples of the hour before and the hour after the first bad sample of each tag, whatever tag they are of."""
+    events = st.read_store(spark, event_store(spark, d))
+    errors = events.where("Status = 'Bad'").groupBy("ID").agg(F.min("EventTime").alias("at"))
+    spans = errors.select(F.col("ID").alias("error"), plus_hours("at", -1).alias("t0"), plus_hours("at", 1).alias("t1"))
+    return present(st.around(events, stage(spans, "errors")), "error", "ID", "EventTime", "Status", "Value")
+
+
+def daily_states(spark, d) -> DataFrame:
+    """States of all events: of the first days, then of the days that came later."""
+    at = event_store(spark, d, "2024-01-20")
+    states = f"{at}-states"
+    pt.refresh_states(spark, at, states, 3600)
+    st.write_events(sm.event_samples(spark, d).where(F.col("EventTime") >= "2024-01-20"), at, only=True)
+    pt.refresh_states(spark, at, states, 3600)
+    return pt.read_states(spark, states)
+
+
+@query
+def states_mean(spark, d):
+    return present(pt.means_from(daily_states(spark, d), HALF_DAY.bucket_s))
+
+
+@query
+def states_coverage(spark, d):
+    return present(pt.coverage_from(daily_states(spark, d)))
+
+
+@query
+def states_role_year(spark, d):
+    return by_columns(rs.role_by_year(pt.years_from(daily_states(spark, d)), sm.event_catalog(spark, d)), "role")
+
+
+@query
+def saved_catalog(spark, d):
+    """Built and saved, then found."""
+    at = shelf(spark)
+    for _ in range(2):
+        catalog = jobs.load_catalog(spark, sm.part_metadata(spark, d), at)
+    return present(catalog, "id", "unit", "role", "description", "uom", "grp")
+
+
+@query
+def saved_frame(spark, d):
+    """Unit frames saved by unit, one unit replaced, and reloaded from a table with the old name of the time column."""
+    at, frame = f"{shelf(spark)}/frame", stage(core_labels(spark, d), "frame")
+    tb.read_or_build(spark, at, lambda: frame.withColumnRenamed("ts", "timestamp"))
+    tb.write_table(frame.where("unit = '1'").withColumnRenamed("ts", "timestamp"), at, only=True)
+    out = tb.read_or_build(spark, at, lambda: frame.limit(0))
+    return present(out, "unit", "ts", "feed_total", "sensor_median", "cracking")
+
+
+@query
+def saved_clean(spark, d):
+    at = f"{shelf(spark)}/clean"
+    tb.write_table(wn.clean_rows(labelled(spark, d)), at)
+    return present(tb.read_table(spark, at), "unit", "ts", "run_id", "phase", "feed_total", "cot")
+
+
+@query
+def saved_windows(spark, d):
+    """Windows as text with dates, read back."""
+    at = f"{shelf(spark)}/windows"
+    tb.write_csv(wn.windows_of(labelled(spark, d)), at)
+    return present(tb.read_windows_csv(spark, at))
+
+
+@query
+def saved_runs(spark, d):
+    """Runs of all units in one file."""
+    at = f"{shelf(spark)}/runs"
+    tb.write_csv(rn.run_table(rn.runs_of(feed_frame(spark, d))).coalesce(1), at)
+    return present(spark.read.option("header", True).csv(at, schema="unit string, run int, start timestamp, end timestamp, length_days double"))
+
+
 # ---- catalog ---------------------------------------------------------------------------------
 
 
@@ -180,6 +307,25 @@ def sensor_role(spark, d):
     return present(ct.choose_sensor_role(ct.build_catalog(sm.part_metadata(spark, d)), proxy=True))
 
 
+@query
+def unit_tags(spark, d):
+    """Tags of one unit, those of the whole plant included."""
+    return present(ct.tags_for(ct.build_catalog(sm.part_metadata(spark, d)), "1HC"), "id", "unit", "role", "grp")
+
+
+@query
+def role_ids(spark, d):
+    """Ids of a role, and of a role and pass, of one unit."""
+    catalog = stage(ct.build_catalog(sm.part_metadata(spark, d)), "catalog")
+    of_pass = ct.ids_for(catalog, "1HC", "feed_flow", "B").withColumn("grp", F.lit("B"))
+    return present(ct.ids_for(catalog, "1HC", "feed_flow").withColumn("grp", F.lit("all")).unionByName(of_pass))
+
+
+@query
+def sensor_passes(spark, d):
+    return present(ct.pass_map(ct.build_catalog(sm.part_metadata(spark, d))))
+
+
 # ---- runs ------------------------------------------------------------------------------------
 
 

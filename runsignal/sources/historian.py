@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import as_number
+from ..functions.exprs import as_number, col
 
 EVENT_COLUMNS = ("ID", "EventTime", "Status", "Value")
 
@@ -34,12 +34,28 @@ def sent_if_small(df: DataFrame, limit: int = BROADCAST_TAGS) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df, limit) else df
 
 
+def utc_day(ts) -> Column:
+    """Day of a time in UTC, whatever the session's zone."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(col(ts)) / 86400).cast("int"))
+
+
+def days_between(events: DataFrame, start=None, end=None) -> DataFrame:
+    """Keeps the days of an event store that [start, end) touches; constants, so that other folders are not listed."""
+    if start is not None:
+        events = events.where(F.col("day") >= utc_day(F.lit(start).cast("timestamp")))
+    if end is not None:
+        events = events.where(F.col("day") <= utc_day(F.lit(end).cast("timestamp")))
+    return events
+
+
 def good_samples(events: DataFrame, start=None, end=None) -> DataFrame:
     """Good, numeric samples in the half-open range [start, end) as (id, time, value).
 
-    Filters stay on raw columns so they reach the parquet scan.
+    Filters stay on raw columns so they reach the parquet scan; an event store is also narrowed to the days of the range.
     """
     keep = events.where(F.col("Status") == "Good")
+    if "day" in events.columns:
+        keep = days_between(keep, start, end)
     if start is not None:
         keep = keep.where(F.col("EventTime") >= F.lit(start).cast("timestamp"))
     if end is not None:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import versions
+
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
@@ -47,26 +49,23 @@ def complete(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def ensure_schema(spark: SparkSession, name: str) -> None:
-    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {name}")
+def ensure_schema(spark: SparkSession, name: str, location: str | None = None) -> None:
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {name}" + (f" LOCATION '{location}'" if location else ""))
 
 
-def write_table(df: DataFrame, path: str, by: str | None = "unit", fmt: str = "parquet") -> None:
-    """Overwrite a table, schema included.
+def write_table(df: DataFrame, path: str, by: str | None = "unit", fmt: str = "parquet", only: bool = False) -> None:
+    """A new version of a table, schema included; readers of the version before are not disturbed.
 
     Rows are first spread over (unit, month) so that a unit with many rows is written by several
-    tasks and a folder gets a handful of files instead of one per task.
+    tasks and a folder gets a handful of files instead of one per task.  ``only``: just the units that df has rows of are replaced.
     """
-    out = df
-    if by and by in df.columns:
+    by = by if by and by in df.columns else None
+    if by:
         keys = [F.col(by)]
         if "ts" in df.columns:
             keys.append(F.date_trunc("month", F.col("ts")))
-        out = df.repartition(*keys)
-    writer = out.write.mode("overwrite")
-    if by and by in df.columns:
-        writer = writer.partitionBy(by)
-    writer.format(fmt).save(path)
+        df = df.repartition(*keys)
+    versions.write(df, path, by=by, only=only, fmt=fmt)
 
 
 def save_managed(df: DataFrame, name: str, fmt: str = "parquet") -> None:
@@ -84,13 +83,17 @@ def normalise_time(df: DataFrame) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    df = normalise_time(spark.read.parquet(path))
+    # A folder without commits is a plain table.
+    df = normalise_time(versions.read(spark, path) if versions.current(spark, path) else spark.read.parquet(path))
     # Folder names are read back as the narrowest type; unit is text everywhere.
     return df.withColumn("unit", F.col("unit").cast("string")) if "unit" in df.columns else df
 
 
 def read_or_build(spark: SparkSession, path: str, build, refresh: bool = False, by: str | None = "unit") -> DataFrame:
-    """Saved table if there is a complete one, else build it, save it and read it back."""
+    """Saved table if there is a complete one, else build it, save it as a new version and read it back.
+
+    A DataFrame read earlier keeps its version's files, also while the table is built anew.
+    """
     if refresh or not complete(spark, path):
         write_table(build(), path, by=by)
     return read_table(spark, path)

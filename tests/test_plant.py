@@ -9,6 +9,7 @@ from runsignal.operators import drift as dr
 from runsignal.operators import features as ft
 from runsignal.plans import jobs
 from runsignal.settings import Settings
+from runsignal.sources import store as st
 from runsignal.sources import tables as tb
 
 CFG = Settings()
@@ -107,6 +108,27 @@ def test_requests_do_not_answer_each_other(spark, data, tmp_path):
     assert (at / "features" / "_SUCCESS").exists()
 
 
+def test_one_unit_is_refreshed(spark, data, tmp_path):
+    folder = f"file://{tmp_path}"
+    before = jobs.feature_tables(spark, *data, folder, START, END, CFG)
+    hotter = data[0].withColumn("Value", F.expr("try_cast(Value AS DOUBLE)") + F.when(F.col("ID").startswith("01TC"), 7.0).otherwise(0.0))
+    after = jobs.refresh_units(spark, hotter, data[1], folder, START, END, ["1HB"], CFG)
+    means = [{r.unit: r.cot for r in x.groupBy("unit").agg(F.round(F.avg("cot"), 6).alias("cot")).collect()} for x in (before, after)]
+    assert {u for u in means[0] if means[0][u] != means[1][u]} == {"1HB"} and after.count() == 7 * 2880
+
+
+def test_stored_coverage_reads_new_days_only(spark, data, out, tmp_path):
+    store, folder = f"file://{tmp_path}/store", f"file://{tmp_path}/out"
+    late = F.col("EventTime") >= "2025-02-01"
+    st.write_events(data[0].where(~late), store)
+    assert len(jobs.stored_coverage_report(spark, store, data[1], folder)) > 20
+    st.write_events(data[0].where(late), store, only=True)
+    days = data[0].where(late).select(F.to_date("EventTime")).distinct().count()
+    assert len(jobs.stored_coverage_report(spark, store, data[1], folder)) == days > 0
+    for name in ("coverage_matrix", "coverage_roles", "coverage_by_year"):
+        assert sorted(map(tuple, tb.read_table(spark, f"{folder}/{name}").collect())) == sorted(map(tuple, tb.read_table(spark, f"{out}/{name}").collect()))
+
+
 def test_saved_features_are_reused(spark, data, out):
     again = jobs.feature_tables(spark, spark.createDataFrame([], data[0].schema), data[1], out, START, END, CFG)
     assert again.count() == 7 * 2880
