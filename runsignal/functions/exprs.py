@@ -68,11 +68,16 @@ def as_number(df: DataFrame, name: str) -> Column:
 def pearson(a, b) -> Column:
     """Aggregate: Pearson correlation of complete pairs, NULL when either side is constant.
 
-    Written out because ``corr`` raises a division error on constant input in ANSI mode.
+    A constant side is known by its bounds: merged partial sums of equal values may leave a variance in the last bits.
     Both arguments must already be NULL together (see ``complete``).
     """
-    spread = F.stddev_pop(col(a)) * F.stddev_pop(col(b))
-    return F.try_divide(F.covar_pop(col(a), col(b)), spread)
+    varies = (F.min(col(a)) < F.max(col(a))) & (F.min(col(b)) < F.max(col(b)))
+    return F.when(varies, F.try_divide(F.covar_pop(col(a), col(b)), F.stddev_pop(col(a)) * F.stddev_pop(col(b))))
+
+
+def deviation(x) -> Column:
+    """Aggregate: sample deviation, exactly 0 for equal values."""
+    return F.when(F.min(col(x)) < F.max(col(x)), F.stddev_samp(col(x))).otherwise(F.lit(0.0))
 
 
 def spread_over(cols) -> Column:

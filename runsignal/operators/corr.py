@@ -1,19 +1,21 @@
-"""Pearson and Spearman correlation on long pairs.
+"""Pearson and Spearman correlation of many pairs of columns.
 
-Pairs are exploded from the feature rows and partitioned by (keys, pair); one exchange serves
-both rank windows and the aggregation.  A partition holds at most one unit's grid rows.
+A rank belongs to a column and to the rows it is taken over, and pairs whose rows are the same share it: 17 columns with one
+pattern of missing values are ranked 17 times, not once for every pair (``pair_stats``).  A partition holds at most one unit's grid rows.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import as_number, days_between, pearson, ratio, seconds
+from ..functions.exprs import as_number, days_between, deviation, pearson, ratio, seconds
 from ..functions.rolling import lag_sums
 from ..settings import PASSES, Settings
+from ..sources.historian import sent_if_small
+from ..sources.tables import stage
 
 # Variables compared by default, in their documented order.
 DEFAULT_COLUMNS = (
@@ -61,7 +63,52 @@ def pair_correlations(pairs: DataFrame, keys: list[str], spearman: bool = True)
     if spearman:
         ranked = pairs.withColumn("_rx", _average_rank("x", by)).withColumn("_ry", _average_rank("y", by))
         aggs.append(pearson("_rx", "_ry").alias("spearman"))
-    return ranked.groupBy(*by).agg(*aggs, F.stddev_samp("x").alias("x_std"))
+    return ranked.groupBy(*by).agg(*aggs, deviation("x").alias("x_std"))
+
+
+def pair_stats(df: DataFrame, pairs: list[tuple[str, str]], keys: list[str]) -> DataFrame:
+    """``pair_correlations`` of the complete rows of all pairs, with one ranking for each column and set of rows.
+
+    1. Rows are counted by which columns they have.  These patterns tell for every pair which rows it takes: a signature of its patterns.
+    2. A row holds a value of column c for each signature that c's pairs have and that takes the row; values are ranked by (column, signature).
+    3. The ranks of a row come together again, and every pair adds up products of its two.
+    """
+    if not pairs:
+        raise ValueError("no pair of columns")
+    used = sorted({c for p in pairs for c in p})
+    bit = {c: 1 << i for i, c in enumerate(used)}
+    pattern = sum((F.when(as_number(df, c).isNotNull(), F.lit(bit[c])).otherwise(F.lit(0)).cast("long") for c in used), F.lit(0).cast("long"))
+    numbers = df.select(*keys, *[as_number(df, c).alias(c) for c in used], pattern.alias("_mask"), F.monotonically_increasing_id().alias("_row"))
+    numbers = stage(numbers.where("_mask <> 0"), "numbers")
+    both = {p: bit[p[0]] | bit[p[1]] for p in pairs}
+
+    def taken(need: int) -> Column:
+        return F.col("_mask").bitwiseAND(F.lit(need)) == F.lit(need)
+
+    patterns = numbers.groupBy(*keys, "_mask").agg(F.count(F.lit(1)).alias("_c"))
+    signature = lambda need: F.struct(
+        F.coalesce(F.bit_xor(F.when(taken(need), F.xxhash64("_mask"))), F.lit(0)).alias("xor"), F.coalesce(F.sum(F.when(taken(need), F.col("_c"))), F.lit(0)).alias("n")
+    )
+    entry = lambda p: F.struct(F.lit(p[0]).alias("a"), F.lit(p[1]).alias("b"), F.lit(both[p]).cast("long").alias("need"), signature(both[p]).alias("sig"))
+    plan = stage(patterns.groupBy(*keys).agg(F.array(*[entry(p) for p in pairs]).alias("_pairs")), "pairs")
+    # At most two rankings a pair; a ranking is known by its column and signature, and takes the rows of any of its pairs.
+    sides = "concat(transform(_pairs, p -> struct(p.a AS c, p.sig AS sig, p.need AS need)), transform(_pairs, p -> struct(p.b AS c, p.sig AS sig, p.need AS need)))"
+    first = f"aggregate({sides}, cast(array() AS array<struct<c: string, sig: struct<xor: bigint, n: bigint>, need: bigint>>), (acc, x) -> if(exists(acc, y -> y.c = x.c AND y.sig = x.sig), acc, array_append(acc, x)))"
+    same = [F.col(f"_k{i}").eqNullSafe(F.col(k)) for i, k in enumerate(keys)]
+    renamed = plan.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.expr(first).alias("_rankings"), "_pairs")
+    joined = numbers.join(sent_if_small(renamed), reduce(Column.__and__, same))
+    wanted = F.explode(F.filter("_rankings", lambda r: F.col("_mask").bitwiseAND(r["need"]) == r["need"])).alias("r")
+    value = F.element_at(F.create_map(*[x for c in used for x in (F.lit(c), F.col(c))]), F.col("r.c"))
+    long = joined.select(*keys, "_row", wanted, *used).select(*keys, "_row", F.col("r.c").alias("_col"), F.col("r.sig").alias("_sig"), value.alias("v"))
+    ranked = long.withColumn("rank", _average_rank("v", [*keys, "_col", "_sig"]))
+    cells = F.map_from_entries(F.collect_list(F.struct(F.struct("_col", "_sig").alias("key"), F.struct("v", "rank").alias("value")))).alias("_cells")
+    rows = ranked.groupBy(*keys, "_row").agg(cells).join(sent_if_small(renamed.drop("_rankings")), reduce(Column.__and__, same))
+    side = lambda c: F.expr(f"try_element_at(_cells, struct(p.{c} AS _col, p.sig AS _sig))")
+    found = rows.select(*keys, "_cells", F.explode("_pairs").alias("p")).select(*keys, "p.a", "p.b", side("a").alias("x"), side("b").alias("y"))
+    found = found.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*keys, "a", "b", F.col("x.v").alias("x"), F.col("y.v").alias("y"), F.col("x.rank").alias("_rx"), F.col("y.rank").alias("_ry"))
+    return found.groupBy(*keys, "a", "b").agg(
+        F.count(F.lit(1)).alias("n"), pearson("x", "y").alias("pearson"), pearson("_rx", "_ry").alias("spearman"), deviation("x").alias("x_std")
+    )
 
 
 def correlation_matrix(
@@ -73,7 +120,8 @@ def correlation_matrix(
     """
     cols = [c for c in columns if c in features.columns]
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    stats = pair_correlations(pairs_of(active_rows(features), pairs, ["unit"]), ["unit"], method == "spearman")
+    rows = active_rows(features)
+    stats = pair_stats(rows, pairs, ["unit"]) if method == "spearman" else pair_correlations(pairs_of(rows, pairs, ["unit"]), ["unit"], False)
     # The pair of a variable with itself carries its count and spread.
     usable = (F.col("a") == F.col("b")) & (F.col("n") > cfg.min_count) & (F.col("x_std") > 0)
     kept = F.collect_set(F.when(usable, F.col("a"))).over(Window.partitionBy("unit"))
@@ -93,9 +141,7 @@ def driver_rank(
     """Drivers of a target, strongest Spearman first: (keys, target, driver, n, pearson, spearman, place)."""
     keys = list(keys)
     names = [c for c in drivers if c in features.columns and c != target]
-    stats = pair_correlations(
-        pairs_of(active_rows(features), [(c, target) for c in names], keys), keys
-    ).where((F.col("n") >= cfg.min_pairs) & (F.col("x_std") != 0))
+    stats = pair_stats(active_rows(features), [(c, target) for c in names], keys).where((F.col("n") >= cfg.min_pairs) & (F.col("x_std") != 0))
     place = F.row_number().over(
         Window.partitionBy(*keys).orderBy(F.abs(F.round("spearman", 12)).desc_nulls_last(), F.col("driver"))
     )
@@ -161,51 +207,54 @@ def phase_rank(features: DataFrame, target: str, cfg: Settings, top: int = 5, dr
     return driver_rank(rows, target, cfg, drivers, keys=("unit", "phase")).where(F.col("place") <= top)
 
 
-def _incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Regularised incomplete beta function by its continued fraction (modified Lentz)."""
-    from math import lgamma
-
-    lg = np.vectorize(lgamma, otypes=[float])
-    flip = x > (a + 1.0) / (a + b + 2.0)
-    p, q, z = np.where(flip, b, a), np.where(flip, a, b), np.where(flip, 1.0 - x, x)
-    tiny = 1e-300
-    with np.errstate(divide="ignore", invalid="ignore"):
-        front = np.exp(lg(p + q) - lg(p) - lg(q) + p * np.log(z) + q * np.log1p(-z)) / p
-    c = np.ones_like(z)
-    d = 1.0 - (p + q) * z / (p + 1.0)
-    d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
-    h = d.copy()
-    for m in range(1, 300):
-        for num in (
-            m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m)),
-            -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1)),
-        ):
-            d = 1.0 + num * d
-            d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
-            c = 1.0 + num / c
-            c = np.where(np.abs(c) < tiny, tiny, c)
-            step = d * c
-            h = h * step
-        if np.all(np.abs(step - 1.0) < 1e-15):
-            break
-    out = front * h
-    out = np.where(z <= 0, 0.0, out)
-    return np.where(flip, 1.0 - out, out)
-
-
-def p_value(t: Column, df: Column) -> Column:
-    """Two-sided p-value of a t statistic; runs on the small correlation table only."""
-
-    @F.pandas_udf("double")
-    def two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
-        out = np.full(len(t), np.nan)
-        tv, dv = t.to_numpy(dtype=float), df.to_numpy(dtype=float)
-        ok = np.isfinite(tv) & (dv > 0)
-        if ok.any():
-            out[ok] = _incomplete_beta(dv[ok] / 2.0, np.full(ok.sum(), 0.5), dv[ok] / (dv[ok] + tv[ok] ** 2))
-        return pd.Series(out).where(pd.Series(out).notna(), None)
-
-    return two_sided(t, df)
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def p_value(t: Column, df: Column, terms: int = 200) -> Column:
+    """Two-sided p-value of a t statistic with a whole number of degrees of freedom, from built-in functions alone.
+
+    It is the regularised incomplete beta function I(v / 2, 1 / 2) at v / (v + t^2), by its continued fraction (modified Lentz) as an
+    aggregate over ``terms`` pairs of terms, on the side of the turning point where it converges fast.
+    """
+    one, half = F.lit(1.0), F.lit(0.5)
+    square = t * t
+
+    def of(x: Column) -> Column:
+        v, z = x["v"], x["v"] / (x["v"] + x["tt"])
+        turned = z > (v / 2 + 1) / (v / 2 + 2.5)
+        side = F.when(turned, F.struct(half.alias("p"), (v / 2).alias("q"), (x["tt"] / (v + x["tt"])).alias("z"))).otherwise(F.struct((v / 2).alias("p"), half.alias("q"), z.alias("z")))
+        return _let(side, lambda f: _let(tail(f, x["i"]), lambda y: F.when(turned, one - y).otherwise(y)))
+
+    def tail(f: Column, i: Column) -> Column:
+        # 1 / B(v / 2, 1 / 2): from k to k + 2 degrees it grows by (k + 1) / k; for many degrees by its series in 1 / v.
+        odd, many = F.pmod(i, F.lit(2)) == 1, i > 1000
+        steps = F.when((i > 2) & ~many, F.sequence(F.when(odd, F.lit(1)).otherwise(F.lit(2)).cast("long"), i - 2, F.lit(2).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+        v = i.cast("double")
+        series = F.sqrt(v / (2 * F.pi())) * (one - one / (4 * v) + one / (32 * v * v) + F.lit(5.0) / (128 * v * v * v))
+        scale = F.when(many, series).otherwise(F.aggregate(steps, F.when(odd, one / F.pi()).otherwise(half), lambda acc, k: acc * (k + 1) / k))
+        first = one / (one - (f["p"] + f["q"]) * f["z"] / (f["p"] + 1))
+        begin = F.struct(one.alias("c"), first.alias("d"), first.alias("h"))
+        number = F.sequence(F.lit(1), F.lit(terms))
+
+        def pair(m: Column) -> Column:
+            p, q, z = f["p"], f["q"], f["z"]
+            up = m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m))
+            down = -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))
+            return F.array(up, down)
+
+        def step(s: Column, n: Column) -> Column:
+            c, d = one + n / s["c"], one / (one + n * s["d"])
+            return F.struct(c.alias("c"), d.alias("d"), (s["h"] * c * d).alias("h"))
+
+        numerators = F.flatten(F.transform(number, lambda m: pair(m.cast("double"))))
+        fraction = F.aggregate(numerators, begin, step)["h"]
+        return F.when(f["z"] > 0, F.pow(f["z"], f["p"]) * F.pow(one - f["z"], f["q"]) * scale / f["p"] * fraction).otherwise(F.lit(0.0))
+
+    given = t.isNotNull() & ~F.isnan(t) & (df > 0)
+    found = _let(F.struct(F.when(given, square).alias("tt"), F.when(given, df.cast("double")).alias("v"), F.when(given, df.cast("long")).alias("i")), of)
+    return F.when(given, F.least(F.greatest(found, F.lit(0.0)), one))
 
 
 def clean_phases(clean: DataFrame, days: float = 5.0) -> DataFrame:
@@ -220,7 +269,7 @@ def phase_correlations(
     keys = ["unit", "phase"]
     rows = clean_phases(clean, days)
     names = [c for c in drivers if c in rows.columns and c != target]
-    stats = pair_correlations(pairs_of(rows, [(c, target) for c in names], keys), keys)
+    stats = pair_stats(rows, [(c, target) for c in names], keys)
     rho, n = F.col("rho"), F.col("n")
     # Correlations of exactly +-1 may differ from it in the last digit.
     square = F.when(F.abs(rho) < 1.0 - 1e-12, rho * rho)
@@ -229,7 +278,7 @@ def phase_correlations(
     )
     if with_p:
         perfect = (n > 2) & (F.abs(rho) >= 1.0 - 1e-12)
-        out = out.withColumn("p", F.when(perfect, F.lit(0.0)).otherwise(p_value(F.col("t"), (n - 2).cast("double"))))
+        out = out.withColumn("p", F.when(perfect, F.lit(0.0)).otherwise(p_value(F.col("t"), n - 2)))
     return out
 
 
@@ -253,12 +302,13 @@ def classify_drivers(phases: DataFrame, level: float = 0.10, alpha: float = 0.05
     )
     turned = ((F.col("rho0") > 0) & (F.col("_lowest") <= -level)) | ((F.col("rho0") < 0) & (F.col("_highest") >= level))
     early, late, second = F.col("rho0"), F.col("late"), F.col("rho1")
+    sign = lambda r: F.signum(F.round(r, 12))  # noqa: E731  zero correlations may differ from it in the last digit
     kind = (
         F.when(F.col("strongest") < level, "weak")
-        .when((F.signum(late) != F.signum(early)) | turned, "spurious_reversal")
+        .when((sign(late) != sign(early)) | turned, "spurious_reversal")
         .when(F.abs(late) > F.abs(early) + level, "feedback_reinforcement")
         .when(
-            (F.abs(early) >= level) & (F.col("p0") < alpha) & (F.signum(early) == F.signum(second)), "causal"
+            (F.abs(early) >= level) & (F.col("p0") < alpha) & (sign(early) == sign(second)), "causal"
         )
         .otherwise("unclassified")
     )
@@ -273,7 +323,7 @@ def pass_correlations(features: DataFrame, cfg: Settings) -> DataFrame:
         for p in PASSES
         for driver in [f"feed_{p}", f"steam_{p}", f"steam_hc_{p}", *shared]
     ]
-    stats = pair_correlations(pairs_of(active_rows(features), pairs, ["unit"]), ["unit"])
+    stats = pair_stats(active_rows(features), pairs, ["unit"])
     return stats.where((F.col("n") >= cfg.min_pairs) & (F.col("x_std") != 0)).select(
         "unit", F.substring("b", -1, 1).alias("grp"), F.col("a").alias("driver"), "n", "pearson", "spearman"
     )

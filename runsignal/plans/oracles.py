@@ -423,10 +423,11 @@ oracle(
 # ---- correlation -----------------------------------------------------------------------------
 
 
-def pairs(rows: str, combos, keys: str = "unit") -> str:
-    """Complete pairs (keys, a, b, x, y) of the table as the queries give it to the operators: doubles at single precision."""
+def pairs(rows: str, combos, keys: str = "unit", cut: bool = True) -> str:
+    """Complete pairs (keys, a, b, x, y) of the table as the queries give it to the operators: for ranks, doubles at single precision."""
+    shown = (lambda c: f"CAST(CAST(round({c}, 9) AS FLOAT) AS DOUBLE)") if cut else str
     parts = [
-        f"SELECT {keys}, '{a}' AS a, '{b}' AS b, CAST(CAST(round({a}, 9) AS FLOAT) AS DOUBLE) AS x, CAST(CAST(round({b}, 9) AS FLOAT) AS DOUBLE) AS y FROM {rows} WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
+        f"SELECT {keys}, '{a}' AS a, '{b}' AS b, {shown(a)} AS x, {shown(b)} AS y FROM {rows} WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
         for a, b in combos
     ]
     return "\nUNION ALL ".join(parts)
@@ -447,16 +448,17 @@ COLUMNS = [
     "cot", "feed_total", "steam_hc", "resid_proxy", "coil_out_P", "draft", "feed_coilT", "feed_C2H6", "feed_C3H8",
     "feed_C5p", "feed_CO2", "tube_cot_mean", "dd_abs_max", "coking_rate", "run_age_days", "eff_C2H4", "eff_C3H6",
 ]
-CTE["square_pairs"] = pairs("active_a", [(a, b) for a in COLUMNS for b in COLUMNS])
-CTE["square"] = kernel("SELECT * FROM square_pairs")
-CTE["square_kept"] = f"SELECT unit, a FROM square WHERE a = b AND n > {W.min_count} AND x_std > 0"
-for name, method in (("corr_matrix", "spearman"), ("corr_matrix_pearson", "pearson")):
+for suffix, method in (("", "spearman"), ("_full", "pearson")):
+    CTE[f"square_pairs{suffix}"] = pairs("active_a", [(a, b) for a in COLUMNS for b in COLUMNS], cut=method == "spearman")
+    CTE[f"square{suffix}"] = kernel(f"SELECT * FROM square_pairs{suffix}")
+    CTE[f"square_kept{suffix}"] = f"SELECT unit, a FROM square{suffix} WHERE a = b AND n > {W.min_count} AND x_std > 0"
+for name, method, suffix in (("corr_matrix", "spearman", ""), ("corr_matrix_pearson", "pearson", "_full")):
     oracle(
         name,
         "unit a b n:i r:d",
-        f"""SELECT s.unit, s.a, s.b, n, CASE WHEN s.a = s.b THEN 1.0 ELSE {method} END AS r FROM square s
-            SEMI JOIN square_kept k ON k.unit = s.unit AND k.a = s.a
-            WHERE EXISTS (SELECT 1 FROM square_kept q WHERE q.unit = s.unit AND q.a = s.b)""",
+        f"""SELECT s.unit, s.a, s.b, n, CASE WHEN s.a = s.b THEN 1.0 ELSE {method} END AS r FROM square{suffix} s
+            SEMI JOIN square_kept{suffix} k ON k.unit = s.unit AND k.a = s.a
+            WHERE EXISTS (SELECT 1 FROM square_kept{suffix} q WHERE q.unit = s.unit AND q.a = s.b)""",
     )
 
 RANKED = ["cot", "feed_total", "steam_total", "steam_hc", "resid_proxy", "tube_cot_mean", "run_age_days"]
@@ -528,7 +530,7 @@ oracle("pair_label", "unit n:i spearman:d", kernel(pairs("points_c", [("steam_hc
 oracle(
     "run_level_corr",
     "unit driver n:i pearson:d spearman:d",
-    f"SELECT unit, a AS driver, n, pearson, spearman FROM ({kernel(pairs('summary_a', [(c, 'length_days') for c in ('cot', 'steam_hc', 'feed_C5p')]))})",
+    f"SELECT unit, a AS driver, n, pearson, spearman FROM ({kernel(pairs('summary_a', [(c, 'length_days') for c in ('cot', 'steam_hc', 'feed_C5p')], cut=False))})",
 )
 
 # ---- windows ---------------------------------------------------------------------------------
@@ -627,6 +629,100 @@ oracle(
     "unit run:i length_days:d clean_days:d mean_clean_days:d",
     "SELECT *, avg(clean_days) OVER (PARTITION BY unit) AS mean_clean_days FROM windows_c",
 )
+
+# Second method.  The partition by dynamic programming: ``best`` and ``path`` hold the cost of the first t rows and the breaks that give
+# it; ``alive`` are the starts that the published pruning rule leaves (with a least length of segments, it may miss the optimum).
+CTE["air_w"] = """
+SELECT unit, ts, max(v) AS air FROM (SELECT unit, ts, grp, avg(value) AS v FROM h_decoke_air GROUP BY 1, 2, 3) GROUP BY 1, 2"""
+CTE["run_rows"] = """
+SELECT r.unit, r.run_id, r.ts, r.run_start, r.run_end, feed_total, cot, air, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY r.unit, r.run_id) AS n
+FROM rows_c r LEFT JOIN air_w a ON a.unit = r.unit AND a.ts = r.ts WHERE run_id IS NOT NULL
+WINDOW w AS (PARTITION BY r.unit, r.run_id ORDER BY r.ts)"""
+CTE["run_filled"] = """
+SELECT unit, run_id, i, n, feed_total AS f,
+       coalesce(last_value(cot IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                first_value(cot IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS c
+FROM run_rows WINDOW w AS (PARTITION BY unit, run_id ORDER BY i)"""
+CTE["run_scaled"] = f"""
+SELECT unit, run_id, i, n, (f - avg(f) OVER w) / (stddev_pop(f) OVER w + 1e-9) AS f, (c - avg(c) OVER w) / (stddev_pop(c) OVER w + 1e-9) AS c
+FROM run_filled WHERE n >= {3 * W.cp_min_rows} WINDOW w AS (PARTITION BY unit, run_id)"""
+CTE["run_pairs"] = """
+SELECT x.unit, x.run_id, x.i, y.i AS j, pow(x.f - y.f, 2) + pow(x.c - y.c, 2) AS d
+FROM run_scaled x JOIN run_scaled y ON x.unit = y.unit AND x.run_id = y.run_id AND x.i < y.i WHERE x.c IS NOT NULL"""
+CTE["run_kernel"] = """
+SELECT p.unit, p.run_id, i, j, exp(-least(greatest(d * g, 0.01), 100)) AS k
+FROM run_pairs p JOIN (SELECT unit, run_id, CASE WHEN median(d) = 0 THEN 1.0 ELSE 1 / median(d) END AS g FROM run_pairs GROUP BY 1, 2) m
+ON p.unit = m.unit AND p.run_id = m.run_id"""
+CTE["run_costs"] = f"""
+SELECT unit, run_id, j + 1 AS e, list(struct_pack(s := i, c := (j + 1 - i) - ((j + 1 - i) + 2 * block) / (j + 1 - i))) AS costs
+FROM (SELECT unit, run_id, i, j, sum(tail) OVER (PARTITION BY unit, run_id, i ORDER BY j) AS block
+      FROM (SELECT unit, run_id, i, j, sum(k) OVER (PARTITION BY unit, run_id, j ORDER BY i DESC) AS tail FROM run_kernel))
+WHERE j + 1 - i >= {W.cp_min_rows} GROUP BY 1, 2, 3"""
+CTE["run_breaks"] = f"""
+WITH RECURSIVE dp AS (
+  SELECT DISTINCT unit, run_id, n, 0::BIGINT AS t, [0.0::DOUBLE] AS best, [''] AS path, [0::BIGINT] AS alive FROM run_scaled
+  UNION ALL
+  SELECT unit, run_id, n, t + 1, list_append(best, now), list_append(path, CASE WHEN coalesce(m.s, 0) = 0 THEN '' WHEN path[m.s + 1] = '' THEN m.s::VARCHAR ELSE path[m.s + 1] || ',' || m.s END),
+         list_concat(list_concat(list_transform(list_filter(cand, lambda x: x.v <= now), lambda x: x.s), list_filter(alive, lambda s: t + 1 - s < {W.cp_min_rows})),
+                     CASE WHEN now < 1e299 AND t + 1 >= {W.cp_min_rows} THEN [t + 1] ELSE [] END)
+  FROM (SELECT *, coalesce(m.v + {W.cp_penalty}, 1e300) AS now
+        FROM (SELECT *, list_sort(cand)[1] AS m
+              FROM (SELECT d.*, coalesce(list_filter(list_transform(list_filter(costs, lambda x: list_contains(alive, x.s)), lambda x: struct_pack(v := best[x.s + 1] + x.c, s := x.s)), lambda x: x.v < 1e299), []) AS cand
+                    FROM dp d LEFT JOIN run_costs q ON q.unit = d.unit AND q.run_id = d.run_id AND q.e = d.t + 1 WHERE d.t < d.n))))
+SELECT unit, run_id, path[n + 1] AS breaks FROM dp WHERE t = n"""
+oracle("changepoints", "unit run_id:m breaks", "SELECT * FROM run_breaks")
+
+
+def second_method(suffix: str, preferred: bool) -> None:
+    """Windows of the second method with its preferred signals, or with its fallbacks."""
+    stable = f"NOT coalesce(abs(r.cot - lag(r.cot) OVER o) > {W.setpoint_step}, false) AND " if preferred else ""
+    limit = W.setpoint_std if preferred else W.cot_std
+    on = "CASE WHEN has_air THEN NOT coalesce(air > {air}, false) ELSE feed_ok END".format(air=W.air_on) if preferred else "feed_ok"
+    CTE[f"valid_{suffix}"] = f"""
+SELECT r.*, has_air, breaks, {on} AS on_feed,
+       CASE WHEN has_cot THEN {stable}coalesce(CASE WHEN count(r.cot) OVER (o ROWS BETWEEN {W.roll_rows - 1} PRECEDING AND CURRENT ROW) >= {W.roll_min}
+            THEN stddev_samp(r.cot) OVER (o ROWS BETWEEN {W.roll_rows - 1} PRECEDING AND CURRENT ROW) END, 999.0) < {limit} ELSE true END AS stable,
+       CASE WHEN coalesce(breaks, '') = '' THEN true ELSE i BETWEEN split_part(breaks, ',', 1)::BIGINT
+            AND CASE WHEN contains(breaks, ',') THEN split_part(breaks, ',', -1)::BIGINT ELSE n - 1 END END AS inside
+FROM run_rows r
+JOIN (SELECT r.unit, count(air) > 0 AS has_air, count(cot) > 0 AS has_cot FROM rows_c r LEFT JOIN air_w a ON a.unit = r.unit AND a.ts = r.ts GROUP BY 1) h ON h.unit = r.unit
+JOIN (SELECT unit, run_id, ts, feed_ok FROM judged) j ON j.unit = r.unit AND j.run_id = r.run_id AND j.ts = r.ts
+LEFT JOIN run_breaks b ON b.unit = r.unit AND b.run_id = r.run_id
+WINDOW o AS (PARTITION BY r.unit, r.run_id ORDER BY r.ts)"""
+    good = f"inside AND on_feed AND stable AND ts >= run_start + {hours(W.warmup_hours)} AND n >= {2 * W.cp_min_rows}"
+    air = "bool_or(has_air)" if preferred else "false"
+    CTE[f"windows_{suffix}"] = f"""
+SELECT unit, run, run_start, run_end, analysis_start, analysis_end, analysis_start IS NOT NULL AS settled,
+       round_even((epoch(analysis_start) - epoch(run_start)) / 3600.0, 1) AS warmup_hours,
+       round_even((epoch(run_end) - epoch(analysis_end)) / 3600.0, 1) AS tail_hours,
+       round_even((epoch(run_end) - epoch(run_start)) / 86400.0, 2) AS length_days,
+       round_even((epoch(analysis_end) - epoch(analysis_start)) / 86400.0, 2) AS clean_days,
+       found AND long AS pelt_used, CASE WHEN NOT long THEN 'none' WHEN found THEN 'pelt' ELSE 'heuristic_{W.warmup_hours:g}h' END AS warmup_method,
+       CASE WHEN NOT long THEN 'none' WHEN air THEN 'decoke_air' ELSE 'feed_heuristic' END AS decoke_method
+FROM (SELECT unit, run_id AS run, run_start, run_end, min(ts) FILTER ({good}) AS analysis_start, max(ts) FILTER ({good}) AS analysis_end,
+             any_value(n) >= {2 * W.cp_min_rows} AS long, coalesce(any_value(breaks), '') <> '' AS found, {air} AS air
+      FROM valid_{suffix} GROUP BY 1, 2, 3, 4)"""
+
+
+second_method("v2", True)
+second_method("v2f", False)
+SECOND = "unit run:i run_start:t run_end:t analysis_start:t analysis_end:t warmup_hours:d tail_hours:d length_days:d clean_days:d settled pelt_used warmup_method decoke_method"
+oracle("windows_v2", SECOND, "SELECT * FROM windows_v2")
+oracle("windows_v2_fallback", SECOND, "SELECT * FROM windows_v2f")
+oracle(
+    "window_compare",
+    "unit run:i warmup_h_v1:d tail_h_v1:d clean_d_v1:d warmup_h_v2:d tail_h_v2:d clean_d_v2:d pelt_used decoke_method delta_clean_days:d delta_warmup_h:d",
+    """SELECT b.unit, b.run, a.warmup_hours AS warmup_h_v1, a.tail_hours AS tail_h_v1, a.clean_days AS clean_d_v1, b.warmup_hours AS warmup_h_v2,
+              b.tail_hours AS tail_h_v2, b.clean_days AS clean_d_v2, pelt_used, decoke_method,
+              round_even(b.clean_days - a.clean_days, 2) AS delta_clean_days, round_even(b.warmup_hours - a.warmup_hours, 1) AS delta_warmup_h
+       FROM windows_v2 b LEFT JOIN windows_c a ON a.unit = b.unit AND a.run = b.run""",
+)
+oracle(
+    "method_counts",
+    "unit runs:i settled:i pelt_runs:i air_runs:i",
+    """SELECT unit, count(*) AS runs, count(*) FILTER (settled) AS settled, count(*) FILTER (pelt_used) AS pelt_runs,
+              count(*) FILTER (decoke_method = 'decoke_air') AS air_runs FROM windows_v2 GROUP BY unit""",
+)
 CTE["phases_c"] = "SELECT *, CAST(floor((epoch(ts) - epoch(analysis_start)) / 86400.0 / 35.0) AS INTEGER) AS phase FROM clean_c"
 PHASE_DRIVERS = ("cot", "feed_total", "steam_hc", "run_age_days", "steam_hc_spread")
 oracle(
@@ -637,6 +733,37 @@ oracle(
         FROM ({kernel(pairs('phases_c', [(c, 'dd_abs_max') for c in PHASE_DRIVERS], 'unit, phase'), 'unit, phase')})""",
 )
 
+# The finite series of Student's distribution, a sum of (df - 1) / 2 or df / 2 terms, another way than the operator's.
+CTE["phase_t"] = f"""
+SELECT unit, phase, a AS driver, n, spearman AS rho, n - 2 AS df,
+       CASE WHEN n > 2 AND abs(spearman) < 1 - 1e-12 THEN spearman * sqrt((n - 2) / (1 - spearman * spearman)) END AS t
+FROM ({kernel(pairs('phases_c', [(c, 'dd_abs_max') for c in PHASE_DRIVERS], 'unit, phase'), 'unit, phase')})"""
+CTE["phase_series"] = """
+SELECT *, atan(abs(t) / sqrt(df)) AS a, cos(atan(abs(t) / sqrt(df))) AS c, sin(atan(abs(t) / sqrt(df))) AS s,
+       list_transform(range(1, (df - 1) // 2 + 1), lambda m: list_reduce([1.0::DOUBLE] || list_transform(range(1, m), lambda k: CASE WHEN df % 2 = 1 THEN 2.0 * k / (2 * k + 1) ELSE (2.0 * k - 1) / (2 * k) END), lambda x, y: x * y)) AS odd_terms,
+       list_transform(range(1, df // 2 + 1), lambda m: list_reduce([1.0::DOUBLE] || list_transform(range(1, m), lambda k: (2.0 * k - 1) / (2 * k)), lambda x, y: x * y)) AS even_terms
+FROM phase_t WHERE t IS NOT NULL"""
+CTE["phase_p"] = """
+SELECT unit, phase, driver, CASE WHEN df % 2 = 1
+    THEN 1 - 2 / pi() * (a + s * coalesce(list_sum(list_transform(odd_terms, lambda v, i: v * pow(c, 2 * i - 1))), 0))
+    ELSE 1 - s * coalesce(list_sum(list_transform(even_terms, lambda v, i: v * pow(c, 2 * (i - 1)))), 0) END AS p
+FROM phase_series"""
+CTE["phase_tested"] = """
+SELECT t.unit, t.phase, t.driver, n, rho, t, CASE WHEN n > 2 AND abs(rho) >= 1 - 1e-12 THEN 0.0 ELSE p END AS p
+FROM phase_t t LEFT JOIN phase_p p ON p.unit = t.unit AND p.phase = t.phase AND p.driver = t.driver"""
+oracle("phase_pvalue", "unit phase:i driver n:i rho:d t:d p:d", "SELECT * FROM phase_tested")
+oracle(
+    "driver_class",
+    "unit driver rho0:d p0:d rho1:d late:d strongest:d class",
+    """SELECT *, CASE WHEN strongest < 0.10 THEN 'weak'
+              WHEN sign(round(late, 12)) <> sign(round(rho0, 12)) OR (rho0 > 0 AND lowest <= -0.10) OR (rho0 < 0 AND highest >= 0.10) THEN 'spurious_reversal'
+              WHEN abs(late) > abs(rho0) + 0.10 THEN 'feedback_reinforcement'
+              WHEN abs(rho0) >= 0.10 AND p0 < 0.05 AND sign(round(rho0, 12)) = sign(round(rho1, 12)) THEN 'causal' ELSE 'unclassified' END AS class
+       FROM (SELECT unit, driver, max(rho) FILTER (phase = 0) AS rho0, max(p) FILTER (phase = 0) AS p0, max(rho) FILTER (phase = 1) AS rho1,
+                    arg_max(rho, phase) AS late, max(abs(rho)) AS strongest, min(rho) FILTER (phase > 0) AS lowest, max(rho) FILTER (phase > 0) AS highest
+             FROM phase_tested WHERE rho IS NOT NULL AND n >= 10 GROUP BY 1, 2)""",
+)
+
 # ---- curves ----------------------------------------------------------------------------------
 
 CTE["spread_c"] = """
@@ -845,6 +972,33 @@ oracle(
        FROM tags WHERE role IN ('tube_COT', 'tube_COT_long') GROUP BY unit""",
 )
 
+# ---- forecast --------------------------------------------------------------------------------
+
+# Least squares by orthogonalising the drivers one after the other, another way than solving the normal equations.
+CTE["fc_rows"] = """
+SELECT r.unit, r.run_id, r.ts, run_age_days AS x1, c0 AS x2, s0 AS x3, f0 AS x4, dd_abs_max AS y,
+       ('0x' || substr(md5(r.unit || ':' || r.run_id), 1, 7))::BIGINT % 5 = 0 AS test
+FROM features_a r JOIN (SELECT unit, run_id, avg(cot) FILTER (run_age_days <= 28) AS c0, avg(steam_hc) FILTER (run_age_days <= 28) AS s0,
+                               avg(feed_C5p) FILTER (run_age_days <= 28) AS f0 FROM features_a WHERE run_id IS NOT NULL AND cracking GROUP BY 1, 2) s
+ON s.unit = r.unit AND s.run_id = r.run_id
+WHERE r.run_id IS NOT NULL AND cracking AND run_age_days IS NOT NULL AND c0 IS NOT NULL AND s0 IS NOT NULL AND f0 IS NOT NULL AND dd_abs_max IS NOT NULL"""
+CTE["fc_0"] = """
+SELECT unit, test, x1 - m1 AS x1, x2 - m2 AS x2, x3 - m3 AS x3, x4 - m4 AS x4, y, my AS p, y - my AS e
+FROM fc_rows, (SELECT avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, avg(x4) AS m4, avg(y) AS my FROM fc_rows WHERE NOT test)"""
+for k in range(1, 5):
+    later = [f"x{i}" for i in range(k + 1, 5)]
+    slopes = ", ".join(f"sum(x{k} * {c}) / nullif(sum(x{k} * x{k}), 0) AS b_{c}" for c in [*later, "e"])
+    rest = "".join(f"{c} - coalesce(b_{c}, 0) * x{k} AS {c}, " for c in later)
+    CTE[f"fc_{k}"] = f"""
+SELECT unit, test, {rest}y, p + coalesce(b_e, 0) * x{k} AS p, e - coalesce(b_e, 0) * x{k} AS e
+FROM fc_{k - 1}, (SELECT {slopes} FROM fc_{k - 1} WHERE NOT test)"""
+oracle(
+    "forecast",
+    "unit n:i rmse:d",
+    """SELECT u.unit, count(f.y) AS n, sqrt(avg(pow(p - y, 2))) AS rmse
+       FROM (SELECT DISTINCT unit FROM features_a) u LEFT JOIN (SELECT * FROM fc_4 WHERE test) f ON f.unit = u.unit GROUP BY u.unit""",
+)
+
 # ---- stored tables ---------------------------------------------------------------------------
 
 # What has been stored and read back equals what was given.

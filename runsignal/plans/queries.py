@@ -83,10 +83,11 @@ def full_features(spark, d) -> DataFrame:
 
 
 def settled(rows: DataFrame) -> DataFrame:
-    """The table that the correlation queries are given, on both engines: doubles at single precision.
+    """The table that the ranking queries are given, on both engines: doubles at single precision.
 
     Its decimal fractions were summed in an order of each engine's own, so that values that are equal by
-    nature differ in their last bits.  The operators themselves rank full doubles.
+    nature differ in their last bits, which ranks would tell apart.  The operators themselves rank full doubles, and queries
+    without ranks are given full doubles.
     """
     doubles = [f.name for f in rows.schema.fields if f.dataType.simpleString() == "double"]
     return rows.withColumns({c: F.round(c, 9).cast("float").cast("double") for c in doubles})
@@ -481,7 +482,7 @@ def run_summary(spark, d):
 
 @query
 def run_level_corr(spark, d):
-    return present(co.run_level_correlations(settled(ft.run_summary(full_features(spark, d), WEEKLY))))
+    return present(co.run_level_correlations(ft.run_summary(full_features(spark, d), WEEKLY)))
 
 
 # ---- windows ---------------------------------------------------------------------------------
@@ -619,7 +620,7 @@ def corr_matrix(spark, d):
 
 @query
 def corr_matrix_pearson(spark, d):
-    return present(co.correlation_matrix(settled(full_features(spark, d)), WEEKLY, method="pearson"))
+    return present(co.correlation_matrix(full_features(spark, d), WEEKLY, method="pearson"))
 
 
 @query
@@ -680,7 +681,7 @@ def pass_corr(spark, d):
 
 @query
 def pair_points(spark, d):
-    return present(co.pair_points(settled(core_features(spark, d)), "steam_hc", "coking_rate"))
+    return present(co.pair_points(core_features(spark, d), "steam_hc", "coking_rate"))
 
 
 @query
@@ -790,6 +791,6 @@ def pooled_age(spark, d):
 
 @query
 def forecast(spark, d):
-    rows = stage(fl.forecast_rows(full_features(spark, d), start_days=28.0), "training")
-    train, test = fl.hold_out(rows)
-    return present(fl.forecast_error(fl.fit_forecaster(train), test))
+    features = stage(full_features(spark, d), "features")
+    train, test = fl.hold_out(stage(fl.forecast_rows(features, start_days=28.0), "training"))
+    return present(fl.forecast_error(fl.fit_forecaster(train), test, features))

@@ -9,6 +9,7 @@ from runsignal.functions.exprs import half_even
 from runsignal.functions.quantiles import pooled_quantiles
 from runsignal.operators import changepoint as cp
 from runsignal.operators import corr as co
+from runsignal.operators import fleet as fl
 from runsignal.operators import drift as dr
 from runsignal.operators import quality as ql
 from runsignal.operators import resample as rs
@@ -125,6 +126,23 @@ def test_random_correlations_match_pandas(spark):
         np.testing.assert_allclose(got.to_numpy(float), want.loc[got.index, got.columns].to_numpy(float), atol=1e-9)
 
 
+def test_shared_ranks_equal_ranks_of_each_pair(spark):
+    rng = np.random.default_rng(4)
+    names = ["a", "b", "c", "d", "e"]
+    pdf = pd.DataFrame(np.round(rng.normal(size=(300, 5)), 1), columns=names)
+    pdf["unit"] = np.repeat(["u", "v", "w"], 100)
+    pdf.loc[(pdf.index % 3 == 0) & (pdf.unit == "v"), ["a", "b"]] = np.nan  # one pattern for two columns
+    pdf.loc[(rng.random(300) < 0.4) & (pdf.unit == "w"), "c"] = np.nan
+    pdf.loc[pdf.unit == "u", "e"] = np.nan
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), ", ".join(f"{c} double" for c in names) + ", unit string").repartition(4)
+    pairs = [(x, y) for i, x in enumerate(names) for y in names[i:]]
+    got, want = (
+        {(r.unit, r.a, r.b): [r.n, *(v is not None and round(v, 9) for v in (r.pearson, r.spearman, r.x_std))] for r in x.collect()}
+        for x in (co.pair_stats(df, pairs, ["unit"]), co.pair_correlations(co.pairs_of(df, pairs, ["unit"]), ["unit"]))
+    )
+    assert got == want and len(got) == 40
+
+
 def test_ranks_compare_full_doubles(spark):
     """0.1 + 0.2 is not 0.3, and it ranks behind it."""
     df = spark.createDataFrame([(0.1 + 0.2, 1.0), (0.3, 1.0), (0.5, 2.0), (0.7, 3.0)], "x double, y double").withColumn("unit", F.lit("u"))
@@ -301,6 +319,23 @@ def test_second_method_chooses_signals_per_unit(spark):
     assert both["A"].decoke_method == "decoke_air" and both["A"].analysis_start != alone.analysis_start
 
 
+def test_shared_ranks_equal_ranks_of_each_pair(spark):
+    rng = np.random.default_rng(4)
+    names = ["a", "b", "c", "d", "e"]
+    pdf = pd.DataFrame(np.round(rng.normal(size=(300, 5)), 1), columns=names)
+    pdf["unit"] = np.repeat(["u", "v", "w"], 100)
+    pdf.loc[(pdf.index % 3 == 0) & (pdf.unit == "v"), ["a", "b"]] = np.nan  # one pattern for two columns
+    pdf.loc[(rng.random(300) < 0.4) & (pdf.unit == "w"), "c"] = np.nan
+    pdf.loc[pdf.unit == "u", "e"] = np.nan
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), ", ".join(f"{c} double" for c in names) + ", unit string").repartition(4)
+    pairs = [(x, y) for i, x in enumerate(names) for y in names[i:]]
+    got, want = (
+        {(r.unit, r.a, r.b): [r.n, *(v is not None and round(v, 9) for v in (r.pearson, r.spearman, r.x_std))] for r in x.collect()}
+        for x in (co.pair_stats(df, pairs, ["unit"]), co.pair_correlations(co.pairs_of(df, pairs, ["unit"]), ["unit"]))
+    )
+    assert got == want and len(got) == 40
+
+
 def test_ranks_compare_full_doubles(spark):
     """Values that differ from the eighth digit on keep their order and stay distinct."""
     from runsignal.operators import quality as ql
@@ -332,3 +367,24 @@ print("breaks", change_points(rows, ["x"], Settings()).first().breaks)
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "breaks [90]" in done.stdout, done.stderr[-2000:]
+
+
+def test_forecast_from_merged_sums(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(400, 4)) * [30, 5, 0.1, 2] + [40, 830, 0.4, 9]
+    y = x @ [0.5, -0.2, 30.0, 1.5] + 7 + rng.normal(size=400)
+    pdf = pd.DataFrame(x, columns=fl.FORECAST_DRIVERS).assign(label=y, unit=np.repeat(["a", "b", "c", "d"], 100))
+    rows = spark.createDataFrame(pdf)
+    want = np.linalg.lstsq(np.column_stack((x, np.ones(400))), y, rcond=None)[0]
+    got = fl.fit_forecaster(rows)
+    assert [*got.weights, got.intercept] == pytest.approx(want.tolist(), rel=1e-6)
+    # Sums of the units, stored apart and merged, give the same; a constant driver gets no weight.
+    parts = [fl.gram(rows.where(F.col("unit") == u)) for u in "abcd"]
+    again = fl.solved(fl.merged_gram(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])).first())
+    assert again.weights == pytest.approx(got.weights, rel=1e-9)
+    flat = fl.fit_forecaster(rows.withColumn("cot0", F.lit(5.0)))
+    assert flat.weights[1] == 0 and all(np.isfinite(flat.weights))
+    none = fl.fit_forecaster(rows.limit(0))
+    out = {r.unit: (r.n, r.rmse) for r in fl.forecast_error(got, rows.where("unit = 'a'"), rows).collect()}
+    assert out["b"] == (0, None) and out["a"][0] == 100 and 0.5 < out["a"][1] < 2
+    assert none.transform(rows).where("prediction IS NOT NULL").count() == 0
