@@ -8,7 +8,6 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,6 +83,8 @@ class Pieces:
 
     @classmethod
     def load(cls, model: bytes) -> Pieces:
+        import sentencepiece  # reads the file; nothing else of the package needs it
+
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         ids, rank, byte, raw = {}, {}, [0] * 256, []
         for i in range(sp.get_piece_size()):

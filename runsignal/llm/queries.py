@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,10 +21,24 @@ from .spelling import spelling_variants
 from .substring import without_repeats
 from .urls import Rule, judged_urls
 
-PIECES = os.environ.get("PIECE_MODEL") or public_tokenizers.path("piece_bpe_32k.model")
 URL_RULES = [Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/")]
 
 
+def piece_file() -> str:
+    """The vocabulary file: the one that the variable PIECE_MODEL names, else that of the public_tokenizers package, which only this needs."""
+    if named := os.environ.get("PIECE_MODEL"):
+        return named
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def __getattr__(name: str) -> str:
+    if name == "PIECES":
+        return piece_file()
+    raise AttributeError(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
@@ -35,7 +48,7 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_piece_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = read_model(PIECES)
+    model = read_model(piece_file())
     ids = encoded(table(spark, sf_dir, "documents", "doc_id", "text"), model)
     out = decoded(ids, model)
     digest = F.sha2(F.array_join(F.col("row.ids"), " "), 256)

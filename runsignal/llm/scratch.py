@@ -19,9 +19,11 @@ def path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table once and read it back: cuts lineage, and a lost executor costs nothing."""
+    """Write a table once and read it back: cuts lineage, and a lost executor costs nothing.  It goes away with the session."""
     spark, at = df.sparkSession, path(df.sparkSession, name)
     df.write.parquet(at)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(at)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(at)
 
 
