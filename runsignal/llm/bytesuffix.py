@@ -107,7 +107,8 @@ def _stages(docs: DataFrame, cfg: ByteRepeats) -> tuple[DataFrame, DataFrame, Da
     """Segments whose anchor occurs twice, their kinds (first place, number m), what the suffix arrays give, and the windows of the largest shards."""
     docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     rows = segments(docs, cfg)
-    twice = rows.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor")
+    # Written, so that the join is one of two shuffles, in which Spark splits an anchor that very many segments have.
+    twice = written(rows.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor"), "anchors")
     rows = written(rows.join(twice, "anchor"), "segments")
     kinds = written(rows.groupBy("anchor", "seg", "n").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("m")), "kinds")
     size = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
