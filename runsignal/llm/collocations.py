@@ -38,7 +38,7 @@ class Phrases:
     top: int = 2000
     num: int = 80
     den: int = 100
-    buffer: int = 3_000_000
+    buffer: int = 1_500_000
     send: int = 4_000_000
 
 
