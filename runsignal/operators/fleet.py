@@ -117,6 +117,7 @@ def solved(gram_row, drivers=FORECAST_DRIVERS) -> LinearForecast:
     c[:, :k][:, flat] = 0
     scale = np.sqrt(np.where(flat, 1.0, np.diag(c)[:k]))
     weights = np.linalg.pinv(c[:k, :k] / np.outer(scale, scale), rcond=1e-12, hermitian=True) @ (c[:k, k] / scale) / scale
+    weights[flat] = 0.0
     return LinearForecast(tuple(drivers), tuple(map(float, weights)), float(means[k] - weights @ means[:k]))
 
 

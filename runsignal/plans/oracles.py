@@ -1024,6 +1024,11 @@ oracle(
        FROM (SELECT id AS error, date_trunc('second', min(time)) AS at FROM samples_e WHERE status = 'Bad' GROUP BY id) e
        JOIN samples_e s ON s.time >= e.at - INTERVAL 1 HOUR AND s.time < e.at + INTERVAL 1 HOUR""",
 )
+oracle(
+    "saved_buckets",
+    "unit run_id:m end:t n:i feed:d",
+    """SELECT unit, run_id, run_end AS "end", count(*) AS n, sum(feed_total) AS feed FROM rows_f WHERE run_id IS NOT NULL GROUP BY 1, 2, 3""",
+)
 oracle("unit_tags", "id unit role grp", "SELECT * FROM tags WHERE unit IN ('1HC', 'PLANT')")
 oracle(
     "role_ids",

@@ -257,6 +257,17 @@ def saved_frame(spark, d):
     return present(out, "unit", "ts", "feed_total", "sensor_median", "cracking")
 
 
+@query
+def saved_buckets(spark, d):
+    """Feed and run labels in buckets of (unit, ts), joined without an exchange."""
+    name, at, frame = f"runsignal_{uuid.uuid4().hex}", shelf(spark), stage(feed_frame(spark, d), "frame")
+    tb.ensure_schema(spark, name, f"{at}/{name}")
+    tb.save_bucketed(frame.select("unit", "ts", "feed_total"), f"{name}.feed", location=f"{at}/feed")
+    tb.save_bucketed(frame.where("run_id IS NOT NULL").select("unit", "ts", "run_id", F.col("run_end").alias("end")), f"{name}.labels", location=f"{at}/labels")
+    rows = spark.table(f"{name}.feed").join(spark.table(f"{name}.labels"), ["unit", "ts"])
+    return present(rows.groupBy("unit", "run_id", "end").agg(F.count(F.lit(1)).alias("n"), F.sum("feed_total").alias("feed")))
+
+
 @query
 def saved_clean(spark, d):
     at = f"{shelf(spark)}/clean"

@@ -73,6 +73,15 @@ def save_managed(df: DataFrame, name: str, fmt: str = "parquet") -> None:
     df.write.mode("overwrite").option("overwriteSchema", "true").format(fmt).saveAsTable(name)
 
 
+def save_bucketed(df: DataFrame, name: str, by: tuple[str, ...] = ("unit", "ts"), buckets: int = 64, location: str | None = None) -> None:
+    """A table of the session catalog in buckets of ``by``, each sorted by it: two such tables join by these columns without an exchange.
+
+    ``buckets`` is fixed by the table, so choose it for its size, not for the cluster.  Rows are spread first, so a bucket is one file.
+    """
+    writer = df.repartition(buckets, *by).write.mode("overwrite").bucketBy(buckets, *by).sortBy(*by)
+    (writer.option("path", location) if location else writer).saveAsTable(name)
+
+
 def normalise_time(df: DataFrame) -> DataFrame:
     """Older tables call the time column ``timestamp``; here it is always ``ts``."""
     if "ts" not in df.columns and "timestamp" in df.columns:

@@ -147,3 +147,22 @@ def test_catalog_tables(spark, tmp_path):
     assert read_metadata(spark, path=f"file://{tmp_path}/m").columns == ["ID", "Description", "UoM"]
     spark.sql("DROP TABLE plant_one.events")
     spark.sql("DROP SCHEMA plant_one")
+
+
+def test_bucketed_tables_need_no_exchange(spark, tmp_path):
+    tb.ensure_schema(spark, "plant_two", f"file://{tmp_path}/w")
+    left = spark.range(400).selectExpr("cast(id % 20 AS string) AS unit", "timestamp_seconds(id) AS ts", "cast(id AS double) AS v")
+    for name in ("features", "labels"):
+        tb.save_bucketed(left.withColumnRenamed("v", name), f"plant_two.{name}", buckets=4, location=f"file://{tmp_path}/{name}")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = spark.table("plant_two.features").join(spark.table("plant_two.labels"), ["unit", "ts"])
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+        assert joined.count() == 400 and joined.where("features = labels").count() == 400
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    for name in ("features", "labels"):
+        spark.sql(f"DROP TABLE plant_two.{name}")
+    spark.sql("DROP SCHEMA plant_two")
