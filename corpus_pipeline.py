@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runsignal.llm import decontam, neardup, pieces, quality, substring
-from runsignal.llm.queries import PIECES
+from runsignal.llm.queries import piece_file
 from runsignal.llm.scratch import written
 
 
@@ -35,7 +35,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, as ids: ``doc_id, source, lang, n_ids, ids``."""
-    out = pieces.encoded(docs.select("doc_id", "source", "lang", "text"), pieces.read_model(PIECES))
+    out = pieces.encoded(docs.select("doc_id", "source", "lang", "text"), pieces.read_model(piece_file()))
     return out.select("row.doc_id", "row.source", "row.lang", F.coalesce(F.size("ids"), F.lit(0)).alias("n_ids"), "ids")
 
 
