@@ -49,6 +49,31 @@ def ratio(a, b) -> Column:
     return F.try_divide(col(a), col(b))
 
 
+# Doubles under NEAR are summed as whole numbers of steps of 1 / STEPS.
+NEAR, STEPS = 2.0**52, 2.0**46
+
+
+def steady_sum(x, over=None) -> Column:
+    """Aggregate: the sum of doubles, the same in its last bit for any order of the rows.
+
+    Partial sums of doubles depend on which task adds first, so that ranks would tell apart what is equal, differently in every
+    run.  Whole parts and fractions are added as integers instead (fractions in steps of 2**-46).  A group that holds a number of
+    2**52 or more, or too many rows for the integers (over 100,000 of them), gets the plain sum.  ``over``: a window.
+    """
+    x = col(x).cast("double")
+    on = (lambda c: c) if over is None else (lambda c: c.over(over))
+    near, whole = F.abs(x) < NEAR, F.floor(x)
+    wholes = on(F.try_sum(F.when(near, whole))).cast("double")
+    steps = on(F.try_sum(F.when(near, F.floor((x - whole) * STEPS)))).cast("double")
+    return F.when(on(F.max(F.abs(x))) < NEAR, F.coalesce(wholes + steps / STEPS, on(F.sum(x)))).otherwise(on(F.sum(x)))
+
+
+def steady_mean(x, over=None) -> Column:
+    """Aggregate: ``steady_sum`` over the number of values; NULL without any."""
+    n = F.count(col(x))
+    return F.try_divide(steady_sum(x, over), n if over is None else n.over(over))
+
+
 def none_if_nan(x) -> Column:
     return F.when(~F.isnan(col(x)), col(x))
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import plus_hours, seconds, spread_over
+from ..functions.exprs import plus_hours, seconds, spread_over, steady_mean
 from ..functions.rolling import rolling_medians
 from ..settings import PASSES, Settings
 from ..sources.historian import sent_if_small
@@ -33,9 +33,9 @@ def sensor_delta(sensors: DataFrame, frame: DataFrame, cfg: Settings, by_pass: b
         .repartition("unit", "ts")
     )
     if by_pass:
-        pack = F.avg("value").over(Window.partitionBy("unit", "ts", "grp"))
+        pack = steady_mean("value", Window.partitionBy("unit", "ts", "grp"))
         return live.withColumn("delta", F.when(F.col("grp").isNotNull(), F.col("value") - pack))
-    return live.withColumn("delta", F.col("value") - F.avg("value").over(Window.partitionBy("unit", "ts")))
+    return live.withColumn("delta", F.col("value") - steady_mean("value", Window.partitionBy("unit", "ts")))
 
 
 def sensor_drift(sensors: DataFrame, frame: DataFrame, cfg: Settings, by_pass: bool = True) -> DataFrame:
@@ -44,7 +44,7 @@ def sensor_drift(sensors: DataFrame, frame: DataFrame, cfg: Settings, by_pass: b
     baseline = stage(
         sensor_delta(sensors, sent_if_small(early.select(*LABELS)), cfg, by_pass)
         .groupBy("unit", "run_id", "id")
-        .agg(F.avg("delta").alias("baseline")),
+        .agg(steady_mean("delta").alias("baseline")),
         "baseline",
     )
     return (

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import days_between, half_even, median, ratio, spread_over
+from ..functions.exprs import days_between, half_even, median, ratio, spread_over, steady_mean, steady_sum
 from ..settings import PASSES, PLANT, STEAM_TO_VOLUME, Settings
 from ..sources.historian import sent_if_small
 from ..sources.tables import stage
@@ -82,16 +82,16 @@ def unit_levels(history: DataFrame, cfg: Settings) -> DataFrame:
     levels = (
         own.groupBy("unit", "ts")
         .agg(
-            F.avg(_value("cot_ctrl")).alias("cot"),
-            F.sum(_value("feed_flow")).alias("feed_total"),
-            F.sum(_value("dil_steam")).alias("steam_total"),
-            F.avg(_value("coil_out_P")).alias("coil_out_P"),
-            F.avg(_value("draft")).alias("draft"),
-            F.avg(_value("feed_coilT")).alias("feed_coilT"),
-            F.avg(_value(SENSOR, F.col("value") > cfg.hot)).alias("tube_cot_mean"),
-            *[F.sum(_value("feed_flow", grp == p)).alias(f"feed_{p}") for p in PASSES],
-            *[F.sum(_value("dil_steam", grp == p)).alias(f"steam_{p}") for p in PASSES],
-            *[F.avg(_value("decoke_air", grp == p)).alias(f"decoke_air_{p}") for p in PASSES],
+            steady_mean(_value("cot_ctrl")).alias("cot"),
+            steady_sum(_value("feed_flow")).alias("feed_total"),
+            steady_sum(_value("dil_steam")).alias("steam_total"),
+            steady_mean(_value("coil_out_P")).alias("coil_out_P"),
+            steady_mean(_value("draft")).alias("draft"),
+            steady_mean(_value("feed_coilT")).alias("feed_coilT"),
+            steady_mean(_value(SENSOR, F.col("value") > cfg.hot)).alias("tube_cot_mean"),
+            *[steady_sum(_value("feed_flow", grp == p)).alias(f"feed_{p}") for p in PASSES],
+            *[steady_sum(_value("dil_steam", grp == p)).alias(f"steam_{p}") for p in PASSES],
+            *[steady_mean(_value("decoke_air", grp == p)).alias(f"decoke_air_{p}") for p in PASSES],
         )
     )
     return levels.join(medians, ["unit", "ts"], "left")
@@ -183,7 +183,7 @@ def label_frame(levels: DataFrame, cfg: Settings, plant: DataFrame | None = None
 def feed_frame(history: DataFrame, cfg: Settings) -> DataFrame:
     """Feed only: total feed on the dense grid, mask and runs without looking at sensors."""
     feed = (
-        history.where(F.col("role") == "feed_flow").groupBy("unit", "ts").agg(F.sum("value").alias("feed_total"))
+        history.where(F.col("role") == "feed_flow").groupBy("unit", "ts").agg(steady_sum("value").alias("feed_total"))
     )
     frame = zero_where_silent(fill_grid(feed, cfg.bucket_s), ["feed_total"])
     return label_runs(add_activity(frame, cfg, use_online=False), cfg)

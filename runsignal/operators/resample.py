@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import as_number, bucket
+from ..functions.exprs import as_number, bucket, steady_mean
 from ..settings import PLANT
 from ..sources.historian import only_tags, sent_if_small
 
@@ -16,7 +16,7 @@ def bucket_means(samples: DataFrame, bucket_s: int, keys=("id",)) -> DataFrame:
     The mean is combined on the map side, so a tag with very many samples reaches the shuffle as
     one row per bucket and task.
     """
-    return samples.groupBy(*keys, bucket("time", bucket_s).alias("ts")).agg(F.avg("value").alias("value"))
+    return samples.groupBy(*keys, bucket("time", bucket_s).alias("ts")).agg(steady_mean("value").alias("value"))
 
 
 def load_history(samples: DataFrame, catalog: DataFrame, bucket_s: int) -> DataFrame:

@@ -62,6 +62,17 @@ def pearson(x: str, y: str) -> str:
     return f"covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0)"
 
 
+def steady_sum(x: str, more: str = "") -> str:
+    """Sum of doubles in whole numbers and steps of 2**-46, the same in any order of the rows; ``more``: FILTER or OVER."""
+    x, steps = f"CAST({x} AS DOUBLE)", f"{2**46}e0"
+    wholes, parts = f"CAST(floor({x}) AS BIGINT)", f"CAST(floor(({x} - floor({x})) * {steps}) AS BIGINT)"
+    return f"(CAST(sum({wholes}) {more} AS DOUBLE) + CAST(sum({parts}) {more} AS DOUBLE) / {steps})"
+
+
+def steady_mean(x: str, more: str = "") -> str:
+    return f"({steady_sum(x, more)} / nullif(count({x}) {more}, 0))"
+
+
 def bucket(ts: str, width: int) -> str:
     return f"make_timestamp(CAST(floor(epoch({ts}) / {width}) * {width} * 1000000 AS BIGINT))"
 
@@ -82,20 +93,20 @@ SELECT CAST(user_id AS VARCHAR) AS unit, CAST(user_id AS VARCHAR) || ':' || even
        TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k
 FROM events"""
 CTE["means_e"] = f"""
-SELECT unit, id, role, {bucket('time', HALF_DAY.bucket_s)} AS ts, avg(value) AS value
+SELECT unit, id, role, {bucket('time', HALF_DAY.bucket_s)} AS ts, {steady_mean('value')} AS value
 FROM samples_e WHERE status = 'Good' AND value IS NOT NULL GROUP BY ALL"""
 
 oracle("bucket_mean", "id ts:t value:d", "SELECT id, ts, value FROM means_e")
 oracle(
     "bucket_mean_variant",
     "id ts:t value:d",
-    f"""SELECT id, {bucket('time', HALF_DAY.bucket_s)} AS ts, avg(k) AS value FROM samples_e
+    f"""SELECT id, {bucket('time', HALF_DAY.bucket_s)} AS ts, {steady_mean('k')} AS value FROM samples_e
         WHERE status = 'Good' AND k IS NOT NULL GROUP BY ALL""",
 )
 oracle(
     "history_load",
     "unit id role ts:t value:d",
-    f"""SELECT unit, id, role, {bucket('time', HALF_DAY.bucket_s)} AS ts, avg(value) AS value FROM samples_e
+    f"""SELECT unit, id, role, {bucket('time', HALF_DAY.bucket_s)} AS ts, {steady_mean('value')} AS value FROM samples_e
         WHERE status = 'Good' AND time >= TIMESTAMP '2024-01-05' AND time < TIMESTAMP '2024-01-25' GROUP BY ALL""",
 )
 oracle(
@@ -120,9 +131,9 @@ WHOLE = ("cot_ctrl", "effluent_GC", "coil_out_P", "draft", "feed_coilT")
 for role, expr in LINE_ROLES.items():
     CTE[f"h_{role}"] = f"""
 SELECT unit, unit || ':{role}:' || ln AS id, '{role}' AS role, ln,
-       {'NULL' if role in WHOLE else 'grp'} AS grp, ts, avg({expr}) AS value FROM lines GROUP BY ALL"""
-CTE["h_plant"] = """
-SELECT 'PLANT' AS unit, 'PLANT:feed_GC:' || ln AS id, 'feed_GC' AS role, ln, NULL AS grp, ts, avg(l_discount) AS value
+       {'NULL' if role in WHOLE else 'grp'} AS grp, ts, {steady_mean(expr)} AS value FROM lines GROUP BY ALL"""
+CTE["h_plant"] = f"""
+SELECT 'PLANT' AS unit, 'PLANT:feed_GC:' || ln AS id, 'feed_GC' AS role, ln, NULL AS grp, ts, {steady_mean('l_discount')} AS value
 FROM lines GROUP BY ALL"""
 
 oracle("coverage_by_year", "id yr:i n:i", "SELECT unit || ':' || ln AS id, year(l_shipdate) AS yr, count(*) AS n FROM lines GROUP BY ALL")
@@ -176,7 +187,7 @@ FROM mask_{suffix} m LEFT JOIN runs_{suffix} r ON m.unit = r.unit AND m.ts BETWE
 
 
 # Feed only.
-CTE["feed_f"] = "SELECT unit, ts, sum(value) AS feed FROM h_feed_flow GROUP BY 1, 2"
+CTE["feed_f"] = f"SELECT unit, ts, {steady_sum('value')} AS feed FROM h_feed_flow GROUP BY 1, 2"
 CTE["grid_f"] = """
 SELECT c.unit, c.ts, coalesce(feed, 0) AS feed_total
 FROM (SELECT unit, unnest(generate_series(min(ts), max(ts), INTERVAL 7 DAY)) AS ts FROM feed_f GROUP BY unit) c
@@ -231,7 +242,7 @@ oracle(
 )
 
 # Events: all values of a unit are its feed.
-CTE["feed_e"] = "SELECT unit, ts, sum(value) AS feed FROM means_e GROUP BY 1, 2"
+CTE["feed_e"] = f"SELECT unit, ts, {steady_sum('value')} AS feed FROM means_e GROUP BY 1, 2"
 CTE["grid_e"] = f"""
 SELECT c.unit, c.ts, coalesce(feed, 0) AS feed_total
 FROM (SELECT unit, unnest(generate_series(min(ts), max(ts), {hours(12)})) AS ts FROM feed_e GROUP BY unit) c
@@ -254,7 +265,7 @@ def frame_ctes(suffix: str, sensor_role: str, plant: bool) -> None:
     )
     CTE[f"cells_{suffix}"] = f"SELECT unit, unnest(generate_series(t0, t1, INTERVAL 7 DAY)) AS ts FROM unit_span_{suffix}"
     CTE[f"hot_{suffix}"] = f"""
-SELECT unit, ts, median(value) AS sensor_median, avg(value) FILTER (value > {W.hot}) AS tube_cot_mean FROM h_{sensor_role} GROUP BY 1, 2"""
+SELECT unit, ts, median(value) AS sensor_median, {steady_mean('value', f'FILTER (value > {W.hot})')} AS tube_cot_mean FROM h_{sensor_role} GROUP BY 1, 2"""
     per = ", ".join(
         f"coalesce(feed_{p}, 0) AS feed_{p}, coalesce(steam_{p}, 0) AS steam_{p}" for p in PASSES
     )
@@ -266,9 +277,9 @@ LEFT JOIN cot_w USING (unit, ts) LEFT JOIN hot_{suffix} USING (unit, ts)"""
     CTE[f"live_{suffix}"] = f"""
 SELECT h.unit, h.id, h.grp, h.ts, h.value, m.run_id, m.run_start FROM h_{sensor_role} h JOIN rows_{suffix} m ON h.unit = m.unit AND h.ts = m.ts
 WHERE m.cracking AND h.value > {W.hot}"""
-    CTE[f"delta_{suffix}"] = f"SELECT *, value - avg(value) OVER (PARTITION BY unit, grp, ts) AS delta FROM live_{suffix}"
+    CTE[f"delta_{suffix}"] = f"SELECT *, value - {steady_mean('value', 'OVER (PARTITION BY unit, grp, ts)')} AS delta FROM live_{suffix}"
     CTE[f"base_{suffix}"] = f"""
-SELECT unit, run_id, id, avg(delta) AS baseline FROM delta_{suffix}
+SELECT unit, run_id, id, {steady_mean('delta')} AS baseline FROM delta_{suffix}
 WHERE run_id IS NOT NULL AND ts <= run_start + {hours(W.baseline_hours)} GROUP BY ALL"""
     CTE[f"drift_{suffix}"] = f"""
 SELECT d.*, baseline, delta - baseline AS drift FROM delta_{suffix} d
@@ -308,13 +319,13 @@ FROM (SELECT s.*, {ratios},
       FROM smooth_{suffix} s JOIN levels_{suffix} l ON s.unit = l.unit)"""
 
 
-CTE["feed_w"] = "SELECT unit, ts, sum(value) AS feed_total, " + ", ".join(
-    f"sum(value) FILTER (grp = '{p}') AS feed_{p}" for p in PASSES
+CTE["feed_w"] = f"SELECT unit, ts, {steady_sum('value')} AS feed_total, " + ", ".join(
+    steady_sum("value", f"FILTER (grp = '{p}')") + f" AS feed_{p}" for p in PASSES
 ) + " FROM h_feed_flow GROUP BY 1, 2"
-CTE["steam_w"] = "SELECT unit, ts, sum(value) AS steam_total, " + ", ".join(
-    f"sum(value) FILTER (grp = '{p}') AS steam_{p}" for p in PASSES
+CTE["steam_w"] = f"SELECT unit, ts, {steady_sum('value')} AS steam_total, " + ", ".join(
+    steady_sum("value", f"FILTER (grp = '{p}')") + f" AS steam_{p}" for p in PASSES
 ) + " FROM h_dil_steam GROUP BY 1, 2"
-CTE["cot_w"] = "SELECT unit, ts, avg(value) AS cot FROM h_cot_ctrl GROUP BY 1, 2"
+CTE["cot_w"] = f"SELECT unit, ts, {steady_mean('value')} AS cot FROM h_cot_ctrl GROUP BY 1, 2"
 frame_ctes("c", "tube_COT", plant=False)        # core roles
 frame_ctes("a", "tube_COT", plant=True)         # all roles, plant-wide tags widen the grid
 frame_ctes("p", "tube_COT_long", plant=False)   # sparse sensors
@@ -330,7 +341,7 @@ oracle(
 # ---- drift -----------------------------------------------------------------------------------
 
 oracle("delta_pass", "unit id grp ts:t delta:d", "SELECT * FROM delta_c")
-oracle("delta_unit", "unit id ts:t delta:d", "SELECT unit, id, ts, value - avg(value) OVER (PARTITION BY unit, ts) AS delta FROM live_c")
+oracle("delta_unit", "unit id ts:t delta:d", f"SELECT unit, id, ts, value - {steady_mean('value', 'OVER (PARTITION BY unit, ts)')} AS delta FROM live_c")
 oracle("drift", "unit id ts:t run_id:m baseline:d drift:d", "SELECT * FROM drift_c")
 oracle("health", "unit ts:t delta_spread:d dd_max:d dd_abs_max:d dd_p95:d", "SELECT * FROM health_c")
 oracle(
@@ -348,11 +359,11 @@ oracle(
     "unit ts:t " + " ".join(f"{k}_{p}:d" for p in PASSES for k in ("feed", "steam", "steam_hc")) + " steam_hc_spread:d",
     "SELECT * FROM feat_c",
 )
-CTE["means_a"] = """
+CTE["means_a"] = f"""
 SELECT c.unit, c.ts, p.value AS coil_out_P, d.value AS draft, t.value AS feed_coilT FROM cells_a c
-LEFT JOIN (SELECT unit, ts, avg(value) AS value FROM h_coil_out_P GROUP BY 1, 2) p ON p.unit = c.unit AND p.ts = c.ts
-LEFT JOIN (SELECT unit, ts, avg(value) AS value FROM h_draft GROUP BY 1, 2) d ON d.unit = c.unit AND d.ts = c.ts
-LEFT JOIN (SELECT unit, ts, avg(value) AS value FROM h_feed_coilT GROUP BY 1, 2) t ON t.unit = c.unit AND t.ts = c.ts"""
+LEFT JOIN (SELECT unit, ts, {steady_mean('value')} AS value FROM h_coil_out_P GROUP BY 1, 2) p ON p.unit = c.unit AND p.ts = c.ts
+LEFT JOIN (SELECT unit, ts, {steady_mean('value')} AS value FROM h_draft GROUP BY 1, 2) d ON d.unit = c.unit AND d.ts = c.ts
+LEFT JOIN (SELECT unit, ts, {steady_mean('value')} AS value FROM h_feed_coilT GROUP BY 1, 2) t ON t.unit = c.unit AND t.ts = c.ts"""
 
 
 def gas(column: str, source: str, names, token: str) -> str:
@@ -423,13 +434,9 @@ oracle(
 # ---- correlation -----------------------------------------------------------------------------
 
 
-def pairs(rows: str, combos, keys: str = "unit", cut: bool = True) -> str:
-    """Complete pairs (keys, a, b, x, y) of the table as the queries give it to the operators: for ranks, doubles at single precision."""
-    shown = (lambda c: f"CAST(CAST(round({c}, 9) AS FLOAT) AS DOUBLE)") if cut else str
-    parts = [
-        f"SELECT {keys}, '{a}' AS a, '{b}' AS b, {shown(a)} AS x, {shown(b)} AS y FROM {rows} WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
-        for a, b in combos
-    ]
+def pairs(rows: str, combos, keys: str = "unit") -> str:
+    """Complete pairs (keys, a, b, x, y)."""
+    parts = [f"SELECT {keys}, '{a}' AS a, '{b}' AS b, {a} AS x, {b} AS y FROM {rows} WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for a, b in combos]
     return "\nUNION ALL ".join(parts)
 
 
@@ -448,17 +455,16 @@ COLUMNS = [
     "cot", "feed_total", "steam_hc", "resid_proxy", "coil_out_P", "draft", "feed_coilT", "feed_C2H6", "feed_C3H8",
     "feed_C5p", "feed_CO2", "tube_cot_mean", "dd_abs_max", "coking_rate", "run_age_days", "eff_C2H4", "eff_C3H6",
 ]
-for suffix, method in (("", "spearman"), ("_full", "pearson")):
-    CTE[f"square_pairs{suffix}"] = pairs("active_a", [(a, b) for a in COLUMNS for b in COLUMNS], cut=method == "spearman")
-    CTE[f"square{suffix}"] = kernel(f"SELECT * FROM square_pairs{suffix}")
-    CTE[f"square_kept{suffix}"] = f"SELECT unit, a FROM square{suffix} WHERE a = b AND n > {W.min_count} AND x_std > 0"
-for name, method, suffix in (("corr_matrix", "spearman", ""), ("corr_matrix_pearson", "pearson", "_full")):
+CTE["square_pairs"] = pairs("active_a", [(a, b) for a in COLUMNS for b in COLUMNS])
+CTE["square"] = kernel("SELECT * FROM square_pairs")
+CTE["square_kept"] = f"SELECT unit, a FROM square WHERE a = b AND n > {W.min_count} AND x_std > 0"
+for name, method in (("corr_matrix", "spearman"), ("corr_matrix_pearson", "pearson")):
     oracle(
         name,
         "unit a b n:i r:d",
-        f"""SELECT s.unit, s.a, s.b, n, CASE WHEN s.a = s.b THEN 1.0 ELSE {method} END AS r FROM square{suffix} s
-            SEMI JOIN square_kept{suffix} k ON k.unit = s.unit AND k.a = s.a
-            WHERE EXISTS (SELECT 1 FROM square_kept{suffix} q WHERE q.unit = s.unit AND q.a = s.b)""",
+        f"""SELECT s.unit, s.a, s.b, n, CASE WHEN s.a = s.b THEN 1.0 ELSE {method} END AS r FROM square s
+            SEMI JOIN square_kept k ON k.unit = s.unit AND k.a = s.a
+            WHERE EXISTS (SELECT 1 FROM square_kept q WHERE q.unit = s.unit AND q.a = s.b)""",
     )
 
 RANKED = ["cot", "feed_total", "steam_total", "steam_hc", "resid_proxy", "tube_cot_mean", "run_age_days"]
@@ -530,7 +536,7 @@ oracle("pair_label", "unit n:i spearman:d", kernel(pairs("points_c", [("steam_hc
 oracle(
     "run_level_corr",
     "unit driver n:i pearson:d spearman:d",
-    f"SELECT unit, a AS driver, n, pearson, spearman FROM ({kernel(pairs('summary_a', [(c, 'length_days') for c in ('cot', 'steam_hc', 'feed_C5p')], cut=False))})",
+    f"SELECT unit, a AS driver, n, pearson, spearman FROM ({kernel(pairs('summary_a', [(c, 'length_days') for c in ('cot', 'steam_hc', 'feed_C5p')]))})",
 )
 
 # ---- windows ---------------------------------------------------------------------------------

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import bucket
+from ..functions.exprs import bucket, steady_mean
 from ..settings import PLANT, Settings
 
 WEEK = 7 * 86400
@@ -88,7 +88,7 @@ def line_history(
     """Bucketed history (unit, id, role, grp, ts, value) of the chosen roles."""
     lines = line_times(spark, sf_dir).withColumn("ts", bucket("time", bucket_s))
     means = lines.groupBy("l_suppkey", "l_linenumber", "ts").agg(
-        *[F.avg(F.expr(LINE_ROLES[r])).alias(r) for r in roles]
+        *[steady_mean(F.expr(LINE_ROLES[r])).alias(r) for r in roles]
     )
     per_role = F.explode(
         F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).alias("value")) for r in roles])
@@ -110,7 +110,7 @@ def _plant_history(lines: DataFrame) -> DataFrame:
     """Feed analysers: one tag per line number for the whole plant."""
     return (
         lines.groupBy("l_linenumber", "ts")
-        .agg(F.avg("l_discount").alias("value"))
+        .agg(steady_mean("l_discount").alias("value"))
         .select(
             F.lit(PLANT).alias("unit"),
             F.concat_ws(":", F.lit(PLANT), F.lit("feed_GC"), F.col("l_linenumber").cast("string")).alias("id"),

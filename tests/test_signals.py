@@ -1,11 +1,14 @@
 """Small signals with known answers."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from runsignal.functions.exprs import half_even
+from runsignal.functions.exprs import half_even, steady_mean, steady_sum
 from runsignal.functions.quantiles import pooled_quantiles
 from runsignal.operators import changepoint as cp
 from runsignal.operators import corr as co
@@ -388,3 +391,38 @@ def test_forecast_from_merged_sums(spark):
     out = {r.unit: (r.n, r.rmse) for r in fl.forecast_error(got, rows.where("unit = 'a'"), rows).collect()}
     assert out["b"] == (0, None) and out["a"][0] == 100 and 0.5 < out["a"][1] < 2
     assert none.transform(rows).where("prediction IS NOT NULL").count() == 0
+
+
+def test_steady_sums_do_not_depend_on_the_order(spark):
+    rng = np.random.default_rng(9)
+    values = np.concatenate((np.round(rng.normal(scale=50, size=400), 2), np.round(rng.uniform(800, 900, 400), 3))).tolist()
+    orders = [values, values[::-1], rng.permutation(values).tolist()]
+    rows = [(k, x) for k, order in enumerate(orders) for x in order]
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows, "k int, x double").repartition(parts)
+        got = df.groupBy("k").agg(steady_sum("x").alias("s"), steady_mean("x").alias("m")).collect()
+        assert len({(r.s, r.m) for r in got}) == 1 and got[0].s == pytest.approx(math.fsum(values), abs=1e-9)
+        assert got[0].m == got[0].s / len(values)
+        over = Window.partitionBy("k")
+        assert {r.m for r in df.select(steady_mean("x", over).alias("m")).distinct().collect()} == {got[0].m}
+
+
+def test_steady_sums_of_odd_groups(spark):
+    nan, inf = float("nan"), float("inf")
+    groups = {
+        "none": ([None, None], None),
+        "nulls": ([None, 0.5, 0.25], 0.75),
+        "negative": ([-1e-20, -2.5, 1.25], -1.25),
+        "large": ([1e300, 1.5], 1e300),
+        "edge": ([2.0**52, 0.5], 2.0**52 + 0.5),
+        "infinite": ([inf, 1.0], inf),
+        "many": ([0.999] * 200_000, 199_800.0),
+    }
+    rows = [(k, x) for k, (values, _) in groups.items() for x in values] + [("nan", nan), ("nan", 1.0)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    got = {r.k: (r.s, r.m) for r in df.groupBy("k").agg(steady_sum("x").alias("s"), steady_mean("x").alias("m")).collect()}
+    assert math.isnan(got["nan"][0]) and math.isnan(got["nan"][1])
+    for k, (values, want) in groups.items():
+        n = sum(v is not None for v in values)
+        assert got[k] == ((None, None) if want is None else (pytest.approx(want), pytest.approx(want / n)))
+    assert df.limit(0).agg(steady_sum("x").alias("s")).first().s is None
