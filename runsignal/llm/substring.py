@@ -141,7 +141,8 @@ def repeated_spans(docs: DataFrame, cfg: Repeats) -> DataFrame:
     """``(s_doc, span_start, span_end)``: for every document that loses words, the word ranges that go."""
     docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     rows = segments(docs, cfg)
-    twice = rows.groupBy("anchor").agg(F.count("*").alias("n_anchor")).where("n_anchor > 1").select("anchor")
+    # Written, so that the join is one of two shuffles, in which Spark splits an anchor that very many segments have.
+    twice = written(rows.groupBy("anchor").agg(F.count("*").alias("n_anchor")).where("n_anchor > 1").select("anchor"), "anchors")
     rows = written(rows.join(twice, "anchor"), "segments")
     kinds = rows.groupBy("anchor", "seg", "n").agg(F.min(F.struct("doc_id", "at")).alias("first"))
     kinds = written(kinds, "kinds")
