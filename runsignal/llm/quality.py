@@ -32,8 +32,8 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), BLANK, " " * len(BLANK)), " "), "")
 
 
-def measured(docs: DataFrame, cfg: Rules = Rules()) -> DataFrame:
-    """``(row, m)`` for every row of docs: the row itself and the counts of its whole text.
+def measured(docs: DataFrame, cfg: Rules = Rules(), keep: list[str] | None = None) -> DataFrame:
+    """``(row, m)`` for every row of docs: the row itself (of it the columns ``keep``, if given) and the counts of its whole text.
 
     ``n_repeat_words`` are words in windows of five that occur twice or more in the text.  Windows are
     compared by 64-bit hashes; only texts with a repeated hash are sorted.  Nothing is shuffled.
@@ -41,7 +41,7 @@ def measured(docs: DataFrame, cfg: Rules = Rules()) -> DataFrame:
     k = cfg.window
     text = F.col("m_text")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("m_text"))
+    out = docs.select(F.struct(*(keep or docs.columns)).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("m_text"))
     out = out.withColumns({"m_words": words(text), "m_lines": lines})
     out = out.withColumns(
         {
@@ -103,13 +103,14 @@ def host_verdicts(rows: DataFrame, host: str, cfg: Rules = Rules()) -> DataFrame
     return out.select("host", "rule", "n", "failed", rate.alias("rate"), (rate > F.col("limit")).alias("rejected"))
 
 
-def judged(docs: DataFrame, host: str = "source", cfg: Rules = Rules()) -> DataFrame:
-    """``(row, m, base_failed, host_rejected, kept)`` for every row of docs.
+def judged(docs: DataFrame, host: str = "source", cfg: Rules = Rules(), keep: list[str] | None = None) -> DataFrame:
+    """``(row, m, base_failed, host_rejected, kept)`` for every row of docs; ``keep`` (with the host) narrows the rows.
 
     A document is kept if its own rules pass (enough words, few repeated ones) and its host is not rejected.
     A null or empty text has no words and fails; a document without a host is judged by itself.
     """
-    rows = measured(docs, cfg)
+    # Written: the rates of hosts and the verdicts both read the counts, and counting a text costs more than keeping it.
+    rows = written(measured(docs, cfg, keep), "measured")
     fails = failures("m", cfg)
     bad = host_verdicts(rows, host, cfg).where("rejected").select(F.col("host").alias("m_host")).distinct().withColumn("m_bad", F.lit(True))
     out = rows.withColumn("base_failed", fails["short"] | fails["repeats"])

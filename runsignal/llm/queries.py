@@ -62,7 +62,7 @@ def op3_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = judged(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    out = judged(table(spark, sf_dir, "documents", "doc_id", "text", "source"), keep=["doc_id", "source"])
     return out.select("row.doc_id", *(f"m.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept", "host_rejected")
 
 
