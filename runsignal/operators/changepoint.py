@@ -1,17 +1,20 @@
 """Change points of a run's signals: penalised exact search with a Gaussian kernel cost.
 
 The pruned search (Killick, Fearnhead and Eckley, 2012) is sequential within a run, so each run is
-one group; runs spread over the cluster.  Memory stays linear in the run length: kernel rows are
-computed as the search reaches them and block sums are updated, no n x n matrix is kept.
+one group; runs spread over the cluster.  Short runs of equal length are searched together, in arrays.  For longer ones memory
+stays linear in the run length: kernel rows are computed as the search reaches them and block sums are updated, no n x n matrix is kept.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rolling import edges, whole_groups
 from ..settings import Settings
 
 # Fixed values of the kernel cost: scaled squared distances are kept within these limits.
@@ -113,6 +116,74 @@ def segment(x: np.ndarray, min_rows: int, penalty: float) -> list[int]:
     return sorted(points)
 
 
+# Runs up to this length are searched many at once.
+SHORT_RUN = 128
+_PAIRS = 4_000_000
+
+
+def segment_many(x: np.ndarray, min_rows: int, penalty: float) -> list[list[int]]:
+    """``segment`` of runs of equal length, (runs, rows, signals): the same steps, for all runs together."""
+    runs, n, signals = x.shape
+    if n < 2 * min_rows or not runs:
+        return [[] for _ in range(runs)]
+    d = np.zeros((runs, n, n))
+    for k in range(signals):
+        d += (x[:, :, None, k] - x[:, None, :, k]) ** 2
+    i, j = np.tril_indices(n, -1)
+    mid = np.median(d[:, i, j], axis=1)
+    gamma = np.divide(1.0, mid, out=np.ones(runs), where=mid != 0)
+    kernel = np.exp(-np.clip(d * gamma[:, None, None], NEAREST, FARTHEST))
+    alive = np.zeros((runs, n + 1), bool)
+    alive[:, 0] = True
+    block = np.zeros((runs, n + 1))
+    best = np.full((runs, n + 1), np.inf)
+    best[:, 0] = 0.0
+    before = np.zeros((runs, n + 1), dtype=np.int64)
+    for t in range(1, n + 1):
+        row = t - 1
+        tail = np.zeros((runs, t))
+        tail[:, :row] = np.cumsum(kernel[:, row, :row][:, ::-1], axis=1)[:, ::-1]
+        block[:, :t] += 2.0 * tail + 1.0
+        if t >= min_rows:
+            old = t - min_rows + 1            # starts whose segment is long enough
+            length = t - np.arange(old)
+            cost = np.where(alive[:, :old], best[:, :old] + length - block[:, :old] / length, np.inf)
+            pick = np.argmin(cost, axis=1)
+            best[:, t] = cost[np.arange(runs), pick] + penalty
+            before[:, t] = pick
+            alive[:, :old] &= cost <= best[:, t, None]
+            if t < n:
+                alive[:, t] = np.isfinite(best[:, t])
+    found = []
+    for r in range(runs):
+        points, t = [], n
+        while before[r, t] > 0:
+            t = int(before[r, t])
+            points.append(t)
+        found.append(sorted(points))
+    return found
+
+
+def segments(x: np.ndarray, used: np.ndarray, edge: np.ndarray, min_rows: int, penalty: float) -> list[list[int]]:
+    """Change points of every run of a batch; ``edge`` says where the runs begin, ``used`` how many of the signals each has."""
+    sizes, found = np.diff(edge), [[] for _ in edge[1:]]
+    ready = [r for r in range(len(sizes)) if used[r] and np.isfinite(x[edge[r] : edge[r + 1], : used[r]]).all()]
+    alike: dict[tuple[int, int], list[int]] = {}
+    for r in ready:
+        alike.setdefault((int(sizes[r]), int(used[r])), []).append(r)
+    for (n, k), runs in alike.items():
+        step = max(1, _PAIRS // (n * n)) if n <= SHORT_RUN else 1
+        for lo in range(0, len(runs), step):
+            some = runs[lo : lo + step]
+            if n > SHORT_RUN:
+                results = [segment(x[edge[r] : edge[r + 1], :k], min_rows, penalty) for r in some]
+            else:
+                results = segment_many(np.stack([x[edge[r] : edge[r + 1], :k] for r in some]), min_rows, penalty)
+            for r, breaks in zip(some, results):
+                found[r] = breaks
+    return found
+
+
 def change_points(rows: DataFrame, signals: list[str], cfg: Settings, used: str | None = None) -> DataFrame:
     """(unit, run_id, breaks): row positions within the run where a new regime starts.
 
@@ -139,14 +210,15 @@ def change_points(rows: DataFrame, signals: list[str], cfg: Settings, used: str
             for c in signals
         ],
     ).where(F.col("_n") >= 3 * cfg.cp_min_rows)
-    min_rows, penalty = cfg.cp_min_rows, cfg.cp_penalty
+    min_rows, penalty, keys = cfg.cp_min_rows, cfg.cp_penalty, ["unit", "run_id"]
 
-    def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("ts")[signals[: pdf["_used"].iloc[0]]].to_numpy(dtype=float)
-        found = segment(x, min_rows, penalty) if x.size and np.isfinite(x).all() else []
-        return pd.DataFrame({"unit": [key[0]], "run_id": [key[1]], "breaks": [found]})
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, keys):
+            edge = edges(table, keys)
+            x = np.column_stack([table.column(c).to_numpy(zero_copy_only=False).astype(float) for c in signals])
+            found = segments(x, table.column("_used").to_numpy()[edge[:-1]], edge, min_rows, penalty)
+            yield pa.RecordBatch.from_arrays([*(table.column(k).take(pa.array(edge[:-1])) for k in keys), pa.array(found, pa.list_(pa.int32()))], names=[*keys, "breaks"])
 
     unit_type = rows.schema["unit"].dataType.simpleString()
-    return scaled.select("unit", "run_id", "ts", "_used", *signals).groupBy("unit", "run_id").applyInPandas(
-        search, schema=f"unit {unit_type}, run_id int, breaks array<int>"
-    )
+    sorted_rows = scaled.select("unit", "run_id", "ts", "_used", *signals).repartition(*keys).sortWithinPartitions(*keys, "ts")
+    return sorted_rows.mapInArrow(search, f"unit {unit_type}, run_id int, breaks array<int>")
