@@ -24,6 +24,7 @@ from .words import CHUNK, Powers, chunks, mix
 
 _CODE = np.random.default_rng(12).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _END = 0xFF  # no byte of UTF-8
+_BLOCK = CHUNK // 2  # bytes of pieces whose suffixes are sorted at once: about 150 bytes of arrays for each
 
 
 @dataclass(frozen=True)
@@ -247,13 +248,13 @@ def intervals(shards: DataFrame, cfg: ByteRepeats) -> DataFrame:
 
 
 def _whole_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of about CHUNK bytes that hold all rows of their shards."""
+    """Blocks of about _BLOCK bytes that hold all rows of their shards."""
     held, size = [], 0
     for batch in batches:
-        for part in chunks(batch, "bytes"):
+        for part in chunks(batch, "bytes", _BLOCK):
             held.append(part)
             size += part.nbytes
-            if size < 2 * CHUNK:
+            if size < _BLOCK:
                 continue
             block = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             anchor = block.column("anchor").to_numpy()

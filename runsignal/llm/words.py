@@ -68,13 +68,13 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about CHUNK bytes of text each, so that temporary arrays stay small."""
+def chunks(batch: pa.RecordBatch, column: str = "text", size: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``size`` bytes of text each, so that temporary arrays stay small."""
     sizes = np.nan_to_num(pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(float))
     edges = np.concatenate(([0], np.cumsum(sizes)))
     at = 0
     while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(edges, edges[at] + CHUNK, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(edges, edges[at] + size, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
 

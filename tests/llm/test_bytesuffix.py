@@ -5,10 +5,11 @@ from collections import defaultdict
 
 import numpy as np
 import plain
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from runsignal.llm.bytesuffix import _END, ByteRepeats, repeat_groups, scan, suffixes, without_repeated_bytes
+from runsignal.llm.bytesuffix import _END, ByteRepeats, _whole_shards, repeat_groups, scan, suffixes, without_repeated_bytes
 
 SCHEMA = "doc_id long, text string"
 
@@ -121,3 +122,14 @@ def test_long_text(spark):
     docs = [(1, head), (2, head[(4 << 20) - 50 : (4 << 20) + 90])]
     got = {r.row.doc_id: r.n_removed for r in without_repeated_bytes(spark.createDataFrame(docs, SCHEMA)).collect()}
     assert got == {1: 0, 2: 140}
+
+
+def test_blocks_of_shards_stay_small():
+    anchor = np.repeat(np.arange(6000), 3)
+    pieces = [bytes(200) for _ in anchor]
+    batches = [pa.RecordBatch.from_arrays([pa.array(anchor[a : a + 5000]), pa.array(pieces[a : a + 5000], pa.binary())], names=["anchor", "bytes"]) for a in range(0, len(anchor), 5000)]
+    blocks = [np.array(b.column("anchor")) for b in _whole_shards(iter(batches))]
+    assert np.concatenate(blocks).tolist() == anchor.tolist()
+    # Sorting the suffixes of a byte takes about 150; two tasks of an executor sort at a time.
+    assert max(len(b) * 200 for b in blocks) <= 1 << 20
+    assert all((np.bincount(b)[b[0] :] == 3).all() for b in blocks)
