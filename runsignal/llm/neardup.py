@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +62,7 @@ def near_groups(docs: DataFrame, cfg: NearDup = NearDup()) -> DataFrame:
 
 
 def near_links(docs: DataFrame, sigs: DataFrame, firsts: DataFrame, cfg: NearDup) -> DataFrame:
-    """Verified links (a, b) that connect whatever is connected; equal sets have been merged.
+    """Links (a, b) that connect what verified links connect: to the least id of the component, or verified ones; equal sets have been merged.
 
     1. Stars: every document is compared with the most central one (the hub) among those it shares a bucket with.  What
        a verified link has joined needs no further comparison, so n near copies cost n pairs, not n**2.  As long
@@ -78,7 +77,7 @@ def near_links(docs: DataFrame, sigs: DataFrame, firsts: DataFrame, cfg: NearDup
     )
     shared = band.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
     members = written(band.join(shared, "bucket"), "members")
-    links, labels, hubs, first = [], None, None, None
+    labels, hubs, first = None, None, None
     while True:
         now = members.withColumn("label", F.col("id")) if labels is None else members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         bounds = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("bucket", "n")
@@ -94,19 +93,25 @@ def near_links(docs: DataFrame, sigs: DataFrame, firsts: DataFrame, cfg: NearDup
         next_hub = best.select(F.col("id").alias("hub"), F.col("hub").alias("next"), F.col("hub_label").alias("next_label"))
         best = best.join(next_hub, "hub", "left").select("id", "label", F.coalesce("next", "hub").alias("hub"), F.coalesce("next_label", "hub_label").alias("hub_label"))
         star = written(best.where("label <> hub_label").select("id", "hub"), "star")
-        hubs = star.select("hub").distinct() if hubs is None else written(hubs.unionByName(star.select("hub")).distinct(), "used")
+        hubs = star.select("hub") if hubs is None else hubs.unionByName(star.select("hub"))
         first = star if first is None else first
         good = written(verified(docs, probable(_ordered(star, "id", "hub"), sigs, cfg), cfg), "links")
-        links.append(good)
         opened, joined = star.count(), good.count()
         if joined:
-            labels = written(components(reduce(DataFrame.unionByName, links)), "labels")
+            labels = written(components(good if labels is None else good.unionByName(_to_least(labels))), "labels")
         if joined < 0.2 * opened or not opened:
             break
     left = written(_still_open(members, labels).select("id", "label").distinct(), "left")
     pairs = written(prefix_pairs(docs, left, cfg).join(_ordered(first, "id", "hub"), ["a", "b"], "left_anti"), "pairs")
-    links.append(written(verified(docs, probable(pairs, sigs, cfg, banded=True), cfg), "links"))
-    return reduce(DataFrame.unionByName, links)
+    links = good if labels is None else _to_least(labels)
+    if pairs.isEmpty():
+        return links
+    return links.unionByName(written(verified(docs, probable(pairs, sigs, cfg, banded=True), cfg), "links"))
+
+
+def _to_least(labels: DataFrame) -> DataFrame:
+    """Components as links, which are fewer and shorter than those that made them."""
+    return labels.where("id > label").select(F.col("id").alias("a"), F.col("label").alias("b"))
 
 
 def _still_open(members: DataFrame, labels: DataFrame | None) -> DataFrame:

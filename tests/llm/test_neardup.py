@@ -4,10 +4,13 @@ import random
 
 import numpy as np
 import plain
+import pytest
 from pyspark.sql import functions as F
 
+from runsignal.llm import components as cc
 from runsignal.llm.components import components
 from runsignal.llm.neardup import NearDup, least_matches, near_groups, prefix_pairs
+from runsignal.llm.scratch import written
 
 SCHEMA = "doc_id long, text string"
 
@@ -58,6 +61,16 @@ def test_long_chain_is_one_component(spark):
     assert {(r.id, r.label) for r in components(links).collect()} == {(i, 0) for i in range(n + 1)}
 
 
+@pytest.mark.parametrize("links,rounds", [([(i, 0) for i in range(1, 9)], 0), ([(9, i) for i in range(1, 9)] + [(20, 21)], 1)])
+@pytest.mark.parametrize("send", [500_000, 0])
+def test_stars_need_no_further_round(spark, monkeypatch, links, rounds, send):
+    names = []
+    monkeypatch.setattr(cc, "written", lambda df, name: names.append(name) or written(df, name))
+    got = {(r.id, r.label) for r in components(spark.createDataFrame(links, "a long, b long"), send).collect()}
+    assert got == ({(i, 0) for i in range(9)} if not rounds else {(i, 1) for i in range(1, 10)} | {(20, 20), (21, 20)})
+    assert names == ["edges", *["large", "small"] * rounds]
+
+
 def test_sequential_test_keeps_what_is_similar():
     cfg, rng = NearDup(), np.random.default_rng(2)
     same = rng.random((20_000, cfg.hashes)) < 0.8
