@@ -60,6 +60,21 @@ def test_features_are_made_without_exchanges_of_sensor_rows(spark):
     assert plan.count("Exchange hashpartitioning") <= 6
 
 
+@pytest.mark.parametrize("name", ["feature_matrix", "run_summary", "feature_matrix_proxy", "feature_species"])
+def test_lines_are_distributed_once_for_all_passes(spark, name):
+    plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" not in plan and "Bucketed: true" in plan
+
+
+def test_rows_staged_by_unit_need_no_exchange(spark):
+    rows = spark.range(500).select((F.col("id") % 7).cast("string").alias("unit"), F.timestamp_seconds("id").alias("ts"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("v"))
+    rows = rows.unionByName(rows.limit(1).select(F.lit(None).cast("string").alias("unit"), "ts", "v"))
+    back = tb.stage_by(rows.repartition(4, "unit"), "rows", ("unit",), 4, ("unit", "ts"))
+    assert sorted(map(str, back.collect())) == sorted(map(str, rows.collect()))
+    assert "Exchange" not in back.groupBy("unit", "ts").agg(F.sum("v"))._jdf.queryExecution().executedPlan().toString()
+    assert tb.stage_by(rows.where("v < 0").repartition(4, "unit"), "rows", ("unit",), 4).count() == 0
+
+
 def test_correlations_bring_rows_together_once(spark):
     rows = [("u", float(i % 7), float(i % 5), None if i % 3 else 1.0 * i) for i in range(60)]
     df = spark.createDataFrame(rows, "unit string, a double, b double, c double")
