@@ -9,6 +9,7 @@ from runsignal.operators import changepoint as cp
 from runsignal.operators import corr as co
 from runsignal.operators import drift as dr
 from runsignal.operators import runs as rn
+from runsignal.settings import Settings
 from runsignal.sources import store as st
 from runsignal.sources import tables as tb
 
@@ -66,6 +67,32 @@ def test_lines_are_distributed_once_for_all_passes(spark, name):
     assert "REPARTITION_BY_NUM" not in plan and "Bucketed: true" in plan
 
 
+@pytest.mark.parametrize("name", ["run_summary", "feature_matrix_proxy", "feature_species", "spikes"])
+def test_labels_and_baseline_are_not_distributed_anew(spark, name):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    scans = [line for line in plan.splitlines() if "FileScan" in line and "labels" in line]
+    assert scans and all("Bucketed: true" in line for line in scans)
+    assert "run_start" not in "".join(line for line in plan.splitlines() if "Exchange" in line) and "/baseline-" not in plan
+
+
+def test_baseline_as_a_window_is_the_baseline_of_two_passes(spark):
+    rng = np.random.default_rng(2)
+    grid = [(f"u{u}", int(t) * 3600, bool(rng.random() < 0.9), t // 40 if t % 40 < 30 else None) for u in range(3) for t in range(160)]
+    frame = spark.createDataFrame([(u, t, c, r, None if r is None else r * 40 * 3600) for u, t, c, r in grid], "unit string, s long, cracking boolean, run_id int, r long")
+    frame = frame.select("unit", F.timestamp_seconds("s").alias("ts"), "cracking", "run_id", F.timestamp_seconds("r").alias("run_start"))
+    rows = [(u, f"{u}:{i}", [None, "A", "B"][i % 3], t, float(np.round(rng.normal(860, 20), 2)) if rng.random() < 0.9 else None) for u, t, _, _ in grid for i in range(6) if (i, t // 3600 // 40) != (4, 1) or t % 144000 > 86400]
+    sensors = spark.createDataFrame(rows, "unit string, id string, grp string, s long, value double").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    cfg = Settings(hot=820.0, baseline_hours=12.0)
+    columns = ("unit", "id", "grp", "ts", "run_id", "value", "delta", "baseline", "drift")
+    two, one = (sorted(map(str, dr.sensor_drift(sensors, frame, cfg, by_unit=b).select(*columns).collect())) for b in (False, True))
+    assert one == two and any("drift=None" in r for r in one) and any("drift=None" not in r for r in one)
+
+
 def test_rows_staged_by_unit_need_no_exchange(spark):
     rows = spark.range(500).select((F.col("id") % 7).cast("string").alias("unit"), F.timestamp_seconds("id").alias("ts"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("v"))
     rows = rows.unionByName(rows.limit(1).select(F.lit(None).cast("string").alias("unit"), "ts", "v"))
