@@ -109,6 +109,20 @@ def test_correlations_bring_rows_together_once(spark):
     assert plan.count("Exchange") == 1
 
 
+def test_columns_of_correlations_are_not_planned_as_one_filter(spark):
+    # The last unit has rows but not one number; such rows were filtered by all columns at once, and planning that took minutes and the driver's memory.
+    rows = [(u, f"{u}" == "a" or i % 2 == 0, None if u == "c" else float(i % 7), None if u == "c" or i % 5 == 0 else float(i * i % 11)) for u in "abc" for i in range(40)]
+    df = spark.createDataFrame(rows, "unit string, cracking boolean, x double, y double")
+    made = df.withColumns({f"x{i}": F.when(F.col("x") > i - 3, F.col("x") * (i + 1)) for i in range(4)}).withColumns({f"r{i}": F.when(F.col(f"x{i}") > 2, F.col("y") / F.col(f"x{i}")) for i in range(4)})
+    stats = co.pair_stats(co.active_rows(made), [(f"{c}{i}", "y") for c in "xr" for i in range(4)], ["unit"])
+    plan = stats._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "isnan" in line]
+    got = {(r.unit, r.a): (r.n, r.pearson) for r in stats.collect()}
+    want = {(r.unit, r.a): (r.n, r.pearson) for r in co.pair_correlations(co.pairs_of(co.active_rows(made), [(f"{c}{i}", "y") for c in "xr" for i in range(4)], ["unit"]), ["unit"]).collect()}
+    assert set(got) == set(want) and {u for u, _ in got} == {"a", "b"}
+    assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], nan_ok=True) for k in got)
+
+
 def test_one_file_a_unit(spark, tmp_path):
     rows = spark.range(2000).select((F.col("id") % 5).cast("string").alias("unit"), F.timestamp_seconds(F.col("id") * 604800 / 10).alias("ts"), "id")
     at = f"file://{tmp_path}/t"
