@@ -140,3 +140,34 @@ def test_samples_meet_intervals_of_their_own_hour(spark, tmp_path):
     got = st.around(st.read_store(spark, at), spans)
     assert {r.error: r["count"] for r in got.groupBy("error").count().collect()} == {"a": 91, "b": 1}
     assert "_hour" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_samples_are_shown_once_and_meet_arrays_of_intervals(spark, tmp_path):
+    # Three tags with two samples a minute in one hour, each with its first error there; a null tag, a null time, and values that are no numbers.
+    rows = [(i, None if i == 7 else 3600 * 5 + 30 * (i % 120), i % 3 if i % 50 else None, "error" if i % 40 in (3, 4, 5) else "view", None if i % 11 == 0 else i / 7) for i in range(240)]
+    df = spark.createDataFrame(rows, "event_id long, s long, user_id long, event_type string, value double").select("event_id", F.timestamp_seconds("s").alias("ts"), "user_id", "event_type", "value", F.lit("{}").alias("props"))
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    out = queries()["store_around"](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    first = lambda text: next((i for i, line in enumerate(plan) if text in line), -1)
+    assert first("date_format") > first("Join Inner") >= 0 and first("Generate explode(_spans") >= 0
+    samples = [(f"{u}:{k}" if u is not None else k, s, "Bad" if k == "error" else "Good", v) for _, s, u, k, v in rows if s is not None]
+    at = {}
+    for tag, s, status, _ in samples:
+        if status == "Bad":
+            at[tag] = min(at.get(tag, s), s)
+    want = sorted((e, tag, s, status) for e, t in at.items() for tag, s, status, _ in samples if t - 3600 <= s < t + 3600)
+    got = sorted((r.error, r.ID, (int(r.EventTime[11:13]) * 60 + int(r.EventTime[14:16])) * 60 + int(r.EventTime[17:]), r.Status) for r in out.collect())
+    assert got == want and len(at) > 2
+
+
+def test_many_intervals_are_joined_by_shuffle(spark, tmp_path, monkeypatch):
+    at = f"file://{tmp_path}/events"
+    samples = spark.range(0, 72 * 60).select(F.lit("t").alias("ID"), F.timestamp_seconds(F.col("id") * 60).alias("EventTime"), F.lit("Good").alias("Status"), F.lit(1.0).alias("Value"))
+    st.write_events(samples, at)
+    spans = spark.createDataFrame([("a", 23 * 3600 + 1800, 25 * 3600 + 60), ("b", 0, 60), (None, 60, 7200)], "error string, x long, y long")
+    spans = spans.select("error", F.timestamp_seconds("x").alias("t0"), F.timestamp_seconds("y").alias("t1"))
+    sent = st.around(st.read_store(spark, at), spans)
+    monkeypatch.setattr(st, "fits_broadcast", lambda df: False)
+    dealt = st.around(st.read_store(spark, at), spans)
+    assert sent.columns == dealt.columns and sorted(map(str, sent.collect())) == sorted(map(str, dealt.collect())) and sent.count() == 91 + 1 + 119
