@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from runsignal.operators import partials as pt
 from runsignal.operators import resample as rs
 from runsignal.sources import store as st
@@ -39,6 +40,34 @@ def test_one_unit_is_replaced(spark, tmp_path):
     assert after.number == before.number + 1 and all(after.parts[p] == before.parts[p] for p in ("unit=a", "unit=b"))
 
 
+def test_units_that_share_files(spark, tmp_path):
+    at = f"file://{tmp_path}/t"
+    units = ["a", "b", "c d/e", "50%", None]
+    tb.write_table(rows(spark, units), at, folders=False)
+    assert not list(tmp_path.glob("t/data/*/unit=*")) and len(list(tmp_path.glob("t/data/*/*.parquet"))) <= 2
+    old = tb.read_table(spark, at)
+    tb.write_table(rows(spark, ["c d/e", "n"], 2, 3.0), at, only=True)
+    tb.write_table(rows(spark, ["50%", None], 3, 4.0), at, only=True)
+    count = lambda df: {(r.unit, r["count"], r.v) for r in df.groupBy("unit").agg(F.count("*").alias("count"), F.max("v").alias("v")).collect()}
+    assert count(old) == {(u, 5, 1.0) for u in units}
+    now = {("a", 5, 1.0), ("b", 5, 1.0), ("c d/e", 2, 3.0), ("n", 2, 3.0), ("50%", 3, 4.0), (None, 3, 4.0)}
+    assert count(tb.read_table(spark, at)) == now
+    assert count(vs.read(spark, at, ["unit=a", "unit=n", "unit=missing"])) == {("a", 5, 1.0), ("n", 2, 3.0)}
+    tb.write_table(rows(spark, ["a", "z"]), at, folders=False)  # a whole new table: no unit of the old one is left
+    assert count(tb.read_table(spark, at)) == {("a", 5, 1.0), ("z", 5, 1.0)}
+    vs.expire(spark, at, keep=1)
+    assert count(tb.read_table(spark, at)) == {("a", 5, 1.0), ("z", 5, 1.0)}
+
+
+def test_a_saved_frame_makes_no_folder_a_unit(spark, shared):
+    before = set(shared.glob("runsignal/shelf-*"))
+    out = queries()["saved_frame"](spark, "/root/testdata/sf0.001")
+    [made] = set(shared.glob("runsignal/shelf-*")) - before
+    assert [p.name for p in made.glob("frame/data/*/unit=*")] == ["unit=1"]
+    units = out.groupBy("unit").count().collect()
+    assert len(units) > 5 and "1" in {r.unit for r in units} and out.groupBy("unit", "ts").count().where("count > 1").count() == 0
+
+
 def test_what_is_not_committed_is_not_read(spark, tmp_path):
     at = f"file://{tmp_path}/t"
     tb.write_table(rows(spark, "ab"), at)
